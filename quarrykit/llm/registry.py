@@ -1,11 +1,20 @@
 """The queries of this package, and their SQL where SQL can express them."""
 
+from .bpe import op6_bpe, op8_token_counts
+from .extract import op7_html_text
 from .fingerprint import op3_fingerprint
+from .langid import op4_langid
+from .mixing import op1_mix
 from .quality import op9_quality
 from .warc import op10_warc
 
 QUERIES = {
+    "op1_mix": op1_mix,
     "op3_fingerprint": op3_fingerprint,
+    "op4_langid": op4_langid,
+    "op6_bpe": op6_bpe,
+    "op7_html_text": op7_html_text,
+    "op8_token_counts": op8_token_counts,
     "op9_quality": op9_quality,
     "op10_warc": op10_warc,
 }
