@@ -177,8 +177,14 @@ class Encoder:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-counter = functools.lru_cache(2)(Counter)
-encoder = functools.lru_cache(2)(Encoder)
+@functools.lru_cache(2)
+def counter(path: str) -> Counter:
+    return Counter(path)
+
+
+@functools.lru_cache(2)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def _texts(column: pa.Array):

@@ -5,6 +5,7 @@ from .extract import op7_html_text
 from .fingerprint import op3_fingerprint
 from .langid import op4_langid
 from .mixing import op1_mix
+from .ngram_join import op5_ngram_join
 from .quality import op9_quality
 from .warc import op10_warc
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_mix": op1_mix,
     "op3_fingerprint": op3_fingerprint,
     "op4_langid": op4_langid,
+    "op5_ngram_join": op5_ngram_join,
     "op6_bpe": op6_bpe,
     "op7_html_text": op7_html_text,
     "op8_token_counts": op8_token_counts,
