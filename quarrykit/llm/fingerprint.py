@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 from .common import table, words
 from .quality import window_hashes
 
-K = 128
+K = 256
 SHINGLE = 5
 #: Rows that a range of neighbours in op3 aims at, and ranges at most.
-RANGE_ROWS, MAX_RANGES = 20_000, 65_536
+RANGE_ROWS, MAX_RANGES = 5_000, 65_536
 
 
 def with_sketch(df: DataFrame, text: str, out: str, k: int = K, size: int = SHINGLE) -> DataFrame:
