@@ -1,6 +1,9 @@
 """Session factory for local runs, tests and the benchmark."""
 
 import os
+import pathlib
+import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -20,3 +23,19 @@ def local_session(cpus: int | None = None, app: str = "quarrykit") -> SparkSessi
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once for each SparkContext, so that tasks can import it wherever the driver found it."""
+    context = spark.sparkContext
+    if getattr(context, "_quarrykit_shipped", False):
+        return spark
+    root = pathlib.Path(__file__).resolve().parent
+    with tempfile.TemporaryDirectory() as folder:
+        path = os.path.join(folder, "quarrykit.zip")
+        with zipfile.ZipFile(path, "w") as out:
+            for p in sorted(root.rglob("*.py")):
+                out.write(p, p.relative_to(root.parent))
+        context.addPyFile(path)
+    context._quarrykit_shipped = True
+    return spark
