@@ -1,7 +1,9 @@
 """Session factory for local runs, tests and the benchmark."""
 
+import atexit
 import os
 import pathlib
+import shutil
 import tempfile
 import zipfile
 
@@ -31,11 +33,12 @@ def ship(spark: SparkSession) -> SparkSession:
     if getattr(context, "_quarrykit_shipped", False):
         return spark
     root = pathlib.Path(__file__).resolve().parent
-    with tempfile.TemporaryDirectory() as folder:
-        path = os.path.join(folder, "quarrykit.zip")
-        with zipfile.ZipFile(path, "w") as out:
-            for p in sorted(root.rglob("*.py")):
-                out.write(p, p.relative_to(root.parent))
-        context.addPyFile(path)
+    folder = tempfile.mkdtemp(prefix="quarrykit-")  # tasks fetch the file from the driver later on
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "quarrykit.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for p in sorted(root.rglob("*.py")):
+            out.write(p, p.relative_to(root.parent))
+    context.addPyFile(path)
     context._quarrykit_shipped = True
     return spark
