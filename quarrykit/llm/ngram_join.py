@@ -1,13 +1,14 @@
-"""Exact Jaccard join of documents' shingle sets by an R-tree of count vectors.
+"""Exact Jaccard join of documents' shingle sets by R-trees of count vectors.
 
-Texts of equal sets form a class, and only classes are compared. By the prefix principle two sets of the likeness asked for share one of
-their first shingles in any order of all shingles; the order puts the most frequent ones last. Classes that share such a shingle, directly
-or through others, form a coarse component, and links lie within one. Small components are packed into tiles, large ones are cut by set size
-and hash into parts, every two of which that can hold a link form a tile; so a tile is bounded, whatever the group.
+Texts of equal sets form a class, and only classes are compared. Shingles are hashed into groups; a class is the point of its counts by group. The
+overlap of two sets is at most the sum of the smaller of their counts, and at most that of a point and the largest counts of an R-tree node.
 
-Within a tile shingles are hashed into groups; a class is the point of its counts by group. The overlap of two sets is at most the sum of the
-smaller of their counts, and at most that of a point and the largest counts of a node, which prunes the R-tree. Pairs that survive are
-verified on the sets themselves. A pair is passed over only if links found before connect it already, so components are exact.
+By the prefix principle two sets of the likeness asked for share one of their first shingles in any order of all shingles. Classes that share one
+form a block, whose R-tree finds the pairs that sizes and counts allow; what such pairs connect is a coarse component, and links lie within
+one. Small components are packed into tiles, large ones are cut by set size and hash into parts, every two of which that can hold a link form a
+tile. In a tile another R-tree finds the pairs, which are then verified on the sets themselves. A pair is passed over only if what was
+found before connects it already, so components are exact. Large blocks are cut into pairs of parts too, and the order puts shingles of
+large blocks last, so that a passage that many documents share is in few prefixes; no task holds an unbounded group.
 
 Cases: a text without words, or null, has an empty set and is linked with nothing; a null doc_id takes part, but names a component only if no other
 member has an id (null then); rows that repeat are one class; an empty table gives no rows; columns beyond doc_id and text are ignored by
@@ -16,7 +17,7 @@ link() and kept by keep_first().
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, table
@@ -24,9 +25,13 @@ from .components import connected_components
 from .ngrams import mix, shingle_sets
 
 SHINGLE, PERCENT = 4, 85
-GROUPS, FANOUT = 64, 32
-#: Prefix shingles of more classes than HEAVY go last in the order, HEAVY_KEPT of the most frequent at most; either changes the order only.
-HEAVY, HEAVY_KEPT = 200, 1 << 16
+GROUP_BITS, FANOUT = 7, 32
+GROUPS = 1 << GROUP_BITS
+#: Shingles whose blocks hold more classes go last in the order, HEAVY_KEPT of the most frequent at most; either changes the order only, ORDERS
+#: times at most.
+HEAVY, HEAVY_KEPT, ORDERS = 500, 1 << 16, 2
+#: Classes of a part of a large block, and those of a block whose pairs are all bounded without a tree.
+BLOCK_CLASSES, FEW = 2000, 8
 #: Shingles and classes that a part of a tile aims at.
 TILE_SHINGLES, TILE_CLASSES = 1 << 20, 2000
 #: Bytes of texts hashed at a time, but for the text that passes them.
@@ -53,20 +58,30 @@ def class_key(s: np.ndarray) -> int:
     return int(mix(np.array([both], np.uint64)).view(np.int64)[0])
 
 
+def counts_of(s: np.ndarray) -> np.ndarray:
+    """A set's point, for sets of fewer than 65,536 shingles in any group; larger counts of a group stand as 65,535 in either of two sets, and
+    sets that have one are not bounded (see able())."""
+    return np.minimum(np.bincount((s >> np.uint64(64 - GROUP_BITS)).astype(np.int64), minlength=GROUPS), 65535)
+
+
+def able(bound: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of a and b shingles, of which at most ``bound`` are shared, can have the likeness asked for."""
+    return (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (((100 + percent) * bound >= percent * (a + b)) | (np.maximum(a, b) > 65535))
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
 def _signatures(size: int, percent: int, heavy: np.ndarray):
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-
     def run(batches):
         for batch in batches:
             for first, texts in _blocks(batch, 2):
-                keys, sizes, firsts = [], [], []
+                keys, sizes, firsts, vectors = [], [], [], []
                 for s in shingle_sets(texts, size):
                     keys.append(class_key(s))
                     sizes.append(len(s))
+                    vectors.append(counts_of(s).astype("<u2").tobytes())
                     k = prefix_length(len(s), percent) if len(s) else 0
                     if len(heavy) and k:
                         late = heavy[np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)] == s
@@ -75,17 +90,17 @@ def _signatures(size: int, percent: int, heavy: np.ndarray):
                 flat = np.concatenate(firsts) if firsts else np.zeros(0, np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32()), pa.array(flat))
                 part = batch.slice(first, len(texts))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys, kinds[0]), pa.array(sizes, kinds[1]), lists], names=["doc_id", "row", "class", "n", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), lists, pa.array(vectors, pa.binary())], names=["doc_id", "row", "class", "n", "prefix", "counts"])
 
     return run
 
 
 def signatures(docs: DataFrame, size: int, percent: int, heavy: list[int] = ()) -> DataFrame:
-    """(doc_id, row, class, n, prefix) of every row; row is a hash of its text."""
+    """(doc_id, row, class, n, prefix, counts) of every row; row is a hash of its text, counts are 16-bit integers."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     late = np.sort(np.array(heavy, np.int64).view(np.uint64))
     text = F.coalesce("text", F.lit("")).cast("binary")
-    return docs.select("doc_id", F.xxhash64(text).alias("row"), text.alias("text")).mapInArrow(_signatures(size, percent, late), f"doc_id {kind}, row long, class long, n long, prefix array<long>")
+    return docs.select("doc_id", F.xxhash64(text).alias("row"), text.alias("text")).mapInArrow(_signatures(size, percent, late), f"doc_id {kind}, row long, class long, n long, prefix array<long>, counts binary")
 
 
 class Tree:
@@ -110,26 +125,25 @@ class Tree:
     def near(self, point: np.ndarray, n: int, percent: int) -> np.ndarray:
         """Places in order of the points whose set can have the likeness asked for with a set of n shingles at this point."""
 
-        def able(top, least, most, places):
+        def kept(top, least, most, places):
             size = np.maximum(least[places], -(-percent * n // 100))
-            ok = (size <= most[places]) & (100 * size <= 100 * 100 * n // percent)
-            places, size = places[ok], size[ok]
-            bound = np.minimum(top[places], point).sum(1)
-            return places[(100 + percent) * bound >= percent * (n + size)]
+            places, size = places[size <= most[places]], size[size <= most[places]]
+            ok = able(np.minimum(top[places], point).sum(1), np.full(len(size), n), size, percent)
+            return places[ok | (most[places] > 65535)]
 
         places = np.arange(len(self.levels[-1][1]))
         for k in range(len(self.levels) - 1, -1, -1):
-            places = able(*self.levels[k], places)
+            places = kept(*self.levels[k], places)
             below = len(self.levels[k - 1][1]) if k else len(self.order)
             places = (places[:, None] * FANOUT + np.arange(FANOUT)).ravel()
             places = places[places < below]
-        return able(self.counts, self.sizes, self.sizes, places)
+        return kept(self.counts, self.sizes, self.sizes, places)
 
 
 def links(keys: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links between classes that connect whatever the likeness of percent connects: no more than a tree of each component."""
     sizes = np.array([len(s) for s in sets])
-    counts = np.stack([np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS) for s in sets]).astype(np.int32)
+    counts = np.stack([counts_of(s) for s in sets]).astype(np.int32)
     tree = Tree(counts, sizes)
     order = tree.order
     _, local = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
@@ -159,6 +173,61 @@ def links(keys: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[
     return out
 
 
+def _block_pairs(percent: int):
+    """From rows (block, class, n, counts), sorted by block, a tree of edges (a, b) of what the pairs that sizes and counts allow connect in each block."""
+
+    def whole(rows: pa.Table) -> pa.RecordBatch:
+        block, key, n = (rows.column(i).to_numpy() for i in range(3))
+        counts = np.frombuffer(b"".join(rows.column(3).to_pylist()), "<u2").reshape(len(key), GROUPS)
+        starts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+        sizes = np.diff(np.append(starts, len(block)))
+        found = []
+        for m in range(2, FEW + 1):
+            at = starts[sizes == m]
+            for i in range(m):
+                for j in range(i + 1, m):
+                    for k in range(0, len(at), 4096):
+                        x, y = at[k : k + 4096] + i, at[k : k + 4096] + j
+                        x, y = (z[key[x] != key[y]] for z in (x, y))
+                        ok = able(np.minimum(counts[x], counts[y]).sum(1, dtype=np.int64), n[x], n[y], percent)
+                        found.append(np.stack([key[x[ok]], key[y[ok]]], 1))
+        for s, m in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
+            found.append(_connected(key[s : s + m], n[s : s + m], counts[s : s + m].astype(np.int32), percent))
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["a", "b"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([held, rows]) if held is not None else rows
+            block = rows.column(0).to_numpy()
+            cut = int(np.searchsorted(block, block[-1])) if len(block) else 0  # the last block may go on
+            if cut:
+                yield whole(rows.slice(0, cut).combine_chunks())
+            held = rows.slice(cut)
+        if held is not None and held.num_rows:
+            yield whole(held.combine_chunks())
+
+    return run
+
+
+def _connected(keys: np.ndarray, sizes: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    tree = Tree(counts, sizes)
+    keys = keys[tree.order]
+    label = np.arange(len(keys))
+    found = []
+    for x in range(len(keys)):
+        ys = tree.near(tree.counts[x], int(tree.sizes[x]), percent)
+        for y in ys[(ys > x) & (label[ys] != label[x])]:
+            if label[y] != label[x]:
+                if keys[x] != keys[y]:
+                    found.append((keys[x], keys[y]))
+                a, b = sorted((label[x], label[y]))
+                label[label == b] = a
+    return np.array(found, np.int64).reshape(-1, 2)
+
+
 def _tile(size: int, percent: int):
     def run(group: pa.Table) -> pa.Table:
         keys, sets, seen = [], [], set()
@@ -203,15 +272,24 @@ def _tiles(classes: DataFrame, coarse: DataFrame, percent: int) -> DataFrame:
 
 def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, row, n_shingles, component_id) of every row of docs; component_id is the smallest doc_id reachable by links."""
-    classes_of = lambda s: s.filter("n > 0").groupBy("class").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    own = materialize(signatures(docs, size, percent))
-    heavy = classes_of(own).select(F.explode("prefix").alias("t")).groupBy("t").agg(F.count("*").alias("k")).filter(F.col("k") > HEAVY).orderBy(F.desc("k"), "t").limit(HEAVY_KEPT).collect()
-    if heavy:
-        own = materialize(signatures(docs, size, percent, [r["t"] for r in heavy]))
-    classes = materialize(classes_of(own))
-    tokens = classes.select("class", F.explode("prefix").alias("t"))
-    shared = tokens.groupBy("t").agg(F.min("class").alias("m"), F.max("class").alias("most")).filter("m < most").drop("most")
-    coarse = connected_components(tokens.join(shared, "t").filter("class <> m").select(F.col("class").alias("a"), F.col("m").alias("b")).distinct())
+    heavy: set[int] = set()
+    for turn in range(ORDERS + 1):
+        own = materialize(signatures(docs, size, percent, sorted(heavy)))
+        tokens = own.filter("n > 0").groupBy("class").agg(F.first("prefix").alias("prefix")).select("class", F.explode("prefix").alias("t"))
+        sized = tokens.withColumn("size", F.count("*").over(Window.partitionBy("t")))
+        blocks = materialize(sized.filter("size > 1"))
+        large = {r["t"] for r in blocks.filter(F.col("size") > HEAVY).groupBy("t").agg(F.first("size").alias("size")).orderBy(F.desc("size"), "t").limit(HEAVY_KEPT).collect()}
+        if large <= heavy or turn == ORDERS:
+            break
+        heavy |= large
+    classes = own.filter("n > 0").groupBy("class").agg(F.first("n").alias("n"), F.first("counts").alias("counts"))
+    parts = F.ceil(F.col("size") / BLOCK_CLASSES).cast("int")
+    part = F.pmod(F.xxhash64("class"), parts).cast("int")
+    block = F.when(parts == 1, F.array("t")).otherwise(F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.xxhash64("t", F.least(i, part), F.greatest(i, part))))
+    cut = blocks.select("class", F.explode(block).alias("block")).join(classes, "class").select("block", "class", "n", "counts")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = cut.repartition(tasks, "block").sortWithinPartitions("block", "class").mapInArrow(_block_pairs(percent), "a long, b long")
+    coarse = connected_components(near)
     tiles = materialize(_tiles(classes, coarse, percent))
     # one text of each class; the same row twice is told apart by class within a tile
     one = own.join(tiles.select("class").distinct(), "class").groupBy("class").agg(F.min(F.struct("doc_id", "row")).alias("r")).select("class", F.col("r.doc_id").alias("r_doc"), F.col("r.row").alias("r_row"))
