@@ -36,8 +36,8 @@ def _bytes() -> tuple[np.ndarray, np.ndarray]:
     return table, space
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts in order, and len(texts) + 1 bounds of each text's words."""
+def word_hashes(texts: list[bytes], spans: bool = False) -> tuple:
+    """Hashes of all words of all texts in order, and len(texts) + 1 bounds of each text's words; with spans also (all texts, starts, ends of words)."""
     buffer = b"\n".join(texts).lower() + b"\n"
     codes = np.frombuffer(buffer, np.uint8)
     table, space = _bytes()
@@ -51,7 +51,8 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     before = np.where(starts > 0, sums[starts - 1], _U(0))
     hashes = mix((sums[ends - 1] - before) * down[starts]) ^ mix((ends - starts).astype(np.uint64))
     at = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    return hashes, np.searchsorted(starts, at)
+    bounds = np.searchsorted(starts, at)
+    return (hashes, bounds, (buffer, starts, ends)) if spans else (hashes, bounds)
 
 
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:

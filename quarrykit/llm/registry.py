@@ -4,6 +4,7 @@ from .bpe import op6_bpe, op8_token_counts
 from .extract import op7_html_text
 from .fingerprint import op3_fingerprint
 from .langid import op4_langid
+from .lm import op2_lm_score
 from .mixing import op1_mix
 from .ngram_join import op5_ngram_join
 from .quality import op9_quality
@@ -11,6 +12,7 @@ from .warc import op10_warc
 
 QUERIES = {
     "op1_mix": op1_mix,
+    "op2_lm_score": op2_lm_score,
     "op3_fingerprint": op3_fingerprint,
     "op4_langid": op4_langid,
     "op5_ngram_join": op5_ngram_join,
