@@ -5,8 +5,8 @@ headers, footers, sidebars, notices, adverts, forms, comments) gives an empty on
 Where the sum surges from nothing a region of text begins, where it dives to nothing the region ends; text between is kept. On a
 page that marks its article all regions in it are kept, on others those whose highest sum comes near the highest of the page.
 
-Cases: null or empty html gives an empty text; pages are taken whole, whatever their length; an element that is never closed hides nothing after
-the point where an article begins; rows that repeat get equal results; an empty table gives no rows; columns beyond page_id, url and html
+Cases: null or empty html gives an empty text; pages are taken whole, whatever their length; an element that is never closed hides nothing, or no
+more than what comes before an article; rows that repeat get equal results; an empty table gives no rows; columns beyond page_id, url and html
 are ignored.
 """
 

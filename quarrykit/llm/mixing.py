@@ -5,7 +5,8 @@ Document rates start at 1 and lie between 0 and CAP; of all rates that meet the
 form CAP / (1 + (CAP - 1) exp(-lambda x)), x being the document's words over its source's mean. The multipliers lambda minimise a convex dual
 and are found by Newton steps; each step is one aggregation over counts of (source, size), never over texts. Rates are then rounded: a
 document takes the whole part, and one more where a hash of it lies below its fraction plus a shift that its source chooses so that the
-words taken meet the target; last, single copies of the largest documents that fit into what is missing are added or taken away.
+words taken meet the target; last, single copies of the documents whose sizes come
+nearest to what is missing or too much are added or taken away.
 
 Cases: null text has size 0; a null source is a source of its own, the last in order; documents of size 0 take one copy and no words; rows that
 repeat doc_id, source and size get equal copies; an empty table gives no rows; other columns are ignored by mix() and kept by mixed().
@@ -21,7 +22,7 @@ WEIGHTS = (1, 2, 3)
 #: Newton steps at most, and the relative error of a source's words at which they end.
 STEPS, TOLERANCE = 40, 1e-4
 #: Slots of the rounding key in which a source's words are summed, and passes that add or take away single copies.
-SLOTS, PASSES = 4096, 4
+SLOTS, PASSES = 4096, 6
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -100,20 +101,21 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def _polish(rows: DataFrame) -> DataFrame:
-    """Add or take away, in each source, one copy of the largest document that fits into what is missing or too much."""
+    """Add or take away, in each source, one copy of the document whose size comes nearest to what is missing or too much, if that is less then."""
     missing = rows.groupBy("s").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("missing"))
-    fit = rows.join(missing, "s").filter((F.col("size") > 0) & (F.col("size") <= F.abs("missing")) & (((F.col("missing") > 0) & (F.col("copies") < CAP)) | ((F.col("missing") < 0) & (F.col("copies") > 0))))
-    picked = fit.groupBy("s").agg(F.max(F.struct("size", "u", "doc_id", F.signum("missing").cast("int").alias("change"))).alias("p")).select("s", F.col("p.size").alias("p_size"), F.col("p.u").alias("p_u"), F.col("p.change").alias("change"))
+    fit = rows.join(missing, "s").filter((F.col("size") > 0) & (F.col("size") < 2 * F.abs("missing")) & (((F.col("missing") > 0) & (F.col("copies") < CAP)) | ((F.col("missing") < 0) & (F.col("copies") > 0))))
+    best = F.min(F.struct(F.abs(F.abs("missing") - F.col("size")).alias("rest"), "u", "size", F.signum("missing").cast("int").alias("change"))).alias("p")
+    picked = fit.groupBy("s").agg(best).select("s", F.col("p.size").alias("p_size"), F.col("p.u").alias("p_u"), F.col("p.change").alias("change"))
     out = rows.join(picked, "s", "left").withColumn("copies", F.col("copies") + F.when((F.col("size") == F.col("p_size")) & (F.col("u") == F.col("p_u")), F.col("change")).otherwise(0))
     return materialize(out.drop("p_size", "p_u", "change"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """docs with each row repeated as often as mix() takes it; all columns are kept."""
-    copies = mix(docs).select(F.col("doc_id").alias("__id"), F.col("s").alias("__s"), F.col("size").alias("__size"), F.col("copies").alias("__copies")).distinct()
-    own = docs.withColumn("__s0", F.when(F.col("source").isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col("source")))).withColumn("__size0", word_count(F.col("text")))
-    both = own.join(copies, [F.col("doc_id").eqNullSafe(F.col("__id")), F.col("__s0") == F.col("__s"), F.col("__size0") == F.col("__size")])
-    return both.filter("__copies > 0").withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    copies = mix(docs).select(F.col("doc_id").alias("id"), "s", "size", "copies").distinct().alias("c")
+    own = _key(docs.select("doc_id", "source", "text", F.struct("*").alias("whole"))).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("c.id")) & (F.col("d.s") == F.col("c.s")) & (F.col("d.size") == F.col("c.size"))
+    return own.join(copies, same).filter("copies > 0").select("whole", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("whole.*")
 
 
 def op1_mix(spark, sf_dir: str) -> DataFrame:

@@ -308,11 +308,12 @@ def keep_first(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row of each component of docs, that of the smallest doc_id and then of the least text hash; rows without words stay. All columns are kept."""
     own = link(docs, size, percent).withColumn("alone", F.col("n_shingles") == 0)
     kept = own.filter(F.col("alone") | F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.groupBy("component_id", "alone", F.when(F.col("alone"), F.col("row")).alias("k")).agg(F.min(F.struct("doc_id", "row")).alias("r")).select(F.col("r.doc_id").alias("__id"), F.col("r.row").alias("__r")).distinct()
+    group = ["component_id", "alone", F.when(F.col("alone"), F.col("row")).alias("k")]
+    kept = kept.groupBy(*group).agg(F.min(F.struct("doc_id", "row")).alias("r")).select(F.col("r.doc_id").alias("id"), F.col("r.row").alias("hash")).distinct().alias("k")
     text = F.coalesce("text", F.lit("")).cast("binary")
-    named = docs.withColumn("__row", F.xxhash64(text)).withColumn("__tie", F.xxhash64(F.struct(*docs.columns)))
-    out = named.join(kept, (F.col("__row") == F.col("__r")) & F.col("doc_id").eqNullSafe(F.col("__id")))
-    return out.dropDuplicates(["__row", "__id"]).select(*docs.columns)
+    named = docs.select("doc_id", F.xxhash64(text).alias("row"), F.struct("*").alias("whole")).alias("d")
+    out = named.join(kept, (F.col("d.row") == F.col("k.hash")) & F.col("d.doc_id").eqNullSafe(F.col("k.id")))
+    return out.select("row", "id", "whole").dropDuplicates(["row", "id"]).select("whole.*")
 
 
 def op5_ngram_join(spark, sf_dir: str) -> DataFrame:

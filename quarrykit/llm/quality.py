@@ -75,9 +75,9 @@ def quality(docs: DataFrame, least_docs: int = 20, max_share: float = 0.05, min_
 
 def keep_good(docs: DataFrame, **limits) -> DataFrame:
     """The rows of docs that quality() keeps, with all their columns."""
-    verdict = quality(docs, **limits).filter("kept").select("row_hash").distinct()
+    verdict = quality(docs, **limits).filter("kept").select(F.col("row_hash").alias("key")).distinct()
     own = F.xxhash64("doc_id", "source", F.coalesce("text", F.lit("")), F.length(F.coalesce("text", F.lit(""))))
-    return docs.withColumn("__row", own).join(verdict.withColumnRenamed("row_hash", "__row"), "__row", "left_semi").drop("__row").select(*docs.columns)
+    return docs.select(own.alias("key"), F.struct("*").alias("whole")).join(verdict, "key", "left_semi").select("whole.*")
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:
