@@ -29,9 +29,11 @@ GROUP_BITS, FANOUT = 7, 32
 GROUPS = 1 << GROUP_BITS
 #: Shingles whose blocks hold more classes go last in the order, HEAVY_KEPT of the most frequent at most; either changes the order only, ORDERS
 #: times at most.
-HEAVY, HEAVY_KEPT, ORDERS = 500, 1 << 16, 2
+HEAVY, HEAVY_KEPT, ORDERS = 2000, 1 << 16, 2
 #: Classes of a part of a large block, and those of a block whose pairs are all bounded without a tree.
 BLOCK_CLASSES, FEW = 2000, 8
+#: Rows (of 24 bytes) up to which the keys of compared texts are sent to all tasks; more are joined by a shuffle of the texts.
+SENT_ROWS = 500_000
 #: Shingles and classes that a part of a tile aims at.
 TILE_SHINGLES, TILE_CLASSES = 1 << 20, 2000
 #: Bytes of texts hashed at a time, but for the text that passes them.
@@ -295,6 +297,8 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     one = own.join(tiles.select("class").distinct(), "class").groupBy("class").agg(F.min(F.struct("doc_id", "row")).alias("r")).select("class", F.col("r.doc_id").alias("r_doc"), F.col("r.row").alias("r_row"))
     text = F.coalesce("text", F.lit("")).cast("binary")
     texts = docs.select(F.col("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
+    one = materialize(one)
+    one = F.broadcast(one) if one.count() <= SENT_ROWS else one
     texts = texts.join(one, (texts["row"] == one["r_row"]) & texts["doc_id"].eqNullSafe(one["r_doc"])).select("class", "text")
     found = texts.join(tiles, "class").groupBy("tile").applyInArrow(_tile(size, percent), "a long, b long")
     exact = connected_components(found)
