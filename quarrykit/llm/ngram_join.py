@@ -37,7 +37,7 @@ SENT_ROWS = 500_000
 #: Shingles and classes that a part of a tile aims at.
 TILE_SHINGLES, TILE_CLASSES = 1 << 20, 2000
 #: Bytes of texts hashed at a time, but for the text that passes them.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 
 
 def _blocks(batch: pa.RecordBatch, column: int):
