@@ -18,7 +18,7 @@ def connect(sf_dir: str):
 
 def rows(frame) -> list[tuple]:
     def plain(x):
-        if x is None or x != x or str(x) in ("<NA>", "NaT"):
+        if x is None or str(x) in ("<NA>", "NaT", "nan"):
             return "NULL"
         if isinstance(x, bool) or type(x).__name__ == "bool":
             return str(bool(x))
