@@ -27,15 +27,15 @@ from .ngrams import mix, shingle_sets
 SHINGLE, PERCENT = 4, 85
 GROUP_BITS, FANOUT = 7, 32
 GROUPS = 1 << GROUP_BITS
-#: Shingles whose blocks hold more classes go last in the order, HEAVY_KEPT of the most frequent at most; either changes the order only, ORDERS
-#: times at most.
-HEAVY, HEAVY_KEPT, ORDERS = 2000, 1 << 16, 2
+#: Shingles whose blocks hold more classes go last in the order, HEAVY_KEPT of the most frequent at most. Which these are is told, ORDERS times
+#: at most, from the texts of one hash value in ORDER_RATE. All of it changes the order and so the work, never a result: any order finds every link.
+HEAVY, HEAVY_KEPT, ORDERS, ORDER_RATE = 2000, 1 << 16, 2, 8
 #: Classes of a part of a large block, and those of a block whose pairs are all bounded without a tree.
 BLOCK_CLASSES, FEW = 2000, 8
 #: Rows (of 24 bytes) up to which the keys of compared texts are sent to all tasks; more are joined by a shuffle of the texts.
 SENT_ROWS = 500_000
-#: Shingles and classes that a part of a tile aims at.
-TILE_SHINGLES, TILE_CLASSES = 1 << 20, 2000
+#: Shingles and classes that a part of a tile aims at: some 24 MB of hashes. A class of a large component is sent to as many tiles as its band has parts.
+TILE_SHINGLES, TILE_CLASSES = 3 << 20, 6000
 #: Bytes of texts hashed at a time, but for the text that passes them.
 BLOCK = 1 << 20
 
@@ -272,18 +272,30 @@ def _tiles(classes: DataFrame, coarse: DataFrame, percent: int) -> DataFrame:
     return packed.unionByName(cut.select("class", F.explode(F.concat(same, up, down)).alias("tile")))
 
 
-def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, row, n_shingles, component_id) of every row of docs; component_id is the smallest doc_id reachable by links."""
+def _prefixes(own: DataFrame) -> DataFrame:
+    """(class, t): the first shingles of each class."""
+    return own.filter("n > 0").groupBy("class").agg(F.first("prefix").alias("prefix")).select("class", F.explode("prefix").alias("t"))
+
+
+def late_shingles(docs: DataFrame, size: int, percent: int) -> list[int]:
+    """The shingles that go last in the order, in ascending order."""
+    some = docs.filter(F.pmod(F.xxhash64(F.coalesce("text", F.lit("")).cast("binary")), F.lit(ORDER_RATE)) == 0)
     heavy: set[int] = set()
-    for turn in range(ORDERS + 1):
-        own = materialize(signatures(docs, size, percent, sorted(heavy)))
-        tokens = own.filter("n > 0").groupBy("class").agg(F.first("prefix").alias("prefix")).select("class", F.explode("prefix").alias("t"))
-        sized = tokens.withColumn("size", F.count("*").over(Window.partitionBy("t")))
-        blocks = materialize(sized.filter("size > 1"))
-        large = {r["t"] for r in blocks.filter(F.col("size") > HEAVY).groupBy("t").agg(F.first("size").alias("size")).orderBy(F.desc("size"), "t").limit(HEAVY_KEPT).collect()}
-        if large <= heavy or turn == ORDERS:
+    for _ in range(ORDERS):
+        tokens = _prefixes(signatures(some, size, percent, sorted(heavy)))
+        large = tokens.groupBy("t").agg(F.count("*").alias("size")).filter(F.col("size") > HEAVY / ORDER_RATE).orderBy(F.desc("size"), "t").limit(HEAVY_KEPT)
+        found = {r["t"] for r in large.collect()}
+        if found <= heavy:
             break
-        heavy |= large
+        heavy |= found
+    return sorted(heavy)
+
+
+def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, row, n_shingles, component_id) of every row of docs; component_id is the smallest doc_id reachable by links."""
+    own = materialize(signatures(docs, size, percent, late_shingles(docs, size, percent)))
+    sized = _prefixes(own).withColumn("size", F.count("*").over(Window.partitionBy("t")))
+    blocks = materialize(sized.filter("size > 1"))
     classes = own.filter("n > 0").groupBy("class").agg(F.first("n").alias("n"), F.first("counts").alias("counts"))
     parts = F.ceil(F.col("size") / BLOCK_CLASSES).cast("int")
     part = F.pmod(F.xxhash64("class"), parts).cast("int")
