@@ -293,6 +293,11 @@ def late_shingles(docs: DataFrame, size: int, percent: int) -> list[int]:
 
 def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, row, n_shingles, component_id) of every row of docs; component_id is the smallest doc_id reachable by links."""
+    return _linked(docs, size, percent).drop("c")
+
+
+def _linked(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """link() with c, which names the component itself: components that differ may share a component_id, null or that of an id with two texts."""
     own = materialize(signatures(docs, size, percent, late_shingles(docs, size, percent)))
     sized = _prefixes(own).withColumn("size", F.count("*").over(Window.partitionBy("t")))
     blocks = materialize(sized.filter("size > 1"))
@@ -317,14 +322,14 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     rows = own.select("doc_id", "row", "class", "n").join(exact.select(F.col("node").alias("class"), "component"), "class", "left")
     rows = rows.withColumn("c", F.coalesce("component", "class"))
     first = rows.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("first"))
-    return rows.join(first, "c", "left").select("doc_id", "row", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("doc_id")).alias("component_id"))
+    return rows.join(first, "c", "left").select("doc_id", "row", "c", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row of each component of docs, that of the smallest doc_id and then of the least text hash; rows without words stay. All columns are kept."""
-    own = link(docs, size, percent).withColumn("alone", F.col("n_shingles") == 0)
+    own = _linked(docs, size, percent).withColumn("alone", F.col("n_shingles") == 0)
     kept = own.filter(F.col("alone") | F.col("doc_id").eqNullSafe(F.col("component_id")))
-    group = ["component_id", "alone", F.when(F.col("alone"), F.col("row")).alias("k")]
+    group = ["c", "alone", F.when(F.col("alone"), F.struct("doc_id", "row")).alias("k")]
     kept = kept.groupBy(*group).agg(F.min(F.struct("doc_id", "row")).alias("r")).select(F.col("r.doc_id").alias("id"), F.col("r.row").alias("hash")).distinct().alias("k")
     text = F.coalesce("text", F.lit("")).cast("binary")
     named = docs.select("doc_id", F.xxhash64(text).alias("row"), F.struct("*").alias("whole")).alias("d")

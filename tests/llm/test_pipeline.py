@@ -41,3 +41,11 @@ def test_stages_take_anything(spark, sf, request, which):
 
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_near_duplicates_keep_what_is_not_linked(spark, documents):
+    """Documents without an id, and two texts of one id, are told apart by their components."""
+    text = lambda k: " ".join(f"{k}word{i}" for i in range(30))
+    rows = [(None, text("a"), "en", "s"), (None, text("b"), "en", "s"), (None, text("b"), "en", "s"), (1, text("c"), "en", "s"), (1, text("d"), "en", "s"), (2, text("d"), "en", "s"), (None, text("c"), "en", "s")]
+    kept = corpus_pipeline.near_duplicates(spark, documents(rows), "").collect()
+    assert sorted((str(r["doc_id"]), r["text"][0]) for r in kept) == [("1", "c"), ("1", "d"), ("None", "a"), ("None", "b")]
