@@ -2,8 +2,12 @@
 
 Markup is stripped: each block element gives a line, and a part of the page that by its element, class, id or role is no article (menus,
 headers, footers, sidebars, notices, adverts, forms, comments) gives an empty one. Text lengths are summed over sliding windows of lines.
-Where the sum surges from nothing a region of text begins, where it dives to nothing the region ends; text between is kept. On a
-page that marks its article all regions in it are kept, on others those whose highest sum comes near the highest of the page.
+Where the sum surges from nothing a region of text begins, where it dives to nothing the region ends; text between is kept in regions
+whose highest sum comes near the highest of the page.
+
+An article or main element is evidence, no verdict: where it holds half of the page's text or more, lines outside count nothing. In it WINDOW or
+more lines of links in a row count nothing, so that the sum dives there, and low regions stay only before the first high one (titles).
+Class words that leave little of an article are no evidence, and count outside of it only.
 
 Cases: null or empty html gives an empty text; pages are taken whole, whatever their length; an element that is never closed hides nothing, or no
 more than what comes before an article; rows that repeat get equal results; an empty table gives no rows; columns beyond page_id, url and html
@@ -18,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from .common import table
 
-#: Lines in a window, and the share of the page's highest sum that a region needs where no article is marked.
+#: Lines in a window, and the share of the page's highest sum that a region needs.
 WINDOW, SHARE = 3, 0.25
 #: Words that name what is no article, in a class, id or role (fixed values).
 BOILERPLATE = frozenset(
@@ -39,8 +43,9 @@ def _boilerplate(attributes: str) -> bool:
     return any(not BOILERPLATE.isdisjoint(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", v).lower())) for v in NAMES.findall(attributes)) or bool(re.search(r"\bhidden\b(?!\s*=)|display\s*:\s*none", re.sub(r'"[^"]*"(?<!none")', "", attributes)))
 
 
-def lines_of(page: str) -> tuple[list[tuple[str, bool, int]], bool]:
-    """The page's lines as (text, whether an article or main element holds it, characters in links), and whether there is such an element."""
+def lines_of(page: str, classes: bool = True) -> tuple[list[tuple[str, bool, int]], bool]:
+    """The page's lines as (text, whether an article or main element holds it, characters in links), and whether there is such an element;
+    without ``classes`` class words hide nothing in that element."""
     lines: list[tuple[str, bool, int]] = []
     text: list[str] = []
     state = {"links": 0}
@@ -99,6 +104,8 @@ def lines_of(page: str) -> tuple[list[tuple[str, bool, int]], bool]:
             if name == "a":
                 link = 0 if close else 1
             continue
+        if close and name == "h1" and article:
+            state["links"] = 0  # a title is text, linked or not
         end()
         if close:
             if name in ("article", "main"):
@@ -106,10 +113,10 @@ def lines_of(page: str) -> tuple[list[tuple[str, bool, int]], bool]:
             continue
         if name in VOID or attributes.endswith("/"):
             continue
-        named = name not in ("html", "body") and _boilerplate(attributes)
+        named = name not in ("html", "body") and (classes or not article) and _boilerplate(attributes)
         if (name in ASIDE or (name == "header" and not article) or name == "head" or named) and closes_after(name, at):
             hidden, depth, by_class = name, 1, True
-            lines.append(("", False, 0))
+            lines.append(("", article > 0, 0))
             continue
         if name in ("article", "main"):
             article += 1
@@ -118,12 +125,34 @@ def lines_of(page: str) -> tuple[list[tuple[str, bool, int]], bool]:
     return lines, marked
 
 
+def _inside(lines: list[tuple[str, bool, int]]) -> list[tuple[str, bool, int]]:
+    return [x for x in lines if x[1] and x[0]]
+
+
+def _sizes(lines: list[tuple[str, bool, int]], run: int = 1) -> list[int]:
+    """Text lengths of lines; lines that are mostly links, ``run`` or more in a row, count nothing."""
+    sizes = [len(t) for t, _, _ in lines]
+    first = 0
+    for i in range(len(lines) + 1):
+        if i == len(lines) or 2 * lines[i][2] <= sizes[i]:
+            if i - first >= run:
+                sizes[first:i] = [0] * (i - first)
+            first = i + 1
+    return sizes
+
+
 def main_text(page: str | None) -> str:
     lines, marked = lines_of(page or "")
     if marked:
-        sizes = [len(t) if inside else 0 for t, inside, _ in lines]
-    else:
-        sizes = [len(t) if 2 * links <= len(t) else 0 for t, _, links in lines]
+        own = _inside(lines)
+        if any(inside and not t for t, inside, _ in lines):
+            every = lines_of(page, classes=False)[0]
+            if sum(_sizes(own)) < SHARE * sum(_sizes(_inside(every))):
+                lines, own = every, _inside(every)
+        marked = 2 * sum(_sizes(own)) >= sum(_sizes(lines))
+    if marked:
+        lines = own
+    sizes = _sizes(lines, WINDOW if marked else 1)
     n = len(sizes)
     sums = [sum(sizes[max(0, i - WINDOW + 1) : i + 1]) for i in range(n)]
     regions, i = [], 0
@@ -134,9 +163,10 @@ def main_text(page: str | None) -> str:
                 i += 1
             regions.append((surge, i))
         i += 1
-    if not marked and regions:
+    if regions:
         least = SHARE * max(sums)
-        regions = [r for r in regions if max(sums[r[0] : r[1]]) >= least]
+        high = [max(sums[a:b]) >= least for a, b in regions]
+        regions = [r for k, r in enumerate(regions) if high[k] or (marked and not any(high[:k]))]
     return "\n".join(lines[j][0] for a, b in regions for j in range(a, b) if sizes[j])
 
 

@@ -344,6 +344,17 @@ def test_extract(page):
     assert extract.main_text(page) == TEXT
 
 
+def test_extract_decides_within_articles_and_without_them():
+    text = "".join(f"<p>Paragraph {i} of the text, which is long enough to count as what the page is about.</p>" for i in range(4))
+    want = "\n".join(re.findall("<p>(.*?)</p>", text))
+    links = "<ul>" + "".join(f"<li><a href='/{i}'>More to read {i}</a></li>" for i in range(5)) + "</ul>"
+    # links and what stands among them go though no listed class names them; titles stay, even as links
+    assert extract.main_text(PAGE % (f"<article><h1><a href='x'>Title</a></h1>{links}{text}<div class='k7'>{links}<p>Follow us</p>{links}</div></article>", "")) == "Title\n" + want
+    # a listed class on the body of an article, and an article element that holds a teaser only
+    assert extract.main_text(PAGE % (f"<article><h1>Title</h1><div class='notice share'>{text}</div></article>", "")) == "Title\n" + want
+    assert want in extract.main_text(f"<body><div>{text}</div><article><p>Teaser.</p></article></body>")
+
+
 def test_extract_pages(spark, sf):
     got = registry.QUERIES["op7_html_text"](spark, sf).toPandas()
     pages = pq.read_table(f"{sf}/pages.parquet").to_pandas().set_index("page_id")["html"]
