@@ -5,7 +5,8 @@ counted, where equal texts of a host count as one document. Lines above the limi
 little is left is rejected. All of it is DataFrame functions.
 
 Cases: null text counts as empty and fails the base rules; a null source is a host of its own; rows that repeat a document get equal
-verdicts; an empty table gives no rows; columns beyond doc_id, text and source are ignored by quality() and kept by keep_good().
+verdicts; an empty table gives no rows; columns beyond doc_id, text and source are ignored by quality() and kept by keep_good(), which gives the
+texts without the removed lines and brings n_chars, where there is one, in line with them.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -53,11 +54,12 @@ def base_metrics(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "host", "text_hash", "row_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lines")
 
 
-def quality(docs: DataFrame, least_docs: int = 20, max_share: float = 0.05, min_words: int = 10, min_left: float = 0.2) -> DataFrame:
+def _judged(docs: DataFrame, least_docs: int = 20, max_share: float = 0.05, min_words: int = 10, min_left: float = 0.2) -> DataFrame:
     """The counts of base_metrics() with words_left and kept.
 
     A line is over its host's limit where more than least_docs distinct documents of the host, and more than max_share of them, have it. A
-    document is depleted where fewer than min_words words, or less than min_left of its words, are left.
+    document is depleted where fewer than min_words words, or less than min_left of its words, are left. ``gone`` has the places of the lines
+    over the limit among the document's lines with words, in ascending order; null where there are none.
     """
     rows = materialize(base_metrics(docs))
     lines = rows.select("host", "text_hash", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
@@ -66,18 +68,38 @@ def quality(docs: DataFrame, least_docs: int = 20, max_share: float = 0.05, min_
     over = counts.join(hosts, "host").filter(F.col("n_docs") > max_share * F.col("host_docs")).select("host", "line")
     # what is removed is summed by position, so that rows that repeat a document don't add up
     hit = rows.select("host", "row_hash", F.posexplode("lines").alias("pos", "x")).select("host", "row_hash", "pos", F.col("x.line").alias("line"), F.col("x.words").alias("words")).join(over, ["host", "line"])
-    removed = hit.groupBy("row_hash", "pos").agg(F.max("words").alias("words")).groupBy("row_hash").agg(F.sum("words").alias("removed"))
+    removed = hit.groupBy("row_hash", "pos").agg(F.max("words").alias("words")).groupBy("row_hash").agg(F.sum("words").alias("removed"), F.sort_array(F.collect_list("pos")).alias("gone"))
     left = F.col("n_words") - F.coalesce("removed", F.lit(0))
     out = rows.drop("lines").join(removed, "row_hash", "left").withColumn("words_left", left)
     good = (F.col("words_left") >= min_words) & (F.col("words_left") >= min_left * F.col("n_words"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & good).alias("kept"), "words_left", "row_hash")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & good).alias("kept"), "words_left", "row_hash", "gone")
+
+
+def quality(docs: DataFrame, **limits) -> DataFrame:
+    """The counts and verdict of each row; the limits are those of _judged()."""
+    return _judged(docs, **limits).drop("gone")
+
+
+def without_lines(text: Column, gone: Column) -> Column:
+    """The text without the lines at the ascending places ``gone`` among its lines with words; all other lines stay as they are."""
+    lines = F.split(text, "\n", -1)
+    at = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(WORD), i)), lambda i: i.isNotNull())
+    cut = F.transform(gone, lambda p: F.get(at, p))
+    ends = F.concat(cut, F.array(F.size(lines)))
+    # runs of lines between those that go
+    runs = F.transform(F.concat(F.array(F.lit(-1)), cut), lambda c, k: F.slice(lines, c + 2, F.get(ends, k) - c - 1))
+    return F.array_join(F.flatten(runs), "\n")
 
 
 def keep_good(docs: DataFrame, **limits) -> DataFrame:
-    """The rows of docs that quality() keeps, with all their columns."""
-    verdict = quality(docs, **limits).filter("kept").select(F.col("row_hash").alias("key")).distinct()
+    """The rows of docs that quality() keeps, with all their columns, their texts without the lines over the limit."""
+    verdict = _judged(docs, **limits).filter("kept").groupBy(F.col("row_hash").alias("key")).agg(F.first("gone").alias("gone"))
     own = F.xxhash64("doc_id", "source", F.coalesce("text", F.lit("")), F.length(F.coalesce("text", F.lit(""))))
-    return docs.select(own.alias("key"), F.struct("*").alias("whole")).join(verdict, "key", "left_semi").select("whole.*")
+    kept = docs.select(own.alias("key"), F.struct("*").alias("whole")).join(verdict, "key")
+    cut = F.col("gone").isNotNull()
+    kept = kept.select("whole", "gone", F.when(cut, without_lines(F.col("whole.text"), F.col("gone"))).otherwise(F.col("whole.text")).alias("clean"))
+    made = {"text": F.col("clean"), "n_chars": F.when(cut, F.length("clean").cast("long")).otherwise(F.col("whole.n_chars")) if "n_chars" in docs.columns else None}
+    return kept.select(*(made[c].alias(c) if c in made else F.col(f"whole.`{c}`").alias(c) for c in docs.columns))
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:

@@ -383,6 +383,16 @@ def test_quality_removes_shared_lines(documents):
     assert not any(got[100 + i]["kept"] for i in range(5)) and got[200]["kept"]
 
 
+def test_quality_gives_texts_without_shared_lines(documents):
+    share = "This line stands in every page of the host and says nothing at all."
+    own = [" ".join(chr(97 + i % 26) * (2 + i // 26) + chr(97 + j % 26) * (1 + j // 26) for j in range(40)) for i in range(40)]
+    rows_ = [(i, f"{share}\n\n{t}\n  {share.upper()} \nLast q{i}" if i % 2 else f"{t}\n\n{share}\n", "en", "h") for i, t in enumerate(own)] + [(100, f"{share}\n{own[0]}\n", "en", "other")]
+    got = {r["doc_id"]: r for r in quality.keep_good(documents(rows_)).collect()}
+    for i, t in enumerate(own):
+        assert got[i]["text"] == (f"\n{t}\nLast q{i}" if i % 2 else f"{t}\n\n") and got[i]["n_chars"] == len(got[i]["text"])
+    assert got[100]["text"] == rows_[-1][1] and len(got) == 41
+
+
 def test_quality_odd(odd, nothing):
     got = {(r["doc_id"], r["n_words"]): r for r in quality.quality(odd).collect()}
     assert got[1, 0]["base_failed"] and got[4, 20_000]["kept"] and got[None, 10]["kept"]
