@@ -1,6 +1,7 @@
 """Helpers that the operators of this package share."""
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -27,9 +28,15 @@ def words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh path in the folder that driver and executors share (spark.checkpoint.dir); a temporary one where that is unset, as in tests."""
+    """A fresh path in the folder that driver and executors share (spark.checkpoint.dir).
+
+    Where that is unset a local session gets a temporary folder, as in tests; on a cluster RuntimeError is raised, since executors would write to disks
+    that others don't see.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quarrykit-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/quarrykit-{uuid.uuid4().hex}"
@@ -54,3 +61,36 @@ def materialize(df: DataFrame) -> DataFrame:
     path = shared_dir(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Keys that joined() sends to every task, at most; each of them holds more than one HOT_KEYS-th of the rows.
+HOT_KEYS = 2000
+#: Rows of a small table that few() sends to every task at most.
+SENT_ROWS = 500_000
+
+
+def joined(rows: DataFrame, table: DataFrame, keys: list[str], total: int, how: str = "left") -> DataFrame:
+    """rows joined with table(*keys, times, ...), which has at most one row for each value of the keys (never null); times goes.
+
+    times is the number of rows that have the key, and total that of all rows. Keys that hold more than one HOT_KEYS-th of the rows, so fewer than
+    HOT_KEYS, are sent to every task; the rows of all others are shuffled, and those of hot keys are dealt among them by a hash of all columns.
+    """
+    values = [c for c in table.columns if c not in {*keys, "times"}]
+    hot = F.col("times") * HOT_KEYS > total
+    first = F.broadcast(table.filter(hot).select(*keys, F.struct(*values).alias("__hot")))
+    rows = rows.join(first, keys, "left")
+    dealt = F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(F.lit(1) + F.pmod(F.xxhash64(*(F.col(f.name) for f in rows.schema if f.dataType.typeName() in SIMPLE)), F.lit(1 << 30)))
+    others = table.filter(~hot).select(*keys, F.struct(*values).alias("__cold")).withColumn("__dealt", F.lit(0).cast("long"))
+    out = rows.withColumn("__dealt", dealt.cast("long")).join(others, [*keys, "__dealt"], "left").withColumn("__found", F.coalesce("__hot", "__cold"))
+    out = out.filter(F.col("__found").isNotNull()) if how == "inner" else out
+    return out.select(*(c for c in rows.columns if c != "__hot"), *(F.col(f"__found.{v}").alias(v) for v in values))
+
+
+#: Types whose values joined() hashes.
+SIMPLE = frozenset("long integer short byte string double float boolean binary date timestamp timestamp_ntz".split())
+
+
+def few(df: DataFrame, most: int = SENT_ROWS) -> DataFrame:
+    """df written and read again, sent to every task by joins where it has no more than ``most`` rows."""
+    df = materialize(df)
+    return F.broadcast(df) if df.count() <= most else df

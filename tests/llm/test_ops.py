@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from oracle import connect, rows
+from quarrykit.llm import components as components_module
 from quarrykit.llm import attention, bpe, extract, fingerprint, langid, lm, mixing, ngram_join, ngrams, quality, registry, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -434,3 +435,26 @@ def test_archives(spark, tmp_path):
     assert got == want
     warc.write_archives(df.limit(0), str(tmp_path / "e"))
     assert not [*(tmp_path / "e").glob("*.gz")] or warc.read_archives(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_connected_components(spark, monkeypatch):
+    rng = random.Random(4)
+    names = rng.sample(range(10**12), 900)
+    edges = [(names[i], names[i + 1]) for i in range(300)] + [(names[301], names[i]) for i in range(302, 600)] + [(names[rng.randrange(600, 900)], names[rng.randrange(600, 900)]) for _ in range(200)]
+    top = {x: x for e in edges for x in e}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        top[b] = a
+    want = {x: find(x) for e in edges if e[0] != e[1] for x in e}
+    df = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    for least in (components_module.HOT_EDGES, 5):
+        monkeypatch.setattr(components_module, "HOT_EDGES", least)
+        got = [tuple(r) for r in components_module.connected_components(df).collect()]
+        assert len(got) == len(want) and dict(got) == want
+    assert components_module.connected_components(df.limit(0)).count() == 0
