@@ -1,13 +1,13 @@
 """Main text of web pages by the distribution of text over line blocks.
 
-Markup is stripped: each block element gives a line, and a part of the page that by its element, class, id or role is no article (menus,
-headers, footers, sidebars, notices, adverts, forms, comments) gives an empty one. Text lengths are summed over sliding windows of lines.
-Where the sum surges from nothing a region of text begins, where it dives to nothing the region ends; text between is kept in regions
-whose highest sum comes near the highest of the page.
+Markup is stripped: each block element gives a line. Parts that by their element or by a strong class word are no article (menus, headers, footers,
+sidebars, adverts, forms, comments) give nothing. Lines that are mostly links, and lines under a weak class word (header, alert, share, ...), count
+nothing. The lengths of what counts are summed over sliding windows of lines. Where the sum surges above a threshold a region begins; where it dives
+to nothing the region ends; text between the two, from a heading that leads to it on, is kept in regions whose highest sum comes near the highest of the page. Within a region prose
+under a weak class word stays, short lines under one go.
 
-An article or main element is evidence, no verdict: where it holds half of the page's text or more, lines outside count nothing. In it WINDOW or
-more lines of links in a row count nothing, so that the sum dives there, and low regions stay only before the first high one (titles).
-Class words that leave little of an article are no evidence, and count outside of it only.
+An article or main element is a tie break, no verdict: in a region most of whose text it holds, lines before its first and after its last go, and
+where such regions hold most of the page's text, the others go.
 
 Cases: null or empty html gives an empty text; pages are taken whole, whatever their length; an element that is never closed hides nothing, or no
 more than what comes before an article; rows that repeat get equal results; an empty table gives no rows; columns beyond page_id, url and html
@@ -16,50 +16,69 @@ are ignored.
 
 import html as entities
 import re
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import table
 
-#: Lines in a window, and the share of the page's highest sum that a region needs.
-WINDOW, SHARE = 3, 0.25
-#: Words that name what is no article, in a class, id or role (fixed values).
-BOILERPLATE = frozenset(
-    "ad ads adbox adslot adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist "
-    "consent contentinfo cookie cookies disclaimer disqus footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice "
-    "notification notifications paywall popup promo promotion promoted recommended related replies reply respond share sharing sidebar signup skip skyscraper social "
-    "sponsor sponsored subscribe subscription toolbar toc widget widgets complementary search alert dialog".split()
+#: Lines in a window, the share of the page's highest sum that a region needs, and the sum at which one begins (SHARE of the highest sum if that is less).
+WINDOW, SHARE, SURGE = 3, 0.25, 86
+#: Characters from which a line under a weak class word is prose.
+PROSE = 40
+#: Words of a class, id or role that name what is no article, wherever it stands, and those that do so only where little text stands under them (fixed values).
+STRONG = frozenset(
+    "ad ads adbox adslot adsense advert adverts advertisement advertising breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus "
+    "footer gdpr masthead menu menubar modal nav navbar navigation newsletter paywall popup replies respond sidebar skyscraper sponsored".split()
 )
-RAW = frozenset("script style textarea title noscript template iframe svg math object canvas head".split())
+WEAK = frozenset(
+    "alert banner complementary contentinfo dialog disclaimer header notice notification notifications promo promoted promotion recommended related reply search "
+    "share sharing signup skip social sponsor subscribe subscription toc toolbar widget widgets".split()
+)
+RAW = frozenset("script style textarea title noscript template iframe head".split())
 ASIDE = frozenset("nav footer aside form menu dialog button select fieldset".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^'">]|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)""", re.S)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 
 
-def _boilerplate(attributes: str) -> bool:
-    return any(not BOILERPLATE.isdisjoint(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", v).lower())) for v in NAMES.findall(attributes)) or bool(re.search(r"\bhidden\b(?!\s*=)|display\s*:\s*none", re.sub(r'"[^"]*"(?<!none")', "", attributes)))
+class Line(NamedTuple):
+    text: str
+    article: bool
+    #: Characters in links.
+    links: int
+    #: Whether it stands under a weak class word, but for headings.
+    weak: bool
+    heading: bool
+
 
+def _evidence(attributes: str) -> int:
+    """2 where attributes say that the element is no article, 1 where they say so weakly, else 0."""
+    words = {w for v in NAMES.findall(attributes) for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", v).lower())}
+    if not STRONG.isdisjoint(words) or re.search(r"\bhidden\b(?!\s*=)|display\s*:\s*none", re.sub(r'"[^"]*"(?<!none")', "", attributes)):
+        return 2
+    return int(not WEAK.isdisjoint(words))
 
-def lines_of(page: str, classes: bool = True) -> tuple[list[tuple[str, bool, int]], bool]:
-    """The page's lines as (text, whether an article or main element holds it, characters in links), and whether there is such an element;
-    without ``classes`` class words hide nothing in that element."""
-    lines: list[tuple[str, bool, int]] = []
+
+def lines_of(page: str) -> list[Line]:
+    """The page's lines in order; a hidden part leaves an empty line."""
+    lines: list[Line] = []
     text: list[str] = []
-    state = {"links": 0}
-    article = depth = link = 0
-    marked, hidden, by_class = False, "", False
+    links = article = depth = link = weak_depth = 0
+    hidden, weak, heading, marked = "", "", False, False
     at, low = 0, page.lower()
     last_close: dict[str, int] = {}
 
     def end() -> None:
+        nonlocal links
         joined = " ".join(entities.unescape("".join(text)).split())
         if joined:
-            lines.append((joined, article > 0, state["links"]))
+            lines.append(Line(joined, article > 0, 0 if heading else links, bool(weak) and not heading, heading))
         text.clear()
-        state["links"] = 0
+        links = 0
 
     def closes_after(name: str, here: int) -> bool:
         if name not in last_close:
@@ -70,7 +89,7 @@ def lines_of(page: str, classes: bool = True) -> tuple[list[tuple[str, bool, int
         m = TOKEN.search(page, at)
         if not hidden and (piece := page[at : m.start() if m else len(page)]):
             text.append(piece)
-            state["links"] += len(piece) if link else 0
+            links += len(piece) if link else 0
         if not m:
             break
         at = m.end()
@@ -79,14 +98,12 @@ def lines_of(page: str, classes: bool = True) -> tuple[list[tuple[str, bool, int
             continue
         name = name.lower()
         if hidden:
-            if not close and by_class and not marked and name in ("article", "main", "h1") and not _boilerplate(attributes):
+            if not close and not marked and name in ("article", "main", "h1") and not _evidence(attributes):
                 hidden = ""  # the hidden element was never closed
-            elif name == hidden:
-                depth += -1 if close else 1 - attributes.endswith("/")
-                if depth == 0:
-                    hidden = ""
-                continue
             else:
+                if name == hidden:
+                    depth += -1 if close else 1 - attributes.endswith("/")
+                    hidden = hidden if depth else ""
                 continue
         if not close and name in RAW and name != "head":
             stop = low.find("</" + name, at)
@@ -95,83 +112,96 @@ def lines_of(page: str, classes: bool = True) -> tuple[list[tuple[str, bool, int
             elif name in ("script", "style"):
                 at = len(page)
             continue
-        if name in ("br", "hr") or name == "wbr":
+        if name in ("br", "hr", "wbr"):
             text.append(" " if name == "br" else "")
             if name == "hr":
                 end()
             continue
-        if name in INLINE and not (name == "span" and not close and _boilerplate(attributes)):
+        evidence = 0 if close or name in ("html", "body") else _evidence(attributes)
+        if name in INLINE and not (name == "span" and evidence == 2):
             if name == "a":
                 link = 0 if close else 1
             continue
-        if close and name == "h1" and article:
-            state["links"] = 0  # a title is text, linked or not
         end()
+        if name == weak:
+            weak_depth += -1 if close else 1 - attributes.endswith("/")
+            weak = weak if weak_depth else ""
+        if name in HEADINGS:
+            heading = not close
         if close:
             if name in ("article", "main"):
                 article = max(0, article - 1)
             continue
         if name in VOID or attributes.endswith("/"):
             continue
-        named = name not in ("html", "body") and (classes or not article) and _boilerplate(attributes)
-        if (name in ASIDE or (name == "header" and not article) or name == "head" or named) and closes_after(name, at):
-            hidden, depth, by_class = name, 1, True
-            lines.append(("", article > 0, 0))
+        if (name in ASIDE or (name == "header" and not article) or name == "head" or evidence == 2) and closes_after(name, at):
+            hidden, depth = name, 1
+            lines.append(Line("", article > 0, 0, False, False))
             continue
+        if evidence == 1 and not weak and closes_after(name, at):
+            weak, weak_depth = name, 1
         if name in ("article", "main"):
             article += 1
             marked = True
     end()
-    return lines, marked
-
-
-def _inside(lines: list[tuple[str, bool, int]]) -> list[tuple[str, bool, int]]:
-    return [x for x in lines if x[1] and x[0]]
-
-
-def _sizes(lines: list[tuple[str, bool, int]], run: int = 1) -> list[int]:
-    """Text lengths of lines; lines that are mostly links, ``run`` or more in a row, count nothing."""
-    sizes = [len(t) for t, _, _ in lines]
-    first = 0
-    for i in range(len(lines) + 1):
-        if i == len(lines) or 2 * lines[i][2] <= sizes[i]:
-            if i - first >= run:
-                sizes[first:i] = [0] * (i - first)
-            first = i + 1
-    return sizes
-
-
-def main_text(page: str | None) -> str:
-    lines, marked = lines_of(page or "")
-    if marked:
-        own = _inside(lines)
-        if any(inside and not t for t, inside, _ in lines):
-            every = lines_of(page, classes=False)[0]
-            if sum(_sizes(own)) < SHARE * sum(_sizes(_inside(every))):
-                lines, own = every, _inside(every)
-        marked = 2 * sum(_sizes(own)) >= sum(_sizes(lines))
-    if marked:
-        lines = own
-    sizes = _sizes(lines, WINDOW if marked else 1)
+    return lines
+
+
+def line_sizes(lines: list[Line]) -> list[int]:
+    """What each line counts: its length, but nothing for one that is mostly links or stands under a weak class word, unless these words leave little of the page."""
+    every = [0 if 2 * x.links > len(x.text) else len(x.text) for x in lines]
+    sizes = [0 if x.weak else n for x, n in zip(lines, every, strict=True)]
+    return sizes if sum(sizes) >= SHARE * sum(every) else every
+
+
+def regions_of(sizes: list[int], window: int = WINDOW, share: float = SHARE, surge: int = SURGE) -> list[tuple[int, int]]:
+    """(first, last + 1) of the lines between each surge and the dive after it, in regions whose highest sum of a window is a share of the page's highest."""
     n = len(sizes)
-    sums = [sum(sizes[max(0, i - WINDOW + 1) : i + 1]) for i in range(n)]
-    regions, i = [], 0
+    sums = [sum(sizes[i : i + window]) for i in range(n)]
+    most = max(sums, default=0)
+    least, found, i = min(surge, share * most), [], 0
     while i < n:
-        if sums[i]:
-            surge = i
+        if sizes[i] and sums[i] >= least:
+            first = i
             while i < n and sums[i]:
                 i += 1
-            regions.append((surge, i))
+            if max(sums[first:i]) >= share * most:
+                last = max(j for j in range(first, i) if sizes[j])
+                found.append((first, last + 1))
         i += 1
-    if regions:
-        least = SHARE * max(sums)
-        high = [max(sums[a:b]) >= least for a, b in regions]
-        regions = [r for k, r in enumerate(regions) if high[k] or (marked and not any(high[:k]))]
-    return "\n".join(lines[j][0] for a, b in regions for j in range(a, b) if sizes[j])
+    return found
+
+
+def main_text(page: str | None, window: int = WINDOW, share: float = SHARE, surge: int = SURGE) -> str:
+    lines = lines_of(page or "")
+    sizes = line_sizes(lines)
+    regions = regions_of(sizes, window, share, surge)
+    own = lambda a, b: [j for j in range(a, b) if lines[j].article and sizes[j]]
+    text = lambda js: sum(sizes[j] for j in js)
+    for k, (a, b) in enumerate(regions):
+        # a region takes the headings that lead to it over short lines
+        lead = a
+        while lead and sizes[lead - 1]:
+            lead -= 1
+        regions[k] = (min((j for j in range(lead, a) if lines[j].heading), default=a), b)
+    held = []
+    for a, b in regions:
+        inside = own(a, b)
+        if 2 * text(inside) > text(range(a, b)):
+            a, b = inside[0], inside[-1] + 1
+            # prose under a weak word at an end of the element
+            while b < len(lines) and lines[b].article and lines[b].weak and len(lines[b].text) >= PROSE:
+                b += 1
+            while a and lines[a - 1].article and lines[a - 1].weak and len(lines[a - 1].text) >= PROSE:
+                a -= 1
+            held.append((a, b))
+    if 2 * sum(text(range(a, b)) for a, b in held) > sum(text(range(a, b)) for a, b in regions):
+        regions = held
+    return "\n".join(x.text for a, b in regions for j, x in enumerate(lines[a:b], a) if x.text and (sizes[j] or not x.weak or len(x.text) >= PROSE > 2 * x.links))
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of each page."""
+    """(page_id, url, text, n_chars) of each page; columns of other names are ignored."""
 
     def run(batches):
         for batch in batches:

@@ -1,12 +1,12 @@
 """Language identification by nearest centroid.
 
 A text becomes a vector of hashed letter n-grams (two and three code points of the lower-cased text, every run of other characters counted as
-one space), weighted by 1 + log of the count and by inverse document frequency, and brought to length 1. Each language has several
-centroids from spherical k-means; the language of the nearest by cosine wins. A text farther from its centroid than the centroid's radius
-is rejected.
+one space), weighted by log(1 + count) and by inverse document frequency, and brought to length 1. Each language has several
+centroids from spherical k-means; the language of the nearest by cosine wins. A text whose cosine is less than its language asks for at its
+length is rejected.
 
-Document frequencies are counted over all training rows; the centroids are fitted on a sample of at most SAMPLE rows of each of the
-LANGUAGES most frequent languages, those of least hash of doc_id.
+Document frequencies are counted over all training rows; the centroids and limits are fitted, one language to a group of a task, on a sample of at
+most SAMPLE rows of each language, those of least hash of doc_id. Only centroids and limits (130 KB a language) come to the driver.
 
 Cases: null text and text without a letter are ``und`` with score 0, rejected and never learned from; a null lang is never learned from; a null doc_id is
 neither learned from nor held out; equal texts get equal predictions (ties go to the first language in order); with nothing to learn from, all
@@ -20,13 +20,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import few, table
 
-DIMENSIONS = 4096
-SAMPLE, LANGUAGES = 600, 400
+HASH_BITS = 13
+DIMENSIONS = 1 << HASH_BITS
+SAMPLE = 600
 CENTROIDS, ROUNDS = 4, 12
-#: Added to the largest distance of a centroid's own sample rows to give its radius; the radius at least and at most.
-MARGIN, NARROWEST, WIDEST = 0.3, 0.85, 0.95
+#: Texts whose vectors are held at a time.
+ROWS = 256
+#: Lengths fall into classes by the power of two of their number of n-grams. A limit is a share of a low quantile of the cosines that the sample rows of a
+#: language of that length, or of the lengths beside it, have to their centroids; with fewer than LEAST_ROWS of them all rows of the language count.
+LENGTHS, LIMIT_SHARE, LIMIT_QUANTILE, LEAST_ROWS = 24, 0.7, 0.01, 20
 #: Code points whose n-grams are counted at a time; a longer text is counted in pieces that overlap.
 BLOCK = 1 << 20
 
@@ -78,7 +82,7 @@ def _count(held: list[tuple[int, np.ndarray, bool]], out: np.ndarray) -> None:
             h = h * np.uint32(2654435761) + part * np.uint32(40503) + np.uint32(n)
             some |= part != 0
         h ^= h >> np.uint32(15)
-        h = (h * np.uint32(2246822519)) >> np.uint32(20)
+        h = (h * np.uint32(2246822519)) >> np.uint32(32 - HASH_BITS)
         some &= piece[: len(h)] == piece[n - 1 :]
         if n == 2:
             some[again[again < len(some)]] = False
@@ -90,8 +94,8 @@ def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def cluster(x: np.ndarray, k: int = CENTROIDS, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means from spread rows: centroids of length 1 and the largest cosine distance of a row to its own."""
+def cluster(x: np.ndarray, k: int = CENTROIDS, rounds: int = ROUNDS) -> np.ndarray:
+    """Spherical k-means from spread rows: centroids of length 1."""
     first = [int(np.argmax(x @ x.mean(0)))]
     for _ in range(1, min(k, len(x))):
         first.append(int(np.argmin((x @ x[first].T).max(1))))
@@ -100,27 +104,44 @@ def cluster(x: np.ndarray, k: int = CENTROIDS, rounds: int = ROUNDS) -> tuple[np
         own = (x @ centre.T).argmax(1)
         centre = np.stack([x[own == i].sum(0) if (own == i).any() else centre[i] for i in range(len(centre))])
         centre = centre / np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-12)
-    near = x @ centre.T
-    own = near.argmax(1)
-    return centre, np.array([1 - near[own == i, i].min() if (own == i).any() else 0.0 for i in range(len(centre))])
+    return centre
+
+
+def length_class(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(counts.sum(1) + 1).astype(int), LENGTHS - 1)
+
+
+def limits(cosines: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The least cosine that a text of each length class needs; never less than that of shorter texts."""
+    out = []
+    for k in range(LENGTHS):
+        some = cosines[np.abs(lengths - k) <= 1]
+        out.append(LIMIT_SHARE * np.quantile(some if len(some) >= LEAST_ROWS else cosines, LIMIT_QUANTILE))
+    return np.maximum.accumulate(out)
 
 
 def _document_frequency(batches):
     total, n = np.zeros(DIMENSIONS, np.int64), 0
     for batch in batches:
-        for i in range(0, batch.num_rows, 512):
-            found = vectors(batch.column(0).slice(i, 512).to_pylist()) > 0
+        for i in range(0, batch.num_rows, ROWS):
+            found = vectors(batch.column(0).slice(i, ROWS).to_pylist()) > 0
             total += found.sum(0)
             n += int(found.any(1).sum())
     yield pa.RecordBatch.from_pydict({"slot": np.arange(DIMENSIONS + 1), "docs": np.append(total, n)})
 
 
-def _count_vectors(batches):
-    for batch in batches:
-        for i in range(0, batch.num_rows, 512):
-            part = batch.slice(i, 512)
-            rows = np.minimum(vectors(part.column(1).to_pylist()), 65535).astype("<u2")
-            yield pa.RecordBatch.from_pydict({"lang": part.column(0), "counts": [r.tobytes() for r in rows]})
+def _fitted(idf: np.ndarray):
+    """A language's centroids and limits as bytes, from its sample rows (lang, text)."""
+
+    def run(group: pa.Table) -> pa.Table:
+        counts = np.concatenate([vectors(group["text"].slice(i, ROWS).to_pylist()) for i in range(0, group.num_rows, ROWS)])
+        counts = counts[np.lexsort(counts.T[:8])]  # equal results however the rows lie
+        x = weigh(counts, idf)
+        centre = cluster(x)
+        low = limits((x @ centre.T).max(1), length_class(counts))
+        return pa.table({"lang": group["lang"].slice(0, 1), "centres": [centre.astype("<f4").tobytes()], "limits": [low.astype("<f4").tobytes()]})
+
+    return run
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:
@@ -133,49 +154,47 @@ def fit(train: DataFrame) -> dict | None:
     if not sums or not (n := sums[-1]["docs"]):
         return None
     idf = (np.log((1 + n) / (1 + np.array([r["docs"] for r in sums[:-1]]))) + 1).astype(np.float32)
-    share = {r["lang"]: min(1.0, 1.5 * SAMPLE / r["n"]) for r in train.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    # a first cut by each language's share of rows keeps what is sorted small
     part = F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5
-    shares = train.sparkSession.createDataFrame([*share.items()], "lang string, share double")
-    some = train.join(F.broadcast(shares), "lang").withColumn("part", part).filter((F.col("part") <= F.col("share")) & F.col("text").rlike(r"\p{L}"))
+    shares = few(train.groupBy("lang").agg(F.count("*").alias("n")).select("lang", F.least(F.lit(1.0), 1.5 * SAMPLE / F.col("n")).alias("share")))
+    some = train.join(shares, "lang").withColumn("part", part).filter((F.col("part") <= F.col("share")) & F.col("text").rlike(r"\p{L}"))
     some = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("part", "doc_id", "text"))).filter(F.col("k") <= SAMPLE)
-    by_lang: dict[str, list] = {}
-    for r in some.select("lang", "text").mapInArrow(_count_vectors, "lang string, counts binary").toLocalIterator():
-        by_lang.setdefault(r["lang"], []).append(bytes(r["counts"]))
-    if not by_lang:
+    rows = some.select("lang", "text").groupBy("lang").applyInArrow(_fitted(idf), "lang string, centres binary, limits binary").collect()
+    if not rows:
         return None
-    langs, centres, radii = [], [], []
-    for lang in sorted(by_lang):
-        rows = np.stack([np.frombuffer(x, "<u2") for x in sorted(by_lang[lang])]).astype(np.float32)
-        centre, radius = cluster(weigh(rows, idf))
-        langs += [lang] * len(centre)
-        centres.append(centre.astype(np.float32))
-        radii += [*np.clip(radius + MARGIN, NARROWEST, WIDEST)]
-    return {"idf": idf, "langs": langs, "centres": np.concatenate(centres), "radii": np.array(radii, np.float32)}
+    rows.sort(key=lambda r: r["lang"])
+    centres = [np.frombuffer(r["centres"], "<f4").reshape(-1, DIMENSIONS) for r in rows]
+    low = np.stack([np.frombuffer(r["limits"], "<f4") for r in rows])
+    of = np.repeat(np.arange(len(rows)), [len(c) for c in centres])
+    return {"idf": idf, "langs": [r["lang"] for r in rows], "of": of, "centres": np.concatenate(centres), "limits": low}
+
+
+def nearest(model: dict | None, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, cosine and whether it is rejected, of each text."""
+    if not model or not texts:
+        return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
+    counts = vectors(texts)
+    near = weigh(counts, model["idf"]) @ model["centres"].T
+    best = near.argmax(1)
+    some = counts.any(1)
+    score = np.where(some, np.clip(near[np.arange(len(texts)), best], 0, 1), 0).astype(float)
+    own = model["of"][best]
+    reject = ~some | (score < model["limits"][own, length_class(counts)])
+    return [model["langs"][k] if s else "und" for k, s in zip(own, some, strict=True)], score, reject
 
 
 def predict(docs: DataFrame, model: dict | None) -> DataFrame:
-    """(doc_id, lang_pred, score, rejected) and the further columns of docs(doc_id, text, ...), all of it from text alone."""
-    others = [f for f in docs.schema if f.name != "text"]
+    """(doc_id, held_out, lang_pred, score, rejected) from docs(doc_id, held_out, text), all of it from text alone."""
 
     def run(batches):
         for batch in batches:
-            for i in range(0, max(batch.num_rows, 1), 512):
-                part = batch.slice(i, 512)
-                texts = [t or "" for t in part.column(0).to_pylist()]
-                lang, score, reject = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-                if model and texts:
-                    x = vectors(texts)
-                    near = weigh(x, model["idf"]) @ model["centres"].T
-                    best = near.argmax(1)
-                    some = x.any(1)
-                    score = np.where(some, np.clip(near[np.arange(len(x)), best], 0, 1), 0).astype(float)
-                    reject = ~some | (1 - score > model["radii"][best])
-                    lang = [model["langs"][b] if s else "und" for b, s in zip(best, some, strict=True)]
-                columns = [part.column(j + 1) for j in range(len(others))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(reject, pa.bool_())], names=[*(f.name for f in others), "lang_pred", "score", "rejected"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
-    return docs.select("text", *(f"`{f.name}`" for f in others)).mapInArrow(run, f"{kinds}, lang_pred string, score double, rejected boolean")
+            for i in range(0, max(batch.num_rows, 1), ROWS):
+                part = batch.slice(i, ROWS)
+                lang, score, reject = nearest(model, [t or "" for t in part.column(2).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(reject, pa.bool_())], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "held_out", "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
@@ -185,14 +204,21 @@ def training_rows(docs: DataFrame) -> DataFrame:
 def identify(docs: DataFrame) -> DataFrame:
     model = fit(training_rows(docs))
     held = docs.select("doc_id", "text", F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"))
-    return predict(held, model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+    return predict(held, model)
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
     """The rows of docs that the method doesn't reject, with all their columns."""
     model = fit(training_rows(docs))
-    carried = docs.select("text", F.struct("*").alias("__row"))
-    return predict(carried, model).filter(~F.col("rejected")).select("__row.*")
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, max(batch.num_rows, 1), ROWS):
+                part = batch.slice(i, ROWS)
+                yield part.filter(pa.array(~nearest(model, [t or "" for t in part.column(at).to_pylist()])[2]))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op4_langid(spark, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Quality rules: per-document counts, and lines that too many documents of one host share.
 
 A line is normalised (lower case, runs of white space and digits as one space) and hashed; the distinct documents of each (host, line) are
-counted, where equal texts of a host count as one document. Lines above the limit of their host are removed, and a document of which too
-little is left is rejected. All of it is DataFrame functions.
+counted. Lines above the limit of their host are removed, and a document of which too little is left is rejected. Documents are told apart by
+doc_id (rows without one by their content), or, where ``by_text`` is asked for, by their text, so that copies do not condemn each other before a
+later step drops them. All of it is DataFrame functions.
 
 Cases: null text counts as empty and fails the base rules; a null source is a host of its own; rows that repeat a document get equal
 verdicts; an empty table gives no rows; columns beyond doc_id, text and source are ignored by quality() and kept by keep_good(), which gives the
@@ -12,7 +13,7 @@ texts without the removed lines and brings n_chars, where there is one, in line
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, materialize, table, word_count, words
+from .common import SPACE, WORD, few, joined, materialize, table, word_count, words
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -54,7 +55,7 @@ def base_metrics(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "host", "text_hash", "row_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lines")
 
 
-def _judged(docs: DataFrame, least_docs: int = 20, max_share: float = 0.05, min_words: int = 10, min_left: float = 0.2) -> DataFrame:
+def _judged(docs: DataFrame, least_docs: int = 20, max_share: float = 0.05, min_words: int = 10, min_left: float = 0.2, by_text: bool = False) -> DataFrame:
     """The counts of base_metrics() with words_left and kept.
 
     A line is over its host's limit where more than least_docs distinct documents of the host, and more than max_share of them, have it. A
@@ -62,12 +63,16 @@ def _judged(docs: DataFrame, least_docs: int = 20, max_share: float = 0.05, min_
     over the limit among the document's lines with words, in ascending order; null where there are none.
     """
     rows = materialize(base_metrics(docs))
-    lines = rows.select("host", "text_hash", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
-    counts = lines.distinct().groupBy("host", "line").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > least_docs)
-    hosts = rows.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
-    over = counts.join(hosts, "host").filter(F.col("n_docs") > max_share * F.col("host_docs")).select("host", "line")
+    document = F.col("text_hash") if by_text else F.when(F.col("doc_id").isNull(), F.col("row_hash")).otherwise(F.xxhash64("doc_id"))
+    lines = rows.select("host", document.alias("document"), F.explode("lines.line").alias("line"))
+    lines = lines.groupBy("host", "line", "document").agg(F.count("*").alias("times"))
+    counts = materialize(lines.groupBy("host", "line").agg(F.count("*").alias("n_docs"), F.sum("times").alias("times")).filter(F.col("n_docs") > least_docs))
+    hosts = few(rows.select("host", document.alias("document")).distinct().groupBy("host").agg(F.count("*").alias("host_docs")))
+    over = counts.join(hosts, "host").filter(F.col("n_docs") > max_share * F.col("host_docs")).select("host", "line", "times", F.lit(True).alias("over"))
+    total = rows.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0]
     # what is removed is summed by position, so that rows that repeat a document don't add up
-    hit = rows.select("host", "row_hash", F.posexplode("lines").alias("pos", "x")).select("host", "row_hash", "pos", F.col("x.line").alias("line"), F.col("x.words").alias("words")).join(over, ["host", "line"])
+    hit = rows.select("host", "row_hash", F.posexplode("lines").alias("pos", "x")).select("host", "row_hash", "pos", F.col("x.line").alias("line"), F.col("x.words").alias("words"))
+    hit = joined(hit, over, ["host", "line"], total, "inner")
     removed = hit.groupBy("row_hash", "pos").agg(F.max("words").alias("words")).groupBy("row_hash").agg(F.sum("words").alias("removed"), F.sort_array(F.collect_list("pos")).alias("gone"))
     left = F.col("n_words") - F.coalesce("removed", F.lit(0))
     out = rows.drop("lines").join(removed, "row_hash", "left").withColumn("words_left", left)

@@ -32,8 +32,8 @@ ORACLES = {
         c AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM (SELECT doc_id, i, unnest([0, 1, 2, 3, 4]) AS j FROM r) GROUP BY 1),
         m AS (SELECT d.*, len(w) AS n_words, coalesce(c.n, 0) AS n_repeat_words FROM d LEFT JOIN c USING (doc_id)),
         ln AS (SELECT doc_id, source, text, lower(regexp_replace(trim(x), '[\x20\x09-\x0D0-9]+', ' ', 'g')) AS line, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n FROM (SELECT doc_id, source, text, unnest(l) AS x FROM d)),
-        h AS (SELECT source, count(DISTINCT text) AS docs FROM d GROUP BY 1),
-        o AS (SELECT ln.source, line FROM ln JOIN h ON ln.source IS NOT DISTINCT FROM h.source GROUP BY ln.source, line, docs HAVING count(DISTINCT text) > 20 AND count(DISTINCT text) > 0.05 * docs),
+        h AS (SELECT source, count(DISTINCT doc_id) AS docs FROM d GROUP BY 1),
+        o AS (SELECT ln.source, line FROM ln JOIN h ON ln.source IS NOT DISTINCT FROM h.source GROUP BY ln.source, line, docs HAVING count(DISTINCT ln.doc_id) > 20 AND count(DISTINCT ln.doc_id) > 0.05 * docs),
         x AS (SELECT doc_id, sum(n) AS n FROM ln JOIN o ON ln.source IS NOT DISTINCT FROM o.source AND ln.line = o.line GROUP BY 1)
         SELECT doc_id, n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
                len(l) - len(list_distinct(l)) AS n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,

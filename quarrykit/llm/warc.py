@@ -2,7 +2,8 @@
 
 The converter reads the version block of an ARC file, takes the names of the header fields from it, then reads each record by its
 declared length and makes the WARC record that stands for it: identifier, timestamp, type and digests. Archives are text files of Spark's
-own writer whose line separator is the end of a WARC record, so a lost task is simply written again.
+own writer whose line separator is the end of a WARC record, so a lost task is simply written again. A file holds some 32 MB of pages at most (or one
+larger page), so it is read whole by one task; each file is one gzip member, as Spark's writer makes no others.
 
 Cases: a null url is written as ``about:blank``; a null html is an empty payload; a null page_id has no identifier of its own, is always a
 response and nothing refers to it; rows that repeat a page_id with an equal payload share one verdict; an empty table gives empty archives
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import joined, materialize, shared_dir, table
 
 CRLF = b"\r\n"
 END = "\r\n\r\n"
@@ -30,10 +31,8 @@ ARC_FIELDS = {
 }
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MIN_REVISIT_BYTES = 1000
-#: Records in a WARC file at most.
-RECORDS_PER_FILE = 4096
-#: Bytes of pages gathered into one ARC at most, but for the page that passes it.
-ARC_BYTES = 4 << 20
+#: Bytes of pages gathered into one ARC, which gives one row of the writer, at most, but for the page that passes it; and ARCs in a WARC file at most.
+ARC_BYTES, ARCS_PER_FILE = 4 << 20, 8
 
 
 def write_arc(name: str, version: int, date: str, documents) -> bytes:
@@ -168,15 +167,16 @@ def _converted(rows: list, version: int, date: str, part: int) -> pa.RecordBatch
         return b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + own + b"Content-Length: %d\r\n\r\n" % len(html) + html
 
     arc = write_arc(f"pages-{part:05d}.arc", version, date, ((url or "about:blank", "0.0.0.0", "text/html", response(page, html)) for page, url, html, _ in rows))
-    return pa.RecordBatch.from_pydict({"value": list(convert_arc(arc, {page: to for page, _, _, to in rows if page is not None and to is not None}))}, pa.schema([("value", pa.binary())]))
+    return pa.RecordBatch.from_pydict({"value": [END.encode().join(convert_arc(arc, {page: to for page, _, _, to in rows if page is not None and to is not None}))]}, pa.schema([("value", pa.binary())]))
 
 
 def refers_to(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """(page_id, digest, refers_to) of the pages whose payload a page of larger page_id has too. Works on digests alone; counts are summed before the shuffle."""
     light = pages.select("page_id", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("digest"), F.octet_length(F.coalesce("html", F.lit(""))).alias("bytes"))
     light = light.filter((F.col("bytes") >= min_bytes) & F.col("page_id").isNotNull())
-    groups = light.groupBy("digest", "bytes").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least")).filter("least < refers_to").drop("least")
-    return light.join(groups, ["digest", "bytes"]).filter("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
+    light = materialize(light)
+    groups = light.groupBy("digest", "bytes").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least"), F.count("*").alias("times")).filter("least < refers_to").drop("least")
+    return joined(light, groups, ["digest", "bytes"], light.count(), "inner").filter("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, path: str, version: int = 2, date: str = "20240101000000", min_bytes: int = MIN_REVISIT_BYTES) -> None:
@@ -184,7 +184,7 @@ def write_archives(pages: DataFrame, path: str, version: int = 2, date: str = "2
     own = pages.select("page_id", "url", "html", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("digest"))
     joined = own.join(refers_to(pages, min_bytes), ["page_id", "digest"], "left").select("page_id", "url", F.col("html").cast("binary").alias("html"), "refers_to")
     records = joined.mapInArrow(_archive(version, date), "value binary").select(F.col("value").cast("string").alias("value"))
-    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", ARCS_PER_FILE).text(path)
 
 
 def _parse(batches):

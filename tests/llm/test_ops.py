@@ -345,15 +345,60 @@ def test_extract(page):
     assert extract.main_text(page) == TEXT
 
 
+PROSE = "".join(f"<p>Paragraph {i} of the text, which is long enough to count as what the page is about.</p>" for i in range(4))
+LINKS = "<ul>" + "".join(f"<li><a href='/{i}'>More to read {i}</a></li>" for i in range(5)) + "</ul>"
+
+
 def test_extract_decides_within_articles_and_without_them():
-    text = "".join(f"<p>Paragraph {i} of the text, which is long enough to count as what the page is about.</p>" for i in range(4))
-    want = "\n".join(re.findall("<p>(.*?)</p>", text))
-    links = "<ul>" + "".join(f"<li><a href='/{i}'>More to read {i}</a></li>" for i in range(5)) + "</ul>"
+    want = "\n".join(re.findall("<p>(.*?)</p>", PROSE))
     # links and what stands among them go though no listed class names them; titles stay, even as links
-    assert extract.main_text(PAGE % (f"<article><h1><a href='x'>Title</a></h1>{links}{text}<div class='k7'>{links}<p>Follow us</p>{links}</div></article>", "")) == "Title\n" + want
+    assert extract.main_text(PAGE % (f"<article><h1><a href='x'>Title</a></h1>{PROSE}<div class='k7'>{LINKS}<p>Follow us</p>{LINKS}</div></article>", "")) == "Title\n" + want
     # a listed class on the body of an article, and an article element that holds a teaser only
-    assert extract.main_text(PAGE % (f"<article><h1>Title</h1><div class='notice share'>{text}</div></article>", "")) == "Title\n" + want
-    assert want in extract.main_text(f"<body><div>{text}</div><article><p>Teaser.</p></article></body>")
+    assert extract.main_text(PAGE % (f"<article><h1>Title</h1><div class='notice share'>{PROSE}</div></article>", "")) == "Title\n" + want
+    assert want in extract.main_text(f"<body><div>{PROSE}</div><article><p>Teaser.</p></article></body>")
+
+
+def test_extract_keeps_prose_under_weak_words():
+    some = ["The price of a share rose again and so did the price of all others.", "The alert level of the river is the third of five, as in the year before.", "The social history of the town is told in this part of the text at length."]
+    body = f"<div class='article-header'><h1>Title</h1></div><p class='alert-level'>{some[1]}</p>{PROSE}<p class='share-price'>{some[0]}</p><p class='share'>Tweet</p>{PROSE}<div class='social-history'><p>{some[2]}</p></div>"
+    text = extract.main_text(PAGE % (f"<article>{body}</article>", ""))
+    assert all(x in text.split("\n") for x in [*some, "Title"]) and "Tweet" not in text
+    assert some[0] in extract.main_text(PAGE % ("", f"<div>{body}</div>"))  # in a region of a page without an article element
+
+
+def test_extract_by_windows_and_thresholds():
+    """Without an article element the windows and thresholds decide what is kept."""
+    gap = "<ul>" + "".join(f"<li><a href='/{i}'>Link {i}</a></li>" for i in range(4)) + "</ul>"
+    page = f"<body><p>Lead.</p>{gap}<div>{PROSE}</div>{gap}<p>Some text that follows, and is as long as eighty-six characters are, or a bit longer.</p>{gap}<p>End.</p></body>"
+    got = extract.main_text(page)
+    assert got.startswith("Paragraph 0") and got.endswith("a bit longer.") and "Link" not in got
+    assert extract.main_text(page, share=0.5).endswith("is about.") and extract.main_text(page, share=0.0, surge=0).startswith("Lead.") and extract.main_text(page, window=6) != got
+
+
+def brute_regions(sizes, window, share, surge):
+    """The lines kept, each judged for itself: it lies in a run of windows that hold text, at or after the first window of the run that surges."""
+    n = len(sizes)
+    block = [sum(sizes[i : i + window]) for i in range(n)]
+    kept = set()
+    for i in range(n):
+        run = [i]
+        while run[0] and block[run[0] - 1] and block[i]:
+            run.insert(0, run[0] - 1)
+        while run[-1] + 1 < n and block[run[-1] + 1] and block[i]:
+            run.append(run[-1] + 1)
+        starts = [j for j in run if sizes[j] and block[j] >= min(surge, share * max(block))]
+        if block[i] and starts and i >= starts[0] and max(block[starts[0] : run[-1] + 1]) >= share * max(block) and any(sizes[i : run[-1] + 1]):
+            kept.add(i)
+    return kept
+
+
+def test_extract_regions_by_brute_force():
+    rng = random.Random(8)
+    for _ in range(400):
+        sizes = [rng.choice([0, 0, 0, 5, 20, 60, 200]) for _ in range(rng.randint(0, 25))]
+        window, share, surge = rng.choice([1, 2, 3, 4]), rng.choice([0.1, 0.25, 0.6]), rng.choice([10, 86, 150])
+        got = {j for a, b in extract.regions_of(sizes, window, share, surge) for j in range(a, b)}
+        assert got == brute_regions(sizes, window, share, surge)
 
 
 def test_extract_pages(spark, sf):
@@ -367,7 +412,9 @@ def test_extract_pages(spark, sf):
 
 
 def test_extract_odd(spark):
-    df = spark.createDataFrame([(1, None, None), (None, "u", ""), (3, "u", "<p>" + "x " * 200_000), (4, "u", "<div class='ad'>never closed <h1>Title</h1><p>Text that is here.")], "page_id long, url string, html string")
+    some = [(1, None, None), (None, "u", ""), (3, "u", "<p>" + "x " * 200_000), (4, "u", "<div class='ad'>never closed <h1>Title</h1><p>Text that is here."), (4, "u", "<div class='ad'>never closed <h1>Title</h1><p>Text that is here.")]
+    df = spark.createDataFrame([(*r, "x", 1) for r in some], "page_id long, url string, html string, text string, n_chars int")
+    assert extract.extract(df).count() == 5
     got = {r["page_id"]: r["text"] for r in extract.extract(df).collect()}
     assert got[1] == "" and got[None] == "" and len(got[3].split()) == 200_000 and got[4] == "never closed\nTitle\nText that is here."
     assert extract.extract(df.limit(0)).count() == 0
@@ -458,3 +505,32 @@ def test_connected_components(spark, monkeypatch):
         got = [tuple(r) for r in components_module.connected_components(df).collect()]
         assert len(got) == len(want) and dict(got) == want
     assert components_module.connected_components(df.limit(0)).count() == 0
+
+
+def test_langid_rejects_unlearned_and_junk(spark, docs):
+    """Long texts of letters in no learned language go; labelled documents stay."""
+    model = langid.fit(langid.training_rows(spark.createDataFrame(docs)))
+    rng = random.Random(6)
+    scripts = ["abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "".join(chr(0x4E00 + i) for i in range(900))]
+    junk = [" ".join("".join(rng.choice(s) for _ in range(rng.randint(2, 9))) for _ in range(n)) for s in scripts for n in (10, 100, 1000) for _ in range(5)]
+    assert langid.nearest(model, junk)[2].mean() > 0.95
+    assert langid.nearest(model, docs["text"].tolist())[2].mean() < 0.02
+
+
+def test_langid_is_the_nearest_centroid(spark, docs):
+    model = langid.fit(langid.training_rows(spark.createDataFrame(docs)))
+    lang, score, _ = langid.nearest(model, docs["text"].tolist())
+    idf, centres = model["idf"].astype(float), model["centres"].astype(float)
+    for t, got, s in zip(docs["text"][:40], lang, score, strict=False):
+        x = np.log1p(langid.vectors([t])[0].astype(float)) * idf
+        if x.any():
+            cosines = centres @ (x / np.linalg.norm(x))
+            assert cosines[[i for i, k in enumerate(model["of"]) if model["langs"][k] == got]].max() == pytest.approx(cosines.max(), abs=1e-5)
+            assert s == pytest.approx(cosines.max(), abs=1e-5)
+
+
+def test_quality_counts_documents_or_texts(documents):
+    text = " ".join(f"w{i} and more" for i in range(12))
+    rows_ = [(i, text, "en", "h") for i in range(30)]
+    assert quality.quality(documents(rows_)).filter("kept").count() == 0
+    assert quality.keep_good(documents(rows_), by_text=True).count() == 30
