@@ -90,6 +90,12 @@ def joined(rows: DataFrame, table: DataFrame, keys: list[str], total: int, how:
 SIMPLE = frozenset("long integer short byte string double float boolean binary date timestamp timestamp_ntz".split())
 
 
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """joined() for a table that is mostly small: one of SENT_ROWS rows or fewer goes to every task whole."""
+    table = materialize(table)
+    return rows.join(F.broadcast(table.drop("times")), keys, "left") if table.count() <= SENT_ROWS else joined(rows, table, keys, total)
+
+
 def few(df: DataFrame, most: int = SENT_ROWS) -> DataFrame:
     """df written and read again, sent to every task by joins where it has no more than ``most`` rows."""
     df = materialize(df)

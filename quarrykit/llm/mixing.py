@@ -5,17 +5,18 @@ Document rates start at 1 and lie between 0 and CAP; of all rates that meet the
 form CAP / (1 + (CAP - 1) exp(-lambda x)), x being the document's words over its source's mean. The multipliers lambda minimise a convex dual
 and are found by Newton steps; each step is one aggregation over counts of (source, size), never over texts. Rates are then rounded: a
 document takes the whole part, and one more where a hash of it lies below its fraction plus a shift that its source chooses so that the
-words taken meet the target; last, single copies of the documents whose sizes come
-nearest to what is missing or too much are added or taken away.
+words taken meet the target; last, single copies of the documents whose sizes come nearest to what is missing or too much are added or taken away,
+up to PASSES in each source. Which these are is told from candidates, PASSES at most of each source, size and number of copies. Tables with a row for each
+source go to every task while they have no more than SENT_ROWS rows; beyond, the rows of the largest sources are dealt out (see common.joined()).
 
 Cases: null text has size 0; a null source is a source of its own, the last in order; documents of size 0 take one copy and no words; rows that
-repeat doc_id, source and size get equal copies; an empty table gives no rows; other columns are ignored by mix() and kept by mixed().
+repeat doc_id, source and size get equal copies (ties, which one correction changes together); an empty table gives no rows; other columns are ignored by mix() and kept by mixed().
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table, word_count
+from .common import few, looked_up, materialize, table, word_count
 
 CAP = 3
 WEIGHTS = (1, 2, 3)
@@ -39,7 +40,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     out = out.withColumn("level", left / weight).withColumn("fits", F.col("level") <= F.col("ratio"))
     out = out.withColumn("level", F.max(F.when(F.col("fits"), F.struct((-F.col("ratio")).alias("k"), F.col("level").alias("v")))).over(all_)["v"])
     target = F.least(CAP * F.col("source_size").cast("double"), F.col("level") * F.col("weight"))
-    return out.select("s", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"), (F.col("source_size") / F.col("docs")).alias("mean"))
+    return out.select("s", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"), (F.col("source_size") / F.col("docs")).alias("mean"), F.col("docs").alias("times"))
 
 
 def rate(multiplier: Column, x: Column) -> Column:
@@ -62,10 +63,10 @@ def solve(sizes: DataFrame, targets: DataFrame) -> DataFrame:
         most = 2 * F.greatest(F.lit(1.0), F.abs(lam))
         step = lam - F.greatest(-most, F.least(most, F.coalesce(off / F.nullif(F.col("slope"), F.lit(0.0)), F.signum(off) * most)))
         step = F.when((step <= F.col("low")) | (step >= F.col("high")), F.coalesce((F.col("low") + F.col("high")) / 2, step)).otherwise(step)
-        state = materialize(state.withColumn("multiplier", F.when(F.abs("error") > TOLERANCE / 10, step).otherwise(lam)).select("s", "source_size", "target", "mean", "multiplier", "low", "high", "error"))
+        state = materialize(state.withColumn("multiplier", F.when(F.abs("error") > TOLERANCE / 10, step).otherwise(lam)).select("s", "source_size", "target", "mean", "times", "multiplier", "low", "high", "error"))
         if (state.agg(F.max(F.abs("error"))).first()[0] or 0.0) <= TOLERANCE:
             break
-    return state.select("s", "source_size", "target", "mean", "multiplier")
+    return state.select("s", "source_size", "target", "mean", "times", "multiplier")
 
 
 def _key(docs: DataFrame) -> DataFrame:
@@ -79,7 +80,8 @@ def mix(docs: DataFrame) -> DataFrame:
     state = solve(sizes, materialize(source_targets(sizes)))
     lam = F.col("multiplier")
     edge = F.when(F.col("target") > 0, float(CAP)).otherwise(F.when(F.col("size") > 0, 0.0).otherwise(1.0))
-    rows = light.join(state, "s").withColumn("rate", F.when(lam.isNull(), edge).otherwise(rate(lam, F.col("size") / F.col("mean"))))
+    total = light.count()
+    rows = looked_up(light, state, ["s"], total).withColumn("rate", F.when(lam.isNull(), edge).otherwise(rate(lam, F.col("size") / F.col("mean"))))
     rows = rows.withColumn("whole", F.floor("rate").cast("int")).withColumn("u", F.xxhash64("doc_id", "s", "size") / F.lit(2.0**64) + 0.5)
     rows = rows.withColumn("key", F.col("u") - (F.col("rate") - F.col("whole"))).withColumn("slot", F.floor((F.col("key") + 1) * (SLOTS // 2)).cast("int"))
     more = (F.col("whole") < CAP) & (F.col("size") > 0)
@@ -88,26 +90,36 @@ def mix(docs: DataFrame) -> DataFrame:
     by_slot = Window.partitionBy("s").orderBy("slot")
     slots = slots.withColumn("need", F.col("target") - F.sum("base").over(Window.partitionBy("s"))).withColumn("upto", F.sum("in_slot").over(by_slot))
     edge_slot = slots.groupBy("s").agg(F.min(F.when(F.col("upto") >= F.col("need"), F.struct("slot", (F.col("need") - F.col("upto") + F.col("in_slot")).alias("rest")))).alias("e")).select("s", F.coalesce("e.slot", F.lit(SLOTS)).alias("edge"), F.coalesce("e.rest", F.lit(0.0)).alias("rest"))
-    rows = materialize(rows.join(edge_slot, "s"))
+    edge_slot = edge_slot.join(state.select("s", "times"), "s")
+    rows = materialize(looked_up(rows, edge_slot, ["s"], total))
     by_key = Window.partitionBy("s").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     at_edge = rows.filter(more & (F.col("slot") == F.col("edge"))).withColumn("upto", F.sum("size").over(by_key)).filter(F.col("upto") - F.col("size") / 2 <= F.col("rest"))
-    chosen = at_edge.select("s", "u").distinct().withColumn("extra", F.lit(1))
+    chosen = few(at_edge.select("s", "u").distinct().withColumn("extra", F.lit(1)))
     rows = rows.join(chosen, ["s", "u"], "left")
     extra = F.when(more & (F.col("slot") < F.col("edge")), 1).otherwise(F.coalesce("extra", F.lit(0)))
     rows = materialize(rows.withColumn("copies", F.col("whole") + extra).select("doc_id", "s", "size", "source_size", "target", "rate", "u", "copies"))
+    rows = rows.join(few(_corrections(rows)), ["s", "size", "u"], "left").withColumn("copies", (F.col("copies") + F.coalesce("change", F.lit(0))).cast("int"))
+    return rows.select("doc_id", "s", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies", "rate")
+
+
+def _corrections(rows: DataFrame) -> DataFrame:
+    """(s, size, u, change) of single copies that are added or taken away in a source: each time that of the document whose size comes nearest to what
+    is missing or too much, if that is less then."""
+    missing = materialize(rows.groupBy("s").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("missing")))
+    first = Window.partitionBy("s", "size", "copies").orderBy("u")
+    some = rows.filter("size > 0").select("s", "size", "copies", "u").withColumn("k", F.row_number().over(first)).filter(F.col("k") <= PASSES).drop("k")
+    some = materialize(some.withColumn("change", F.lit(0)))
+    lack = F.col("missing")
     for _ in range(PASSES):
-        rows = _polish(rows)
-    return rows.select("doc_id", "s", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), F.col("copies").cast("int").alias("copies"), "rate")
-
-
-def _polish(rows: DataFrame) -> DataFrame:
-    """Add or take away, in each source, one copy of the document whose size comes nearest to what is missing or too much, if that is less then."""
-    missing = rows.groupBy("s").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("missing"))
-    fit = rows.join(missing, "s").filter((F.col("size") > 0) & (F.col("size") < 2 * F.abs("missing")) & (((F.col("missing") > 0) & (F.col("copies") < CAP)) | ((F.col("missing") < 0) & (F.col("copies") > 0))))
-    best = F.min(F.struct(F.abs(F.abs("missing") - F.col("size")).alias("rest"), "u", "size", F.signum("missing").cast("int").alias("change"))).alias("p")
-    picked = fit.groupBy("s").agg(best).select("s", F.col("p.size").alias("p_size"), F.col("p.u").alias("p_u"), F.col("p.change").alias("change"))
-    out = rows.join(picked, "s", "left").withColumn("copies", F.col("copies") + F.when((F.col("size") == F.col("p_size")) & (F.col("u") == F.col("p_u")), F.col("change")).otherwise(0))
-    return materialize(out.drop("p_size", "p_u", "change"))
+        open_ = (F.col("change") == 0) & (F.col("size") < 2 * F.abs(lack)) & (((lack > 0) & (F.col("copies") < CAP)) | ((lack < 0) & (F.col("copies") > 0)))
+        best = F.min(F.struct(F.abs(F.abs(lack) - F.col("size")).alias("rest"), "u", "size", F.signum(lack).cast("int").alias("sign"))).alias("p")
+        picked = materialize(some.join(missing, "s").filter(open_).groupBy("s").agg(best).select("s", F.col("p.size").alias("p_size"), F.col("p.u").alias("p_u"), F.col("p.sign").alias("sign")))
+        if not picked.head(1):
+            break
+        own = (F.col("size") == F.col("p_size")) & (F.col("u") == F.col("p_u"))
+        some = materialize(some.join(picked, "s", "left").withColumn("change", F.when(own, F.col("sign")).otherwise(F.col("change"))).select("s", "size", "copies", "u", "change"))
+        missing = materialize(missing.join(picked, "s", "left").select("s", (lack - F.coalesce(F.col("sign") * F.col("p_size"), F.lit(0))).alias("missing")))
+    return some.filter("change <> 0").select("s", "size", "u", "change").distinct()
 
 
 def mixed(docs: DataFrame) -> DataFrame:
