@@ -3,8 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's docs. The
 decisions of each stage take effect: documents that it rejects go, and the mix repeats rows. The last stage gives ids instead of texts.
 
-Cases are those of the operators: null text has no language and goes in the first stage; an empty table passes through all stages; columns beyond
-those of documents are kept by all stages but the last.
+Cases are those of the operators: null text has no language and goes in the first stage, as does empty text; very long texts are taken whole; of rows
+that repeat doc_id and text one stays in the third stage, and of ties in a group that with the smallest doc_id, then text hash; an empty table passes
+through all stages; columns beyond those of documents, clashing names too, are kept by all stages but the last.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,8 +25,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are not depleted of lines that their host repeats."""
-    return keep_good(docs)
+    """Documents that pass the base rules and are not depleted of lines that many texts of their host have; copies count once, as the next stage drops them."""
+    return keep_good(docs, by_text=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
