@@ -36,16 +36,18 @@ def overlap_coefficient(a: Column, b: Column) -> Column:
 
 
 def html_to_text(page: Column) -> Column:
-    """Plain text of markup: scripts and styles go, block ends break lines, other tags go, three or more line ends become two."""
-    x = F.regexp_replace(page, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", "")
-    x = F.regexp_replace(x, r"(?i)</(p|div|li|h[1-6]|tr|section|article)>|<br\s*/?>", "\n")
+    """Plain text of markup: a script or style becomes a space, ends of paragraphs, divisions, items, headings and rows break lines, other tags go, and
+    three or more line ends become two. The elements named are fixed by the results."""
+    x = F.regexp_replace(page, "(?is)" + "|".join(f"<{t}[^>]*>.*?</{t}>" for t in ("script", "style")), " ")
+    x = F.regexp_replace(x, r"(?i)</(p|div|li|h[1-6]|tr)>", "\n")
     x = F.regexp_replace(x, r"<[^>]+>", "")
     return F.regexp_replace(F.regexp_replace(x, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
-def html_title(page: Column, otherwise: Column) -> Column:
-    title = F.trim(F.regexp_extract(page, r"(?is)<title[^>]*>(.*?)</title>", 1))
-    return F.coalesce(F.nullif(title, F.lit("")), otherwise)
+def html_title(page: Column, otherwise: Column, head: int = 4096) -> Column:
+    """The title element, empty or not, that opens and closes in the first ``head`` characters; else the other column."""
+    title, top = r"(?is)<title[^>]*>(.*?)</title>", F.substring(page, 1, head)
+    return F.when(top.rlike(title), F.trim(F.regexp_extract(top, title, 1))).otherwise(otherwise)
 
 
 def snippet(text: Column, limit: int = 200) -> Column:

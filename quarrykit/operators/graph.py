@@ -3,14 +3,19 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stage import staged
+
 
 def neighbourhood(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """(node, depth) of what start(node) reaches within depth undirected steps of edges(src, dst); each level joins only its frontier."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    seen = frontier = start.select("node").distinct().withColumn("depth", F.lit(0))
+    """(node, depth) of what start(node) reaches within depth undirected steps of edges(src, dst).
+
+    Edges and each level are written once, so that a level reads the edges and the levels before it, and the plan of one level does not hold those before.
+    """
+    both = staged(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    seen = frontier = staged(start.select("node").distinct().withColumn("depth", F.lit(0)))
     for level in range(1, depth + 1):
         reached = both.join(frontier.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
-        frontier = reached.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(level))
+        frontier = staged(reached.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(level)))
         seen = seen.unionByName(frontier)
     return seen
 
@@ -51,3 +56,29 @@ def replay(births: DataFrame, step_ms: int) -> DataFrame:
     w = Window.partitionBy("topic").orderBy("step")
     out = by_step.withColumns({"born": F.sum("n").over(w), "total": F.sum("s").over(w)})
     return out.select("topic", "step", "born", F.round(F.col("total") / F.col("born"), 6).alias("mean_confidence"))
+
+
+def mentions(texts: DataFrame, names: DataFrame, key: str, text: str, most: int | None) -> DataFrame:
+    """(key, entity, place) of names(name) that a text holds literally, longest first, ``most`` at most.
+
+    Names are found through the words that they start in: a text's runs of letters and digits are cut into pieces of the length of the shortest name, and a name is
+    looked for only in texts that hold its first piece; so no name is held against all texts.
+    """
+    least = F.lit(names.agg(F.coalesce(F.min(F.length("name")), F.lit(1))).first()[0])
+    pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - least + 1, F.lit(1))), lambda i: F.substring(F.col(text), i, least)))
+    heads = names.select(F.col("name").alias("entity"), F.substring(F.col("name"), F.lit(1), least).alias("__head"))
+    cut = texts.select(key, text, F.explode(pieces).alias("__head"))
+    found = cut.join(heads, "__head").filter(F.contains(F.col(text), F.col("entity"))).select(key, "entity")
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.length("entity")), "entity"))
+    out = found.withColumn("place", place)
+    return out if most is None else out.filter(F.col("place") <= most)
+
+
+def resolve_endpoints(relations: DataFrame, entities: DataFrame) -> DataFrame:
+    """relations with src and dst, names, as ids of entities(id, name); names match without regard to case and outer space, self loops and unknown names go."""
+    key = lambda c: F.lower(F.trim(c))
+    ids = entities.groupBy(key("name").alias("__k")).agg(F.min("id").alias("__id"))
+    out = relations
+    for end in ("src", "dst"):
+        out = out.withColumn("__k", key(end)).join(ids, "__k").withColumn(end, F.col("__id")).drop("__k", "__id")
+    return out.filter("src <> dst")

@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import dot, squared_distance
 from ..functions.text import char_ngrams, latin_terms, normalized, overlap_coefficient
+from ..sources.stage import staged
 
 RRF_K = 60
 DEDUP, LAMBDA = 0.85, 0.7
 #: Bytes of a query table up to which it is sent to all tasks; a larger one is joined in blocks.
 QUERY_ROWS = 10_000
+#: Rows of (query, term) up to which bm25() sends them to all tasks.
+SENT_TERMS = 500_000
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -22,16 +25,21 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
 def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, key, score, rank): the k best documents of each row of queries(query_id, query) by Okapi BM25.
 
-    Statistics are those of all docs. The terms of the queries (a set of stated queries) filter the postings before anything is joined.
+    One pass over the texts: words that no query has go before anything is shuffled, and each document leaves one row, with an empty term, for the
+    statistics of all documents. Terms of the queries go to every task while they are no more than SENT_TERMS; beyond, they are joined by a shuffle.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(latin_terms(F.col("query")))).alias("term"))
-    index = postings(docs, key, text)
-    all_docs = docs.select(F.size(latin_terms(F.col(text))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    hits = index.join(F.broadcast(terms.select("term").distinct()), "term")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = hits.join(F.broadcast(df), "term").join(F.broadcast(terms), "term").join(F.broadcast(all_docs)).groupBy("query_id", key).agg(F.round(F.sum(part), 6).alias("score"))
+    terms = staged(queries.select("query_id", F.explode(F.array_distinct(latin_terms(F.col("query")))).alias("term")))
+    small = terms.count() <= SENT_TERMS
+    sent = F.broadcast if small else lambda df: df
+    wanted = terms.select("term").unionByName(terms.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    words = docs.select(key, latin_terms(F.col(text)).alias("__t")).select(key, F.size("__t").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "__t")).alias("term"))
+    hits = staged(words.join(sent(wanted), "term").groupBy("term", key, "dl").agg(F.count("*").alias("tf")))
+    n, avgdl = hits.filter("term = ''").agg(F.count("*"), F.avg("dl")).first()
+    hits = hits.filter("term <> ''")
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))  # a row for each term of the queries
+    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl or 1.0)))
+    scored = hits.join(sent(df), "term").withColumn("part", part).join(sent(terms), "term").groupBy("query_id", key).agg(F.round(F.sum("part"), 6).alias("score"))
     return ranked(scored, ["query_id"], [F.desc("score"), F.asc(key)], k)
 
 
@@ -97,18 +105,21 @@ def sibling_merge(df: DataFrame) -> DataFrame:
 def similar_pairs(df: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
     """(a, b, similarity) of rows whose character 4-grams overlap by more than threshold of the smaller set, a < b.
 
-    Equal sets are compared once, through one member each. Candidates share one of the rarest grams of the smaller set: of n grams, any set
-    that holds more than threshold of them holds one of the first n - ceil(threshold * n) + 1.
+    Equal sets are compared once, through the member with the least key, which is paired with each of the others; so every row is in the result
+    if another is like it, and copies are not expanded into all pairs. Candidates share one of the rarest grams of the smaller set: of n grams, any
+    set that holds more than threshold of them holds one of the first n - ceil(threshold * n) + 1. The grams of all sets are written once.
     """
     grams = df.select(key, F.transform(char_ngrams(normalized(F.col(text))), lambda x: F.xxhash64(x)).alias("g")).withColumn("n", F.size("g")).withColumn("h", F.xxhash64(F.sort_array("g")))
-    sets = grams.groupBy("h", "n").agg(F.min(key).alias("a"), F.first("g").alias("g"))
+    grams = staged(grams.withColumnRenamed(key, "id"))
+    sets = staged(grams.groupBy("h", "n").agg(F.min("id").alias("a"), F.first("g").alias("g")))
+    copies = grams.select("id", "h", "n").join(sets.select("h", "n", "a"), ["h", "n"]).filter("id <> a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
     rows = sets.select("a", "n", F.explode("g").alias("gram"))
     freq = rows.groupBy("gram").agg(F.count("*").alias("f"))
     by_rarity = Window.partitionBy("a").orderBy("f", "gram")
     first = rows.join(freq, "gram").withColumn("p", F.row_number().over(by_rarity)).filter(F.col("p") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select(F.col("a").alias("x"), F.col("n").alias("nx"), "gram")
     pairs = first.join(rows.select(F.col("a").alias("y"), F.col("n").alias("ny"), "gram"), "gram").filter("(ny > nx) OR (ny = nx AND x <> y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     both = pairs.join(sets.select("a", F.col("g").alias("ga")), "a").join(sets.select(F.col("a").alias("b"), F.col("g").alias("gb")), "b")
-    return both.withColumn("similarity", overlap_coefficient(F.col("ga"), F.col("gb"))).filter(F.col("similarity") > threshold).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return both.withColumn("similarity", overlap_coefficient(F.col("ga"), F.col("gb"))).filter(F.col("similarity") > threshold).select("a", "b", F.round("similarity", 6).alias("similarity")).unionByName(copies)
 
 
 def _grams(text: str) -> set[str]:

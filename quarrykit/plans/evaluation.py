@@ -19,14 +19,16 @@ def context_precision(spark, sf_dir):
     return items.select("id", F.round(S.precision_at_k(F.transform("r", lambda x: x["v"])), 6).alias("precision"))
 
 
-@query("""WITH b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[0-9a-z]+')) AS must FROM benchmark), c AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[0-9a-z]+')) AS got FROM benchmark)
-    SELECT b.item_id, CASE WHEN len(must) = 0 THEN NULL ELSE round(len(list_intersect(must, got)) * 1.0::DOUBLE / len(must), 4) END AS recall FROM b LEFT JOIN c ON c.item_id = b.item_id + 1 WHERE c.item_id IS NOT NULL""")
+@query(r"""WITH c AS (SELECT doc_id, trim(regexp_replace(lower(l), '[[:punct:]\s]+', ' ', 'g')) AS claim FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) WHERE trim(l) <> ''),
+    p AS (SELECT doc_id - 1 AS doc_id, list(DISTINCT claim) AS covered FROM c WHERE claim <> '' GROUP BY 1)
+    SELECT c.doc_id, round(avg(CASE WHEN claim <> '' AND len(list_filter(coalesce(covered, []), lambda x: contains(x, claim) OR contains(claim, x))) > 0 THEN 1 ELSE 0 END), 4) AS recall FROM c LEFT JOIN p USING (doc_id) GROUP BY 1""")
 def context_recall(spark, sf_dir):
-    terms = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[0-9a-z]+"), F.lit(0)))
-    b = load(spark, sf_dir, "benchmark")
-    got = b.select((F.col("item_id") - 1).alias("item_id"), terms.alias("got"))
-    x = b.select("item_id", terms.alias("must")).join(got, "item_id")
-    return x.select("item_id", F.when(F.size("must") > 0, F.round(F.size(F.array_intersect("must", "got")) / F.size("must"), 4)).alias("recall"))
+    """The share of a document's lines (claims) that a line of the next document covers: equal, or one holds the other, after normalising."""
+    lines = load(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("l")).filter(F.trim("l") != "")
+    claims = lines.select("doc_id", F.trim(F.regexp_replace(F.lower("l"), r"[\p{Punct}\s]+", " ")).alias("claim"))
+    covered = claims.filter("claim <> ''").groupBy((F.col("doc_id") - 1).alias("doc_id")).agg(F.collect_set("claim").alias("covered"))
+    hit = (F.col("claim") != "") & F.exists(F.coalesce("covered", F.expr("array()").cast("array<string>")), lambda x: F.contains(x, F.col("claim")) | F.contains(F.col("claim"), x))
+    return claims.join(covered, "doc_id", "left").groupBy("doc_id").agg(F.round(F.avg(F.when(hit, 1.0).otherwise(0.0)), 4).alias("recall"))
 
 
 @query("SELECT source, round(avg(quality), 4) AS faithfulness, count(quality) AS claims FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")

@@ -1,7 +1,9 @@
 """Graph queries: customers and suppliers tied by nations, orders and parts."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import graph as G
 from ..operators import lifecycle as L
 from ..sources.tables import load
@@ -76,9 +78,56 @@ def doctor_report(spark, sf_dir):
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-@query("""WITH t AS (SELECT item_id, text FROM benchmark), n AS (SELECT DISTINCT r_name AS name FROM region) SELECT DISTINCT n_nationkey, r_name AS entity FROM nation, region WHERE instr(lower('the ' || n_name || ' of ' || r_name), lower(r_name)) > 0""")
+NAMES = "(SELECT term AS name FROM (SELECT unnest(regexp_extract_all(lower(text), '[0-9a-z]+')) AS term FROM benchmark) WHERE length(term) >= 9 GROUP BY 1 HAVING count(*) >= 2)"
+
+
+def _names(spark, sf_dir):
+    """Entities: long terms that occur twice or more in the benchmark."""
+    terms = load(spark, sf_dir, "benchmark").select(F.explode(T.latin_terms(F.col("text"))).alias("name"))
+    return terms.filter(F.length("name") >= 9).groupBy("name").count().filter("count >= 2").select("name")
+
+
+@query(f"""WITH m AS (SELECT doc_id, name FROM documents, {NAMES} WHERE contains(lower(text), name))
+    SELECT doc_id, name AS entity, row_number() OVER (PARTITION BY doc_id ORDER BY length(name) DESC, name) AS place FROM m QUALIFY place <= 5""")
 def entity_mentions(spark, sf_dir):
-    n = load(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    r = load(spark, sf_dir, "region").select(F.col("r_name").alias("entity"))  # a dictionary of fixed size
-    both = n.join(F.broadcast(r))
-    return both.filter(F.instr(F.lower(F.concat(F.lit("the "), "n_name", F.lit(" of "), "entity")), F.lower("entity")) > 0).select("n_nationkey", "entity").distinct()
+    """Entities that a text holds literally, the longest names first, five at most."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("t"))
+    return G.mentions(docs, _names(spark, sf_dir), "doc_id", "t", 5)
+
+
+@query(f"""WITH e AS (SELECT name AS id, lower(trim(name)) AS k FROM {NAMES}), raw AS (SELECT item_id, ' ' || upper(a) || ' ' AS src, b AS dst, 'near' AS predicate FROM
+    (SELECT item_id, t[i] AS a, t[i + 1] AS b FROM (SELECT item_id, t, unnest(generate_series(1, len(t) - 1)) AS i FROM (SELECT item_id, regexp_extract_all(lower(text), '[0-9a-z]+') AS t FROM benchmark))))
+    SELECT s.id AS src, d.id AS dst, predicate, min(item_id) AS first_item FROM raw JOIN e s ON lower(trim(src)) = s.k JOIN e d ON lower(trim(dst)) = d.k WHERE s.id <> d.id GROUP BY 1, 2, 3""")
+def resolve_relations(spark, sf_dir):
+    """Relations given by names, tied to entity ids without regard to case and outer space; self loops and repeats go."""
+    t = load(spark, sf_dir, "benchmark").select("item_id", T.latin_terms(F.col("text")).alias("t"))
+    at = t.select("item_id", "t", F.posexplode("t").alias("i", "a")).select("item_id", F.concat(F.lit(" "), F.upper("a"), F.lit(" ")).alias("src"), F.get("t", F.col("i") + 1).alias("dst")).filter("dst IS NOT NULL")
+    raw = at.withColumn("predicate", F.lit("near"))
+    entities = _names(spark, sf_dir).select(F.col("name").alias("id"), "name")
+    return G.resolve_endpoints(raw, entities).groupBy("src", "dst", "predicate").agg(F.min("item_id").alias("first_item"))
+
+
+@query(f"""WITH n AS {NAMES}, e AS (SELECT DISTINCT name, doc_id FROM documents, n WHERE contains(lower(text), name)), q AS (SELECT item_id AS query_id, lower(text) AS q FROM benchmark),
+    s AS (SELECT query_id, name FROM q, n WHERE contains(q, name) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY length(name) DESC, name) <= 5),
+    w AS (SELECT query_id, doc_id, count(*) AS weight FROM s JOIN e USING (name) GROUP BY 1, 2)
+    SELECT query_id, doc_id, CAST(0.5 AS DOUBLE) AS score, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, doc_id) AS rank FROM w QUALIFY rank <= 20""")
+def graph_leg(spark, sf_dir):
+    """Documents tied to entities that a question names, by the number of ties; a constant score."""
+    names = _names(spark, sf_dir)
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("t"))
+    ties = G.mentions(docs, names, "doc_id", "t", None).select(F.col("entity").alias("name"), "doc_id")
+    q = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lower("text").alias("t"))
+    asked = G.mentions(q, names, "query_id", "t", 5).select("query_id", F.col("entity").alias("name"))
+    found = asked.join(ties, "name").groupBy("query_id", "doc_id").agg(F.count("*").alias("weight"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("weight"), "doc_id"))
+    return found.withColumn("rank", rank).filter("rank <= 20").select("query_id", "doc_id", F.lit(0.5).alias("score"), "rank")
+
+
+@query("""SELECT c_custkey, c_name, c_acctbal FROM customer WHERE lower(trim(c_name)) IN (SELECT lower(trim('  CUSTOMER#00000' || lpad(CAST(n_nationkey AS VARCHAR), 4, '0') || ' ')) FROM nation)
+    QUALIFY row_number() OVER (PARTITION BY lower(trim(c_name)) ORDER BY c_acctbal DESC, c_custkey) = 1""")
+def find_by_name(spark, sf_dir):
+    """The row of each name asked for, without regard to case and outer space; ties go to the larger balance, then the smaller id."""
+    asked = load(spark, sf_dir, "nation").select(F.lower(F.trim(F.concat(F.lit("  CUSTOMER#00000"), F.lpad(F.col("n_nationkey").cast("string"), 4, "0"), F.lit(" ")))).alias("k"))
+    c = load(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", F.lower(F.trim("c_name")).alias("k")).join(asked, "k", "left_semi")
+    best = c.groupBy("k").agg(F.max_by(F.struct("c_custkey", "c_name", "c_acctbal"), F.struct("c_acctbal", -F.col("c_custkey"))).alias("r"))
+    return best.select("r.*")

@@ -1,4 +1,4 @@
-"""Search over documents and embeddings. The queries are fixed sets: the first words of documents, the first vectors."""
+"""Search over documents and embeddings. Every text of the benchmark is a question; query vectors are all whose id is divisible by 100."""
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -10,29 +10,23 @@ from ..operators import retrieval as X
 from ..sources.tables import load
 from .base import query
 
-QUERIES = [(0, "the licensed text of the work"), (1, "que les de la version"), (2, "der die und ein wort"), (3, "license token word the")]
-QUERY_ROWS = ", ".join(f"({i}, '{q}')" for i, q in QUERIES)
-BM25 = f"""q AS (SELECT * FROM (VALUES {QUERY_ROWS}) v(query_id, query)), qt AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[0-9a-z]+')) AS term FROM q),
+BM25 = """q AS (SELECT item_id AS query_id, text AS query FROM benchmark), qt AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[0-9a-z]+')) AS term FROM q),
     d AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z]+') AS t FROM documents), st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d),
     p AS (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM d), tf AS (SELECT term, doc_id, dl, count(*) AS tf FROM p WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
     df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
     bm AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM tf JOIN df USING (term) JOIN qt USING (term), st GROUP BY ALL),
     bmr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm)"""
-KNN = """vq AS (SELECT vec_id % 4 AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id < 4), vs AS (SELECT query_id, vec_id, round(1 / (1 + list_sum(list_transform(list_zip(CAST(embedding AS DOUBLE[]), q), lambda x: (x[1] - x[2]) * (x[1] - x[2])))), 6) AS score FROM embeddings, vq),
+KNN = """vq AS (SELECT vec_id // 100 AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 100 = 0), vs AS (SELECT query_id, vec_id, round(1 / (1 + list_sum(list_transform(list_zip(CAST(embedding AS DOUBLE[]), q), lambda x: (x[1] - x[2]) * (x[1] - x[2])))), 6) AS score FROM embeddings, vq),
     vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM vs)"""
 
 
-def _queries(spark):
-    return spark.createDataFrame(QUERIES, "query_id int, query string")
-
-
 def _bm25(spark, sf_dir, k):
-    return X.bm25(load(spark, sf_dir, "documents"), "doc_id", "text", _queries(spark), k)
+    return X.bm25(load(spark, sf_dir, "documents"), "doc_id", "text", load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), k)
 
 
 def _knn(spark, sf_dir, k):
     e = load(spark, sf_dir, "embeddings")
-    return X.knn(e, e.filter("vec_id < 4").select((F.col("vec_id") % 4).cast("int").alias("query_id"), F.col("embedding").alias("query")), "vec_id", "embedding", k)
+    return X.knn(e, e.filter("vec_id % 100 = 0").select(F.floor(F.col("vec_id") / 100).alias("query_id"), F.col("embedding").alias("query")), "vec_id", "embedding", k)
 
 
 @query(f"WITH {BM25} SELECT query_id, doc_id, score, rank FROM bmr WHERE rank <= 10")
@@ -45,18 +39,18 @@ def inverted_index(spark, sf_dir):
     return X.postings(load(spark, sf_dir, "documents"), "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-@query(f"WITH {KNN} SELECT CAST(query_id AS INT) AS query_id, vec_id, score, rank FROM vr WHERE rank <= 10")
+@query(f"WITH {KNN} SELECT query_id, vec_id, score, rank FROM vr WHERE rank <= 10")
 def knn_topk(spark, sf_dir):
     return _knn(spark, sf_dir, 10)
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id IN (10, 20)), s AS (SELECT query_id, vec_id,
+@query("""WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id,
     round(list_sum(list_transform(list_zip(v, q), lambda x: x[1] * x[2])) / sqrt(list_sum(list_transform(v, lambda x: x * x)) * list_sum(list_transform(q, lambda x: x * x))), 6) AS cosine
     FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q)
     SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) <= 5""")
 def knn_cosine(spark, sf_dir):
     e = load(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    q = e.filter("vec_id IN (10, 20)").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     s = e.crossJoin(F.broadcast(q)).select("query_id", "vec_id", F.round(S.cosine(F.col("v"), F.col("q")), 6).alias("cosine"))
     return X.ranked(s, ["query_id"], [F.desc("cosine"), F.asc("vec_id")], 5).drop("rank")
 
@@ -73,7 +67,7 @@ FUSED = f"""{BM25}, {KNN}, legs AS (SELECT query_id, 0 AS leg_ord, 'vec' AS leg,
     fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, first, id) AS pos FROM f)"""
 
 
-@query(f"WITH {FUSED} SELECT CAST(query_id AS INT) AS query_id, id, rrf, array_to_string(legs, ',') AS legs, pos FROM fr WHERE pos <= 20")
+@query(f"WITH {FUSED} SELECT query_id, id, rrf, array_to_string(legs, ',') AS legs, pos FROM fr WHERE pos <= 20")
 def rrf_fusion(spark, sf_dir):
     return _fused(spark, sf_dir).filter("pos <= 20").select("query_id", "id", "rrf", F.array_join("legs", ",").alias("legs"), "pos")
 
@@ -84,15 +78,15 @@ def _fused(spark, sf_dir):
 
 
 @query(f"""WITH {FUSED}, pool AS (SELECT fr.query_id, fr.id, rrf, pos, source, length(text) AS n FROM fr JOIN documents ON id = doc_id WHERE pos <= 50)
-    SELECT CAST(query_id AS INT) AS query_id, id, rrf, pos, source, n AS content_length FROM pool QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pos) <= 8""")
+    SELECT query_id, id, rrf, pos, source, n AS content_length FROM pool QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pos) <= 8""")
 def hybrid_search(spark, sf_dir):
     d = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", F.length("text").cast("long").alias("content_length"))
     pool = _fused(spark, sf_dir).filter("pos <= 50").select("query_id", "id", "rrf", "pos")
-    hits = d.join(F.broadcast(pool), "id")
+    hits = d.join(pool, "id")
     return X.ranked(hits, ["query_id"], [F.asc("pos")], 8).select("query_id", "id", "rrf", "pos", "source", "content_length")
 
 
-@query(f"WITH {KNN}, t AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM vr WHERE rank <= 50) SELECT CAST(query_id AS INT) AS query_id, vec_id, score, rank FROM t WHERE score >= top - 0.5")
+@query(f"WITH {KNN}, t AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM vr WHERE rank <= 50) SELECT query_id, vec_id, score, rank FROM t WHERE score >= top - 0.5")
 def near_top_gap(spark, sf_dir):
     return X.near_top(_knn(spark, sf_dir, 50), "score", 0.5)
 

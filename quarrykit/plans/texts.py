@@ -14,13 +14,13 @@ def exact_dedup(spark, sf_dir):
     return load(spark, sf_dir, "documents").groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("sha")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "sha", "copies")
 
 
-@query(r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'),
-    '(?i)</(p|div|li|h[1-6]|tr|section|article)>|<br\s*/?>', chr(10), 'g'), '<[^>]+>', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM pages""")
+@query(r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'),
+    '(?i)</(p|div|li|h[1-6]|tr)>', chr(10), 'g'), '<[^>]+>', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM pages""")
 def html_text(spark, sf_dir):
     return load(spark, sf_dir, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
 
 
-@query(r"SELECT page_id, coalesce(nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), ''), url) AS title FROM pages")
+@query(r"SELECT page_id, CASE WHEN regexp_matches(substr(html, 1, 4096), '(?is)<title[^>]*>.*?</title>') THEN trim(regexp_extract(substr(html, 1, 4096), '(?is)<title[^>]*>(.*?)</title>', 1)) ELSE url END AS title FROM pages")
 def html_title(spark, sf_dir):
     return load(spark, sf_dir, "pages").select("page_id", T.html_title(F.col("html"), F.col("url")).alias("title"))
 
@@ -47,9 +47,10 @@ def ngram_similarity(spark, sf_dir):
     return d.join(b, "item_id").select(F.col("item_id").alias("a"), "b", F.round(T.overlap_coefficient(F.col("g"), F.col("gb")), 6).alias("similarity"))
 
 
-@query(f"""WITH d AS (SELECT min(id) AS id, g FROM (SELECT conv_id * 1000 + turn AS id, list_sort({GRAMS}) AS g FROM (SELECT conv_id, turn, {NORM} AS t FROM conversations)) GROUP BY g)
+@query(f"""WITH d AS (SELECT min(id) AS id, list(id) AS ids, g FROM (SELECT conv_id * 1000 + turn AS id, list_sort({GRAMS}) AS g FROM (SELECT conv_id, turn, {NORM} AS t FROM conversations)) GROUP BY g)
     SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.g, b.g)) / least(len(a.g), len(b.g)), 6) AS similarity FROM d a JOIN d b ON a.id < b.id
-    WHERE len(list_intersect(a.g, b.g)) / least(len(a.g), len(b.g)) > 0.85""")
+    WHERE len(list_intersect(a.g, b.g)) / least(len(a.g), len(b.g)) > 0.85
+    UNION ALL SELECT id, b, 1.0 FROM (SELECT id, unnest(ids) AS b FROM d) WHERE b <> id""")
 def near_dup_pairs(spark, sf_dir):
     c = load(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
     return retrieval.similar_pairs(c, "id", "text", 0.85)
