@@ -65,3 +65,33 @@ def truncate_middle(text: Column, limit: int, marker: str = " … ") -> Column:
     """The first two thirds and the last third of what fits."""
     head = limit * 2 // 3
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, head), F.lit(marker), F.right(text, F.lit(limit - head)))).otherwise(text)
+
+
+def without_punctuation(text: Column) -> Column:
+    """Lower case without ASCII punctuation, with single spaces."""
+    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(text, r"[!-/:-@\[-`{-~]", "")), r"\s+", " "))
+
+
+def markdown_plain(text: Column) -> Column:
+    """Markdown without headings' and items' marks, with links as their texts, in one line."""
+    for pattern, to in ((r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"(?m)^#{1,6}[ \t]+", ""), (r"(?m)^[ \t]*[-*+][ \t]+", ""), (r"[*_`~]+", ""), (r"\s+", " ")):
+        text = F.regexp_replace(text, pattern, to)
+    return F.trim(text)
+
+
+def shortened(text: Column, limit: int) -> Column:
+    """At most limit characters, an ellipsis among them."""
+    return F.when(F.length(text) > limit, F.concat(F.rtrim(F.left(text, F.lit(limit - 1))), F.lit("…"))).otherwise(text)
+
+
+def clean_summary(text: Column, limit: int) -> Column:
+    """One line without code fences and a leading word that says what it is."""
+    x = F.regexp_replace(F.regexp_replace(text, "```[a-z]*", ""), r"^[ \t\n]*(?i:summary|abstract):[ \t]*", "")
+    return F.left(F.trim(F.regexp_replace(x, r"\s+", " ")), F.lit(limit))
+
+
+def salvaged_score(text: Column, field: str, weights: dict[str, float]) -> Column:
+    """The number of a field of (perhaps broken) JSON if it lies in 0..1, else the weighted sum of the fields of weights, else null."""
+    number = lambda name: F.regexp_extract(text, f'"{name}"[ ]*:[ ]*([0-9.]+)', 1).try_cast("double")
+    total = sum((F.lit(w) * number(k) for k, w in weights.items()), F.lit(0.0))
+    return F.when(number(field).between(0, 1), number(field)).otherwise(total)
