@@ -75,6 +75,7 @@ def joined(rows: DataFrame, table: DataFrame, keys: list[str], total: int, how:
     times is the number of rows that have the key, and total that of all rows. Keys that hold more than one HOT_KEYS-th of the rows, so fewer than
     HOT_KEYS, are sent to every task; the rows of all others are shuffled, and those of hot keys are dealt among them by a hash of all columns.
     """
+    table = materialize(table)  # else Spark may keep the table's partitions by the keys alone, which deals no hot key out
     values = [c for c in table.columns if c not in {*keys, "times"}]
     hot = F.col("times") * HOT_KEYS > total
     first = F.broadcast(table.filter(hot).select(*keys, F.struct(*values).alias("__hot")))
