@@ -44,8 +44,15 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encode_texts(docs, vocabulary_path(ENCODE_FILE), keep_ids=True)
 
 
+#: Rows that an Arrow batch of a stage holds at most: texts go to Python workers, which keep their memory from stage to stage.
+BATCH_ROWS, BATCH_SETTING = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def _shipped(stage):
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        rows = int(spark.conf.get(BATCH_SETTING))
+        if not 0 < rows <= BATCH_ROWS:
+            spark.conf.set(BATCH_SETTING, BATCH_ROWS)
         return stage(ship(spark), docs, sf_dir)
 
     return run
