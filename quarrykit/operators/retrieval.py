@@ -10,6 +10,8 @@ from ..sources.stage import staged
 
 RRF_K = 60
 DEDUP, LAMBDA = 0.85, 0.7
+#: Candidates of a query that go into the greedy steps.
+POOL = 50
 #: Bytes of a query table up to which it is sent to all tasks; a larger one is joined in blocks.
 QUERY_ROWS = 10_000
 #: Rows of (query, term) up to which bm25() sends them to all tasks.
@@ -48,6 +50,11 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], k: int | None = No
     return out if k is None else out.filter(F.col("rank") <= k)
 
 
+def pooled(df: DataFrame, order: list[Column], most: int = POOL) -> DataFrame:
+    """The first ``most`` candidates of each query: what the greedy steps on one query's candidates take, so that a group is bounded."""
+    return ranked(df, ["query_id"], order, most).drop("rank")
+
+
 def knn(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     """(query_id, key, score, rank): the k nearest of vectors to each row of queries(query_id, query), by 1 / (1 + squared distance).
 

@@ -122,17 +122,17 @@ def sibling_merge(spark, sf_dir):
 
 @query()
 def mmr_rerank(spark, sf_dir):
-    return X.mmr(_evidence(spark, sf_dir), "score")
+    return X.mmr(X.pooled(_evidence(spark, sf_dir), [F.desc("score"), F.asc("pos"), F.asc("ordinal")]), "score")
 
 
 @query()
 def overlap_trim(spark, sf_dir):
-    return context.trim_overlap(_evidence(spark, sf_dir).select("query_id", "pos", "doc", "ordinal", "start", "end", "content"))
+    return context.trim_overlap(X.pooled(_evidence(spark, sf_dir), [F.asc("pos"), F.asc("ordinal")]).select("query_id", "pos", "doc", "ordinal", "start", "end", "content"))
 
 
 @query()
 def budget_allocate(spark, sf_dir):
-    e = _evidence(spark, sf_dir).select("query_id", "pos", "ordinal", T.estimate_tokens(F.col("content")).alias("demand"))
+    e = X.pooled(_evidence(spark, sf_dir), [F.asc("pos"), F.asc("ordinal")]).select("query_id", "pos", "ordinal", T.estimate_tokens(F.col("content")).alias("demand"))
     return context.allocate(e, 60, 15)
 
 

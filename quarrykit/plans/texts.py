@@ -59,7 +59,7 @@ def near_dup_pairs(spark, sf_dir):
 @query()
 def near_dup_greedy(spark, sf_dir):
     c = load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("pos"), F.col("text").alias("content"))
-    return retrieval.suppress_redundant(c)
+    return retrieval.suppress_redundant(retrieval.pooled(c, [F.asc("pos")]))
 
 
 @query(r"""SELECT doc_id, i - 1 AS line_no, CASE WHEN length(s) > 200 THEN substr(s, 1, 200) || '…' ELSE s END AS snippet FROM
