@@ -72,7 +72,7 @@ def insight_lineage(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT l_partkey AS card, l_orderkey AS chunk, l_suppkey AS doc, min(l_orderkey * 10 + l_linenumber) AS pos FROM lineitem GROUP BY ALL),
-    f AS (SELECT card, doc, min(pos) AS pos FROM s GROUP BY 1, 2) SELECT card, string_agg(doc, ',' ORDER BY pos) AS documents FROM f GROUP BY 1""")
+    f AS (SELECT card, doc, min(pos) AS pos FROM s GROUP BY 1, 2) SELECT card, string_agg(doc, ',' ORDER BY pos, doc) AS documents FROM f GROUP BY 1""")
 def card_documents(spark, sf_dir):
     """The distinct documents of each card's chunks, in the order in which its chunks name them."""
     x = load(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("card"), F.col("l_suppkey").alias("doc")).agg(F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"))
