@@ -41,11 +41,13 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of each row."""
-    return encode_texts(docs, vocabulary_path(ENCODE_FILE), keep_ids=True)
+    return encode_texts(docs, vocabulary_path(ENCODE_FILE), keep_ids=True, pieces=TOKEN_PIECES)
 
 
+#: Pieces that a worker's table of the last stage holds at most: the workers keep the memory of the stages before.
+TOKEN_PIECES = 1 << 15
 #: Rows that an Arrow batch of a stage holds at most: texts go to Python workers, which keep their memory from stage to stage.
-BATCH_ROWS, BATCH_SETTING = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS, BATCH_SETTING = 500, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def _shipped(stage):

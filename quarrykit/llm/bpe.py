@@ -38,16 +38,16 @@ def piece_pattern() -> str:
 
 
 class Memo(dict):
-    """A table of what a function gives for pieces; emptied when full."""
+    """A table of what a function gives for pieces; emptied when it holds ``most``."""
 
-    def __init__(self, of):
+    def __init__(self, of, most: int = MEMO_PIECES):
         super().__init__()
-        self.of = of
+        self.of, self.most = of, most
 
     def __missing__(self, piece: str):
         out = self.of(piece.encode())
         if len(piece) <= MEMO_CHARS:
-            if len(self) >= MEMO_PIECES:
+            if len(self) >= self.most:
                 self.clear()
             self[piece] = out
         return out
@@ -114,16 +114,16 @@ class Counter:
 
 
 class Encoder:
-    """Encodes by the ranks of a tiktoken file, and decodes."""
+    """Encodes by the ranks of a tiktoken file, and decodes; its table holds ``pieces`` pieces at most."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pieces: int = MEMO_PIECES):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.bytes_of = [b""] * (max(self.ranks.values()) + 1)
         for piece, rank in self.ranks.items():
             self.bytes_of[rank] = piece
         self.find = regex.compile(piece_pattern()).findall
-        self.memo = Memo(lambda piece: np.array(self.encode_piece(piece), "<u4").tobytes())
+        self.memo = Memo(lambda piece: np.array(self.encode_piece(piece), "<u4").tobytes(), pieces)
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """A segment tree over byte positions holds, at the leaf of each part's start, the rank that the part and its right neighbour have
@@ -183,8 +183,8 @@ def counter(path: str) -> Counter:
 
 
 @functools.lru_cache(2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, pieces: int = MEMO_PIECES) -> Encoder:
+    return Encoder(path, pieces)
 
 
 def _texts(column: pa.Array):
@@ -209,13 +209,15 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT_TOKENS) -> DataF
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
-def encode_texts(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each text, with the identifiers as little-endian bytes in ids if asked for; path is that of a .tiktoken file."""
+def encode_texts(docs: DataFrame, path: str, keep_ids: bool = False, pieces: int = MEMO_PIECES) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each text, with the identifiers as little-endian bytes in ids if asked for; path is that of a .tiktoken
+    file. A worker's table holds ``pieces`` pieces at most: fewer take less memory and more time, and change no result."""
     fields = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.binary())] * keep_ids
     schema = pa.schema(fields)
 
     def run(batches):
-        e = encoder(path)
+        e = encoder(path, pieces)
+        pa.default_memory_pool().release_unused()  # what earlier stages left in this worker
         for batch in batches:
             rows = []
             for t in _texts(batch.column(1)):
