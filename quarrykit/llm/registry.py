@@ -8,6 +8,7 @@ from .lm import op2_lm_score
 from .mixing import op1_mix
 from .ngram_join import op5_ngram_join
 from .quality import op9_quality
+from .sentencepiece import op12_sentencepiece
 from .warc import op10_warc
 
 QUERIES = {
@@ -21,6 +22,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_quality": op9_quality,
     "op10_warc": op10_warc,
+    "op12_sentencepiece": op12_sentencepiece,
 }
 
 ORACLES = {
