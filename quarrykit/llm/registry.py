@@ -1,6 +1,7 @@
 """The queries of this package, and their SQL where SQL can express them."""
 
 from .bpe import op6_bpe, op8_token_counts
+from .divergence import op13_divergence
 from .extract import op7_html_text
 from .fingerprint import op3_fingerprint
 from .langid import op4_langid
@@ -23,6 +24,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_warc": op10_warc,
     "op12_sentencepiece": op12_sentencepiece,
+    "op13_divergence": op13_divergence,
 }
 
 ORACLES = {
@@ -47,4 +49,19 @@ ORACLES = {
         SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN page_id < top THEN top END AS refers_to
         FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest AND p.payload_bytes >= 1000""",
+    "op13_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        c AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY 1, 2, 3),
+        k AS (SELECT lang, term, count(*) AS n FROM w GROUP BY 1, 2 HAVING count(DISTINCT r) >= 10),
+        l AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY 1),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        t AS (SELECT lang, source, sum(c.n) AS words FROM c JOIN k USING (lang, term) GROUP BY 1, 2),
+        s AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 2)) // (coalesce(t.words, 0) + 2 * l.v) AS p, 1 + (1000000000 * (k.n + 2)) // (l.total + 2 * l.v) AS q
+              FROM g JOIN l USING (lang) JOIN k USING (lang) LEFT JOIN t ON t.lang = g.lang AND t.source = g.source LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+        o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+              UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM s WHERE n > 0 AND p > q)
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+        FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM o) WHERE part = 'pair' OR rank <= 10""",
 }
