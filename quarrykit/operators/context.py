@@ -1,4 +1,4 @@
-"""Context for answers and chunks of documents: steps that run along one query's evidence or along one document."""
+"""Context for answers: steps that run along one query's evidence or along one text."""
 
 import re
 
@@ -6,87 +6,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TARGET, OVERLAP = 512, 80
+from ..functions.sentences import WIDE_CHUNK, estimate, sentences
+
 EVIDENCE_BUDGET, EVIDENCE_LEAST = 2000, 120
 TRIM_CHARS, TRIM_TOKENS = 16, 40
-#: Ends of sentences in either script (fixed values); a Latin one needs white space or the end after it.
-_SENTENCE = re.compile(r"""[^。！？!?.\n]*(?:[。！？]+[”"’'）)\]]*|[.!?]+[”"’'）)\]]*(?=\s|\Z)|[.!?]|\n|\Z)\s*""")
-_WIDE = re.compile(r"[㐀-䶿一-鿿぀-ヿ豈-﫿]")
-_HEADING = re.compile(r"^(#{1,6})[ \t]+(.+?)[ \t]*#*[ \t]*$")
 
 
 def tokens_of(text: str) -> int:
-    wide = len(_WIDE.findall(text))
-    return wide + -(-(len(text) - wide) // 4)
-
-
-def sentences(text: str) -> list[str]:
-    """Pieces that join to the text again."""
-    return [m[0] for m in _SENTENCE.finditer(text) if m[0]]
-
-
-def headings(text: str) -> list[tuple[int, str]]:
-    """(offset, path) of each heading outside of fences; a path is the open headings joined by ' > '."""
-    out, stack, at, fence = [], [], 0, ""
-    for line in text.splitlines(keepends=True):
-        bare = line.strip()
-        if bare[:3] in ("```", "~~~"):
-            fence = "" if fence == bare[:3] else (fence or bare[:3])
-        elif not fence and (m := _HEADING.match(line.rstrip("\n"))):
-            level = len(m[1])
-            stack = [h for h in stack if h[0] < level] + [(level, m[2])]
-            out.append((at, " > ".join(t for _, t in stack)))
-        at += len(line)
-    return out
-
-
-def chunks(text: str, target: int = TARGET, overlap: int = OVERLAP) -> list[tuple[int, int, str]]:
-    """(start, end, heading path) of chunks of whole sentences, target tokens at most but for what no sentence end divides, which is cut.
-
-    Each chunk after the first begins earlier by as many whole sentences of the one before as overlap tokens hold.
-    """
-    room = max(1, target - overlap)
-    spans, at = [], 0
-    for s in sentences(text):
-        step = len(s)
-        if tokens_of(s) > room:
-            step = max(1, room)
-        for i in range(0, len(s), step):
-            part = s[i : i + step]
-            spans.append((at + i, at + i + len(part), tokens_of(part)))
-        at += len(s)
-    paths = headings(text)
-    out, first = [], 0
-    while first < len(spans):
-        last, size = first, 0
-        while last < len(spans) and (last == first or size + spans[last][2] <= room):
-            size += spans[last][2]
-            last += 1
-        begin, back = first, 0
-        while out and begin > 0 and back + spans[begin - 1][2] <= overlap:
-            begin -= 1
-            back += spans[begin][2]
-        start, end = spans[begin][0], spans[last - 1][1]
-        if text[start:end].strip():
-            path = next((p for o, p in reversed(paths) if o <= spans[first][0]), "")
-            out.append((start, end, path))
-        first = last
-    return out
-
-
-def chunk_documents(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, ordinal, content, char_start, char_end, heading_path, token_count); content is always text[char_start:char_end]."""
-    kind = docs.schema[key].dataType.simpleString()
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for k, t in zip(pdf[key], pdf[text], strict=True):
-                for i, (a, b, path) in enumerate(chunks(t or "")):
-                    rows.append((k, i, t[a:b], a, b, path, tokens_of(t[a:b])))
-            yield pd.DataFrame(rows, columns=[key, "ordinal", "content", "char_start", "char_end", "heading_path", "token_count"])
-
-    return docs.select(key, text).mapInPandas(run, f"{key} {kind}, ordinal int, content string, char_start int, char_end int, heading_path string, token_count int")
+    return estimate(text, WIDE_CHUNK)
 
 
 def shares(weights: list[float], demands: list[int], budget: int, least: int) -> list[int]:

@@ -1,5 +1,6 @@
 """Node and edge tables: neighbourhoods, induced edges, timelines."""
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,19 +59,55 @@ def replay(births: DataFrame, step_ms: int) -> DataFrame:
     return out.select("topic", "step", "born", F.round(F.col("total") / F.col("born"), 6).alias("mean_confidence"))
 
 
-def mentions(texts: DataFrame, names: DataFrame, key: str, text: str, most: int | None) -> DataFrame:
-    """(key, entity, place) of names(name) that a text holds literally, longest first, ``most`` at most.
+#: Characters of the names that one automaton holds at most; more names take more passes over the texts.
+NAME_CHARS = 4_000_000
 
-    Names are found through the words that they start in: a text's runs of letters and digits are cut into pieces of the length of the shortest name, and a name is
-    looked for only in texts that hold its first piece; so no name is held against all texts.
+
+def _automaton(names: list[str]):
+    import ahocorasick
+
+    out = ahocorasick.Automaton()
+    for n in names:
+        out.add_word(n, n)
+    out.make_automaton()
+    return out
+
+
+def mentions(texts: DataFrame, names: DataFrame, key: str, text: str, most: int | None = None) -> DataFrame:
+    """(key, entity, place) of names(name) that a text holds literally, longest first, ``most`` at most; empty and null names are in no text.
+
+    An automaton of all names reads each text once, in time that grows with the text and its finds alone. Names go to the tasks in parts of some NAME_CHARS
+    characters, so that what is sent has a bound; only with more than one part are finds of a text brought together by a shuffle.
     """
-    least = F.lit(names.agg(F.coalesce(F.min(F.length("name")), F.lit(1))).first()[0])
-    pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - least + 1, F.lit(1))), lambda i: F.substring(F.col(text), i, least)))
-    heads = names.select(F.col("name").alias("entity"), F.substring(F.col("name"), F.lit(1), least).alias("__head"))
-    cut = texts.select(key, text, F.explode(pieces).alias("__head"))
-    found = cut.join(heads, "__head").filter(F.contains(F.col(text), F.col("entity"))).select(key, "entity")
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.length("entity")), "entity"))
-    out = found.withColumn("place", place)
+    names = staged(names.select("name").filter("name <> ''").distinct())
+    chars = names.agg(F.coalesce(F.sum(F.length("name")), F.lit(0))).first()[0]
+    parts = -(-chars // NAME_CHARS)
+    kind = texts.schema[key].dataType.simpleString()
+    context = texts.sparkSession.sparkContext
+
+    def search(sent):
+        def run(batches):
+            found = _automaton(sent.value)
+            for batch in batches:
+                keys, entities, places = [], [], []
+                for k, t in zip(batch.column(0), batch.column(1), strict=True):
+                    own = sorted({n for _, n in found.iter(t.as_py() or "")}, key=lambda n: (-len(n), n))[:most]
+                    keys += [k] * len(own)
+                    entities += own
+                    places += range(1, len(own) + 1)
+                yield pa.RecordBatch.from_arrays([pa.array([k.as_py() for k in keys], batch.schema.field(0).type), pa.array(entities, pa.string()), pa.array(places, pa.int32())], names=[key, "entity", "place"])
+
+        return texts.select(key, text).mapInArrow(run, f"{key} {kind}, entity string, place int")
+
+    part = F.pmod(F.xxhash64("name"), F.lit(max(parts, 1)))
+    out = None
+    for i in range(parts):
+        one = search(context.broadcast([r["name"] for r in names.filter(part == i).select("name").collect()]))
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        return texts.limit(0).select(key, F.lit("").alias("entity"), F.lit(0).alias("place"))
+    if parts > 1:
+        out = out.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.length("entity")), "entity")))
     return out if most is None else out.filter(F.col("place") <= most)
 
 

@@ -78,13 +78,14 @@ def doctor_report(spark, sf_dir):
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-NAMES = "(SELECT term AS name FROM (SELECT unnest(regexp_extract_all(lower(text), '[0-9a-z]+')) AS term FROM benchmark) WHERE length(term) >= 9 GROUP BY 1 HAVING count(*) >= 2)"
+NAMES = "(SELECT term AS name FROM (SELECT unnest(regexp_extract_all(lower(text), '[0-9a-z]+')) AS term FROM benchmark) WHERE length(term) >= 6 GROUP BY 1 HAVING count(*) >= 2)"
+WORDS = NAMES.replace(">= 6", ">= 3")
 
 
-def _names(spark, sf_dir):
-    """Entities: long terms that occur twice or more in the benchmark."""
+def _names(spark, sf_dir, least=6):
+    """Entities: terms of ``least`` letters and more that occur twice or more in the benchmark."""
     terms = load(spark, sf_dir, "benchmark").select(F.explode(T.latin_terms(F.col("text"))).alias("name"))
-    return terms.filter(F.length("name") >= 9).groupBy("name").count().filter("count >= 2").select("name")
+    return terms.filter(F.length("name") >= least).groupBy("name").count().filter("count >= 2").select("name")
 
 
 @query(f"""WITH m AS (SELECT doc_id, name FROM documents, {NAMES} WHERE contains(lower(text), name))
@@ -95,7 +96,7 @@ def entity_mentions(spark, sf_dir):
     return G.mentions(docs, _names(spark, sf_dir), "doc_id", "t", 5)
 
 
-@query(f"""WITH e AS (SELECT name AS id, lower(trim(name)) AS k FROM {NAMES}), raw AS (SELECT item_id, ' ' || upper(a) || ' ' AS src, b AS dst, 'near' AS predicate FROM
+@query(f"""WITH e AS (SELECT name AS id, lower(trim(name)) AS k FROM {WORDS}), raw AS (SELECT item_id, ' ' || upper(a) || ' ' AS src, b AS dst, 'near' AS predicate FROM
     (SELECT item_id, t[i] AS a, t[i + 1] AS b FROM (SELECT item_id, t, unnest(generate_series(1, len(t) - 1)) AS i FROM (SELECT item_id, regexp_extract_all(lower(text), '[0-9a-z]+') AS t FROM benchmark))))
     SELECT s.id AS src, d.id AS dst, predicate, min(item_id) AS first_item FROM raw JOIN e s ON lower(trim(src)) = s.k JOIN e d ON lower(trim(dst)) = d.k WHERE s.id <> d.id GROUP BY 1, 2, 3""")
 def resolve_relations(spark, sf_dir):
@@ -103,7 +104,7 @@ def resolve_relations(spark, sf_dir):
     t = load(spark, sf_dir, "benchmark").select("item_id", T.latin_terms(F.col("text")).alias("t"))
     at = t.select("item_id", "t", F.posexplode("t").alias("i", "a")).select("item_id", F.concat(F.lit(" "), F.upper("a"), F.lit(" ")).alias("src"), F.get("t", F.col("i") + 1).alias("dst")).filter("dst IS NOT NULL")
     raw = at.withColumn("predicate", F.lit("near"))
-    entities = _names(spark, sf_dir).select(F.col("name").alias("id"), "name")
+    entities = _names(spark, sf_dir, 3).select(F.col("name").alias("id"), "name")
     return G.resolve_endpoints(raw, entities).groupBy("src", "dst", "predicate").agg(F.min("item_id").alias("first_item"))
 
 

@@ -104,11 +104,6 @@ def history_compact(spark, sf_dir):
     return context.compact_history(c, 120)
 
 
-@query()
-def chunk_documents(spark, sf_dir):
-    return context.chunk_documents(load(spark, sf_dir, "documents"), "doc_id", "text")
-
-
 @query("""WITH h AS (SELECT conv_id, turn, role = 'user' AND (contains(lower(text), 'it') OR contains(lower(text), 'that')) AS anaphora, regexp_matches(lower(text), '(quote|verbatim|exact)') AS verbatim FROM conversations)
     SELECT * FROM h""")
 def intent_flags(spark, sf_dir):

@@ -5,6 +5,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quarrykit.functions import stats, text
+from quarrykit.functions.sentences import headings, sentences
 from quarrykit.operators import context, graph, lifecycle, relational, retrieval
 from quarrykit.sources import sinks, tables
 from quarrykit.streaming import flows
@@ -57,25 +58,11 @@ def test_sentences_lose_nothing():
     rng = random.Random(3)
     for _ in range(300):
         t = "".join(rng.choice("ab .!?。！\n\"”)c") for _ in range(rng.randint(0, 80)))
-        assert "".join(context.sentences(t)) == t
-
-
-def test_chunks_are_slices(spark):
-    t = "# One\nFirst words here. " + "Some more text stands here to fill it. " * 200 + "\n## Two\n" + "没有空格的句子。" * 300 + "x" * 5000
-    got = context.chunk_documents(spark.createDataFrame([(1, t), (2, ""), (3, None)], "id long, text string"), "id", "text").orderBy("ordinal").collect()
-    assert {r["id"] for r in got} == {1}
-    assert all(r["content"] == t[r["char_start"] : r["char_end"]] for r in got)
-    assert [r["char_start"] for r in got] == sorted(r["char_start"] for r in got)
-    covered = set()
-    for r in got:
-        covered |= set(range(r["char_start"], r["char_end"]))
-        assert r["token_count"] <= context.TARGET + 1
-    assert not [i for i in range(len(t)) if i not in covered and t[i].strip()]
-    assert got[0]["heading_path"] == "One" and got[-1]["heading_path"] == "One > Two"
+        assert "".join(sentences(t)) == t
 
 
 def test_headings_skip_fences():
-    assert context.headings("# A\n```\n# no\n```\n## B\n") == [(0, "A"), (17, "A > B")]
+    assert headings("# A\n```\n# no\n```\n## B\n") == [(0, "A"), (17, "A > B")]
 
 
 def test_trim_overlap(spark):
