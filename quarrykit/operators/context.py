@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sentences import WIDE_CHUNK, estimate, sentences
+from ..functions.sentences import WIDE_CHUNK, estimate, sentence_ends, sentences
 
 EVIDENCE_BUDGET, EVIDENCE_LEAST = 2000, 120
 TRIM_CHARS, TRIM_TOKENS = 16, 40
@@ -60,6 +60,19 @@ def allocate(df: DataFrame, budget: int = EVIDENCE_BUDGET, least: int = EVIDENCE
     return df.groupBy("query_id").applyInPandas(run, f"{fields}, granted long")
 
 
+def _shared(earlier: str, later: str) -> int:
+    """Characters at the start of later, with the white space after them, that end earlier; both sides of the cut lie where sentences do, the longest is taken."""
+    body = earlier.rstrip()
+    starts = {len(body[:e].rstrip()) for e in [0, *sentence_ends(body)]}
+    for e in reversed(sentence_ends(later)):
+        part = later[:e].rstrip()
+        if len(part) < TRIM_CHARS:
+            break
+        if body.endswith(part) and len(body[: len(body) - len(part)].rstrip()) in starts:
+            return len(later) - len(later[e:].lstrip())
+    return 0
+
+
 def trim_overlap(df: DataFrame) -> DataFrame:
     """Evidence(query_id, pos, doc, ordinal, start, end, content) without text that a neighbour of the same document, better placed, holds already.
 
@@ -74,17 +87,15 @@ def trim_overlap(df: DataFrame) -> DataFrame:
                 if other["doc"] != row["doc"] or abs(other["ordinal"] - row["ordinal"]) != 1:
                     continue
                 a, b = (other["content"], row["content"]) if other["ordinal"] < row["ordinal"] else (row["content"], other["content"])
-                ends = {0}
-                for s in sentences(b):
-                    ends.add(max(ends) + len(s))
-                n = max((e for e in ends if TRIM_CHARS <= e <= min(len(a), len(b)) and a.endswith(b[:e])), default=0)
+                n = _shared(a, b)
                 if not n:
                     continue
                 cut = True
                 if other["ordinal"] < row["ordinal"]:
                     row["content"], row["start"] = row["content"][n:], row["start"] + n
                 else:
-                    row["content"], row["end"] = row["content"][:-n], row["end"] - n
+                    left = len(a.rstrip()) - len(b[:n].rstrip())
+                    row["content"], row["end"] = a[:left], row["end"] - (len(a) - left)
             if not cut or tokens_of(row["content"]) >= TRIM_TOKENS:
                 kept.append(row)
         return pd.DataFrame(kept, columns=pool.columns)
