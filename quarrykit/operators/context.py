@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sentences import WIDE_CHUNK, estimate, sentence_ends, sentences
+from .evidence import shares
 
 EVIDENCE_BUDGET, EVIDENCE_LEAST = 2000, 120
 TRIM_CHARS, TRIM_TOKENS = 16, 40
@@ -16,38 +17,6 @@ def tokens_of(text: str) -> int:
     return estimate(text, WIDE_CHUNK)
 
 
-def shares(weights: list[float], demands: list[int], budget: int, least: int) -> list[int]:
-    """Whole parts of budget: in proportion to weights, at most what each demands; while one gets less than both least and its demand, the weakest of
-    those goes and gets nothing. What rounding leaves goes to the heaviest that still have room."""
-    live = [i for i, d in enumerate(demands) if d > 0 and weights[i] > 0]
-    while live:
-        part, rest, open_ = dict.fromkeys(live, 0.0), float(budget), list(live)
-        while open_ and rest > 1e-9:
-            w = sum(weights[i] for i in open_)
-            full = [i for i in open_ if part[i] + rest * weights[i] / w >= demands[i]]
-            if not full:
-                for i in open_:
-                    part[i] += rest * weights[i] / w
-                break
-            given = {i: demands[i] - part[i] for i in full}
-            for i in full:
-                part[i] = float(demands[i])
-            rest -= sum(given.values())
-            open_ = [i for i in open_ if i not in given]
-        short = [i for i in live if part[i] < least and part[i] < demands[i]]
-        if not short or len(live) == 1:
-            break
-        live.remove(min(short, key=lambda i: (weights[i], -i)))
-    out = [0] * len(demands)
-    for i in live:
-        out[i] = int(part[i])
-    for i in sorted(live, key=lambda i: (-weights[i], i)):
-        more = min(demands[i] - out[i], budget - sum(out))
-        if 0 < more:
-            out[i] += more
-    return out
-
-
 def allocate(df: DataFrame, budget: int = EVIDENCE_BUDGET, least: int = EVIDENCE_LEAST) -> DataFrame:
     """df(query_id, pos, demand, ...) with the column granted; weights are 1 / (pos + 1)."""
 

@@ -84,23 +84,6 @@ def with_summaries(chunks: DataFrame, summaries: DataFrame, key: str) -> DataFra
     return chunks.unionByName(own)
 
 
-def coverage_before(df: DataFrame, by: list[str], order: str, grams: str, limit: float) -> DataFrame:
-    """(by, order, seen, dropped): the share of a row's grams that a row before it in its group has. Grams meet by the first row that has them, never row by row."""
-    flat = df.select(*by, order, F.size(grams).alias("__n"), F.explode(grams).alias("__g"))
-    first = flat.groupBy(*by, "__g").agg(F.min(order).alias("__first"))
-    old = F.count_if(F.col("__first") < F.col(order))
-    out = flat.join(first, [*by, "__g"]).groupBy(*by, order).agg(F.round(old / F.max("__n"), 6).alias("seen"), (old >= limit * F.max("__n")).alias("dropped"))
-    return out
-
-
-def assemble(df: DataFrame, by: list[str], part: str, order: str, tokens: str, budgets: dict[int, int]) -> DataFrame:
-    """Rows of each part, in order, while the sum of tokens keeps within the part's budget, with their place in the whole and its total."""
-    budget = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in budgets.items()))
-    upto = F.sum(tokens).over(Window.partitionBy(*by, part).orderBy(order))
-    kept = df.withColumn("__upto", upto).filter(F.col("__upto") <= F.element_at(budget, F.col(part))).drop("__upto")
-    return kept.withColumns({"place": F.row_number().over(Window.partitionBy(*by).orderBy(part, order)), "total": F.sum(tokens).over(Window.partitionBy(*by))})
-
-
 def verdicts(items: DataFrame, key: str) -> DataFrame:
     """(key, items, paired, verdict) from items(key, a, b), the scores of both arms: promote or archive where at least half of the items are paired and the mean
     difference is two standard errors or more from 0."""

@@ -271,24 +271,6 @@ def citation_emit(spark, sf_dir):
     return e.filter("event_type = 'click'").join(shown, ["user_id", "marker"], "left_semi").groupBy("user_id", "marker").agg(F.min("ts_ms").alias("at"))
 
 
-@query("""WITH g AS (SELECT conv_id, turn, list_distinct(CASE WHEN length(t) < 4 THEN [t] ELSE list_transform(generate_series(1, length(t) - 3), lambda i: substr(t, i, 4)) END) AS g FROM (SELECT conv_id, turn, lower(text) AS t FROM conversations)),
-    e AS (SELECT conv_id, turn, unnest(g) AS x, len(g) AS n FROM g), f AS (SELECT *, min(turn) OVER (PARTITION BY conv_id, x) AS first FROM e)
-    SELECT conv_id, turn, round(count(*) FILTER (first < turn) / max(n), 6) AS seen, count(*) FILTER (first < turn) >= 0.9 * max(n) AS dropped FROM f GROUP BY 1, 2""")
-def seen_before(spark, sf_dir):
-    """The share of a card's 4-grams that stand in cards before it in a context; one of 90 % or more is not rendered."""
-    c = load(spark, sf_dir, "conversations").select("conv_id", "turn", T.char_ngrams(F.lower("text")).alias("g"))
-    return R.coverage_before(c, ["conv_id"], "turn", "g", 0.9)
-
-
-@query("""WITH t AS (SELECT conv_id, turn, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens, CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END AS part FROM conversations),
-    s AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id, part ORDER BY turn) AS upto FROM t), k AS (SELECT * FROM s WHERE upto <= CASE part WHEN 0 THEN 120 WHEN 1 THEN 240 ELSE 480 END)
-    SELECT conv_id, turn, part, tokens, row_number() OVER (PARTITION BY conv_id ORDER BY part, turn) AS place, CAST(sum(tokens) OVER (PARTITION BY conv_id) AS BIGINT) AS total FROM k""")
-def context_assembly(spark, sf_dir):
-    """The parts of a context in order, each within its own budget: rows are taken in order until the budget of their part is spent."""
-    c = load(spark, sf_dir, "conversations").select("conv_id", "turn", F.ceil(F.length("text") / 4).alias("tokens"), F.when(F.col("role") == "system", 0).when(F.col("role") == "user", 1).otherwise(2).alias("part"))
-    return R.assemble(c, ["conv_id"], "part", "turn", "tokens", {0: 120, 1: 240, 2: 480})
-
-
 @query(f"""WITH f AS (SELECT user_id, event_type, ts_ms, event_id FROM {EVENTS}), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts_ms DESC, event_id DESC) AS r FROM f WHERE event_type IN ('purchase', 'error', 'signup'))
     SELECT user_id, CASE event_type WHEN 'purchase' THEN 'active' WHEN 'error' THEN 'archived' ELSE 'candidate' END AS status, ts_ms AS since FROM r WHERE r = 1""")
 def lifecycle_state(spark, sf_dir):
