@@ -1,7 +1,6 @@
 """What of the evidence, cards and lessons of a question goes into its context, and how much of each.
 
-Texts are cut where sentences end. Budgets are estimates of tokens (functions.sentences). The evidence of a question is a bounded pool, dealt out by the question;
-cards and lessons are chosen by a fold over an array of the question's rows, inside the JVM.
+Texts are cut where sentences end. Budgets are estimates of tokens (functions.sentences). The evidence and cards of a question are a bounded pool, dealt out by the question.
 """
 
 import re
@@ -9,8 +8,7 @@ from bisect import bisect_right
 from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from ..functions.sentences import WIDE_PROMPT, Meter, estimate, sentence_ends
 from .groups import along_groups
@@ -191,28 +189,32 @@ def compact(df: DataFrame, text: str, question: str) -> DataFrame:
     return df.mapInArrow(run, f"{kinds}, compacted string")
 
 
-def _fold_type(df: DataFrame, order: str) -> str:
-    return f"struct<seen:array<string>,chars:bigint,wide:bigint,kept:array<{df.schema[order].dataType.simpleString()}>>"
+def grams(text: str, n: int = 4) -> set[str]:
+    """Character n-grams of a text in lower case with single spaces; a shorter text is its own only one, an empty one has none."""
+    t = re.sub(r"\s+", " ", text).strip().casefold()
+    return {t[i : i + n] for i in range(max(len(t) - n + 1, 1))} if t else set()
 
 
-def chosen(df: DataFrame, by: list[str], order: str, grams: str, chars: str, wide: str, budget: int | None, opening: tuple[int, int] = (0, 0), seen: Column | None = None) -> DataFrame:
-    """(by, kept, tokens): the rows of each group that are rendered, in order. A row goes if COVERED of its grams are in seen or in rows rendered before it, and if
-    it doesn't fit any more; rows after it may. chars and wide are the sizes of rows, two characters stand between them, opening is the size of what frames them.
-    """
-    kind = _fold_type(df, order)
-    items = F.transform(F.array_sort(F.collect_list(F.struct(order, grams, chars, wide))), lambda x: F.struct(x[grams].alias("seen"), x[chars].cast("bigint").alias("chars"), x[wide].cast("bigint").alias("wide"), F.array(x[order]).alias("kept")))
-    grouped = df.groupBy(*by).agg(items.alias("__items"), F.first(seen if seen is not None else F.array().cast("array<string>")).alias("__seen"))
-
-    def tokens(c, w):
-        return w + F.ceil((c - w) / 4)
-
-    def merge(a, x):
-        more_chars = a["chars"] + x["chars"] + F.when(F.size(a["kept"]) > 0, 2).otherwise(0)
-        more_wide = a["wide"] + x["wide"]
-        known = (F.size(x["seen"]) > 0) & (F.size(F.array_intersect(x["seen"], a["seen"])) / F.size(x["seen"]) >= COVERED)
-        over = F.lit(False) if budget is None else tokens(more_chars, more_wide) > budget
-        return F.when(known | over, a).otherwise(F.struct(F.array_union(a["seen"], x["seen"]).alias("seen"), more_chars.alias("chars"), more_wide.alias("wide"), F.concat(a["kept"], x["kept"]).alias("kept")))
-
-    start = F.struct(F.col("__seen").alias("seen"), F.lit(opening[0]).cast("bigint").alias("chars"), F.lit(opening[1]).cast("bigint").alias("wide"), F.array().alias("kept")).cast(kind)
-    out = grouped.select(*by, F.aggregate("__items", start, lambda a, x: merge(a, x).cast(kind)).alias("__a"))
-    return out.select(*by, F.col("__a.kept").alias("kept"), F.when(F.size("__a.kept") > 0, tokens(F.col("__a.chars"), F.col("__a.wide"))).otherwise(0).cast("int").alias("tokens"))
+def chosen(df: DataFrame, by: list[str], order: str, text: str, budget: int | None, opening: str = "", seen: str | None = None, covered: float | None = COVERED) -> DataFrame:
+    """(by, order, tokens): the rows of each group that are rendered, with the tokens of all of them up to this one. A row goes if the share ``covered`` of its grams is
+    in the text of the column seen or in rows rendered before it, and if it doesn't fit any more; rows after it may. A blank line stands between rows,
+    opening before them; null text is empty."""
+    kinds = [f for f in df.schema if f.name in {*by, order}]
+
+    def step(group):
+        known = grams(group[0][seen] or "") if seen else set()
+        held, out = opening, []
+        for row in group:
+            own = row[text] or ""
+            g = grams(own) if covered is not None else set()
+            if g and len(g & known) / len(g) >= covered:
+                continue
+            with_it = held + "\n\n" * bool(out) + own
+            if budget is not None and estimate(with_it) > budget:
+                continue
+            held = with_it
+            known |= g
+            out.append({f.name: row[f.name] for f in kinds} | {"tokens": estimate(held)})
+        return out
+
+    return along_groups(df, by, [order], step, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kinds) + ", tokens int")

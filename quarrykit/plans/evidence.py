@@ -1,8 +1,8 @@
 """What goes into the context of an answer: cards, lessons and evidence within their budgets."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..functions.sentences import estimate
 from ..operators import evidence as E
 from ..operators.groups import along_groups
@@ -11,13 +11,12 @@ from .base import query
 from .texts import GRAMS, NORM
 
 #: Cards: each turn, and the same words once more in capitals with something after them.
-CARDS = "(SELECT conv_id, turn * 2 + j AS pos, CASE j WHEN 0 THEN text ELSE upper(text) || ' And more.' END AS text FROM conversations, (SELECT unnest([0, 1]) AS j))"
+CARDS = "(SELECT conv_id, turn * 2 + j AS pos, CASE j WHEN 0 THEN text ELSE translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || ' And more.' END AS text FROM conversations, (SELECT unnest([0, 1]) AS j))"
 
 
 def _cards(spark, sf_dir):
     c = load(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.explode(F.array(F.lit(0), F.lit(1))).alias("j"))
-    c = c.select("conv_id", (F.col("turn") * 2 + F.col("j")).alias("pos"), F.when(F.col("j") == 0, F.col("text")).otherwise(F.concat(F.upper("text"), F.lit(" And more."))).alias("text"))
-    return c.withColumns({"g": T.char_ngrams(T.normalized(F.col("text"))), "chars": F.length("text"), "wide": F.regexp_count("text", F.lit(T.CJK_BUDGET))})
+    return c.select("conv_id", (F.col("turn") * 2 + F.col("j")).alias("pos"), F.when(F.col("j") == 0, F.col("text")).otherwise(F.concat(F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.lit(" And more."))).alias("text"))
 
 
 def _fold(items: str, keys: str, order: str, budget: str, opening: int) -> str:
@@ -38,14 +37,15 @@ SIZED = rf"(SELECT conv_id, pos, {GRAMS} AS g, length(text) AS chars, len(regexp
 @query(f"SELECT conv_id, CAST(unnest(a.kept) AS INTEGER) AS pos FROM {_fold(SIZED, 'conv_id', 'pos', '1000000000', 0)}")
 def seen_before(spark, sf_dir):
     """Cards that are rendered: one that rendered cards before it cover to 90 % goes, and doesn't count as seen itself."""
-    return E.chosen(_cards(spark, sf_dir), ["conv_id"], "pos", "g", "chars", "wide", None).select("conv_id", F.explode("kept").alias("pos"))
+    return E.chosen(_cards(spark, sf_dir), ["conv_id"], "pos", "text", None).select("conv_id", "pos")
 
 
-@query(f"SELECT conv_id, array_to_string(a.kept, ',') AS kept, {TOKENS} AS tokens FROM {_fold(SIZED, 'conv_id', 'pos', '200', 40)}")
+@query(f"SELECT conv_id, array_to_string(a.kept, ',') AS kept, {TOKENS} AS tokens FROM {_fold(SIZED, 'conv_id', 'pos', '200', 40)} WHERE len(a.kept) > 0")
 def render_cards(spark, sf_dir):
     """Cards within a budget: one that doesn't fit is left out, and shorter ones after it may still come."""
-    out = E.chosen(_cards(spark, sf_dir), ["conv_id"], "pos", "g", "chars", "wide", 200, opening=(40, 0))
-    return out.select("conv_id", F.array_join(F.transform("kept", lambda x: x.cast("string")), ",").alias("kept"), "tokens")
+    out = E.chosen(_cards(spark, sf_dir), ["conv_id"], "pos", "text", 200, opening="-" * 40)
+    kept = F.array_join(F.transform(F.array_sort(F.collect_list("pos")), lambda x: x.cast("string")), ",")
+    return out.groupBy("conv_id").agg(kept.alias("kept"), F.max("tokens").alias("tokens"))
 
 
 PARTS = "(SELECT conv_id, turn, CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END AS part, CAST([] AS VARCHAR[]) AS g, length(text) AS chars, len(regexp_extract_all(text, '[\\x{4e00}-\\x{9fff}]')) AS wide FROM conversations)"
@@ -55,15 +55,15 @@ PARTS = "(SELECT conv_id, turn, CASE role WHEN 'system' THEN 0 WHEN 'user' THEN
     SELECT conv_id, CAST(turn AS INTEGER) AS turn, part, tokens, row_number() OVER (PARTITION BY conv_id ORDER BY part, turn) AS place FROM (SELECT conv_id, part, {TOKENS} AS tokens, unnest(a.kept) AS turn FROM k)""")
 def context_assembly(spark, sf_dir):
     """The parts of a context in order, each within its own budget: a row that doesn't fit is left out, rows after it may come."""
-    from pyspark.sql import Window
-
     part = F.when(F.col("role") == "system", 0).when(F.col("role") == "user", 1).otherwise(2)
-    c = load(spark, sf_dir, "conversations").select("conv_id", "turn", part.alias("part"), F.array().cast("array<string>").alias("g"), F.length("text").alias("chars"), F.regexp_count("text", F.lit(T.CJK_BUDGET)).alias("wide"))
+    c = load(spark, sf_dir, "conversations").select("conv_id", "turn", part.alias("part"), "text")
     kept = None
     for p, budget in ((0, 120), (1, 240), (2, 480)):
-        one = E.chosen(c.filter(F.col("part") == p), ["conv_id"], "turn", "g", "chars", "wide", budget).select("conv_id", F.lit(p).alias("part"), "tokens", F.explode("kept").alias("turn"))
+        one = E.chosen(c.filter(F.col("part") == p), ["conv_id"], "turn", "text", budget, covered=None).withColumn("part", F.lit(p))
         kept = one if kept is None else kept.unionByName(one)
-    return kept.withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy("part", "turn")))
+    by = Window.partitionBy("conv_id")
+    kept = kept.withColumn("tokens", F.max("tokens").over(Window.partitionBy("conv_id", "part")))
+    return kept.withColumn("place", F.row_number().over(by.orderBy("part", "turn")))
 
 
 TRIM = 40
