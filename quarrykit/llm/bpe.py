@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import table
+from .common import lean, table
 
 #: Pieces that a worker's table holds at most, and the characters of a piece that it takes at most.
 MEMO_PIECES, MEMO_CHARS = 1 << 18, 64
@@ -217,7 +217,6 @@ def encode_texts(docs: DataFrame, path: str, keep_ids: bool = False, pieces: int
 
     def run(batches):
         e = encoder(path, pieces)
-        pa.default_memory_pool().release_unused()  # what earlier stages left in this worker
         for batch in batches:
             rows = []
             for t in _texts(batch.column(1)):
@@ -226,7 +225,7 @@ def encode_texts(docs: DataFrame, path: str, keep_ids: bool = False, pieces: int
             yield _by_row(batch, rows, schema)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids)
 
 
 def op6_bpe(spark, sf_dir: str) -> DataFrame:

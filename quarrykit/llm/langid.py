@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import few, table
+from .common import few, lean, table
 
 HASH_BITS = 13
 DIMENSIONS = 1 << HASH_BITS
@@ -150,7 +150,7 @@ def crc_mod(doc_id: Column, n: int) -> Column:
 
 def fit(train: DataFrame) -> dict | None:
     """The model from rows (doc_id, text, lang), all with text and lang; None if no row has a letter."""
-    sums = train.select("text").mapInArrow(_document_frequency, "slot long, docs long").groupBy("slot").agg(F.sum("docs").alias("docs")).orderBy("slot").collect()
+    sums = train.select("text").mapInArrow(lean(_document_frequency), "slot long, docs long").groupBy("slot").agg(F.sum("docs").alias("docs")).orderBy("slot").collect()
     if not sums or not (n := sums[-1]["docs"]):
         return None
     idf = (np.log((1 + n) / (1 + np.array([r["docs"] for r in sums[:-1]]))) + 1).astype(np.float32)
@@ -194,7 +194,7 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(reject, pa.bool_())], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "held_out", "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
+    return docs.select("doc_id", "held_out", "text").mapInArrow(lean(run), f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
@@ -218,7 +218,7 @@ def keep_known(docs: DataFrame) -> DataFrame:
                 part = batch.slice(i, ROWS)
                 yield part.filter(pa.array(~nearest(model, [t or "" for t in part.column(at).to_pylist()])[2]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op4_langid(spark, sf_dir: str) -> DataFrame:

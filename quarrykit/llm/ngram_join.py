@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import few, joined, materialize, table
+from .common import few, joined, lean, materialize, table
 from .components import connected_components
 from .ngrams import mix, shingle_sets
 
@@ -118,7 +118,7 @@ def signatures(docs: DataFrame, size: int, percent: int, heavy: list[int] = ())
     kind = docs.schema["doc_id"].dataType.simpleString()
     late = np.sort(np.array(heavy, np.int64).view(np.uint64))
     text = F.coalesce("text", F.lit("")).cast("binary")
-    return docs.select("doc_id", F.xxhash64(text).alias("row"), text.alias("text")).mapInArrow(_signatures(size, percent, late), f"doc_id {kind}, row long, class long, n long, prefix array<long>, counts binary, fine binary")
+    return docs.select("doc_id", F.xxhash64(text).alias("row"), text.alias("text")).mapInArrow(lean(_signatures(size, percent, late)), f"doc_id {kind}, row long, class long, n long, prefix array<long>, counts binary, fine binary")
 
 
 class Tree:
@@ -415,7 +415,7 @@ def _linked(docs: DataFrame, size: int, percent: int) -> DataFrame:
     block = F.when(parts == 1, F.array("t")).otherwise(F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.xxhash64("t", F.least(i, part), F.greatest(i, part))))
     cut = blocks.select("class", F.explode(block).alias("block")).join(classes, "class").select("block", "class", "n", "counts")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = cut.repartition(tasks, "block").sortWithinPartitions("block", "class").mapInArrow(_block_pairs(percent), "a long, b long")
+    near = cut.repartition(tasks, "block").sortWithinPartitions("block", "class").mapInArrow(lean(_block_pairs(percent)), "a long, b long")
     exact = _verify(docs, own, _refine(own, connected_components(near), percent), size, percent)
     rows = own.select("doc_id", "row", "class", "n").join(exact.select(F.col("node").alias("class"), "component"), "class", "left")
     rows = materialize(rows.select("doc_id", "row", "n", F.coalesce("component", "class").alias("c")))
