@@ -46,15 +46,17 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 #: Pieces that a worker's table of the last stage holds at most: the workers keep the memory of the stages before.
 TOKEN_PIECES = 1 << 15
-#: Rows that an Arrow batch of a stage holds at most: texts go to Python workers, which keep their memory from stage to stage.
-BATCH_ROWS, BATCH_SETTING = 500, "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes that an Arrow batch of a stage holds at most, rather than the default of 64 MB: texts go to Python workers, which keep their memory from stage to stage.
+#: A stage is executed when its result is written, so the setting stays as long as the session has no lower one; run() puts the caller's value back.
+BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def _shipped(stage):
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        rows = int(spark.conf.get(BATCH_SETTING))
-        if not 0 < rows <= BATCH_ROWS:
-            spark.conf.set(BATCH_SETTING, BATCH_ROWS)
+        held = spark.conf.get(BATCH_SETTING, "64m").lower().rstrip("b")
+        size = int(held.rstrip("kmg")) << {"k": 10, "m": 20, "g": 30}.get(held[-1:], 0)
+        if not 0 < size <= BATCH_BYTES:
+            spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
         return stage(ship(spark), docs, sf_dir)
 
     return run
@@ -68,8 +70,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = materialize(docs)
+    held = spark.conf.get(BATCH_SETTING, None)
+    try:
+        for _, stage in STAGES:
+            docs = materialize(stage(spark, docs, sf_dir))
+    finally:
+        if held is None:
+            spark.conf.unset(BATCH_SETTING)
+        else:
+            spark.conf.set(BATCH_SETTING, held)
     return docs
