@@ -111,11 +111,6 @@ def intent_flags(spark, sf_dir):
     return load(spark, sf_dir, "conversations").select("conv_id", "turn", ((F.col("role") == "user") & (low.contains("it") | low.contains("that"))).alias("anaphora"), low.rlike("(quote|verbatim|exact)").alias("verbatim"))
 
 
-@query("SELECT event_id, regexp_replace(props, '\"k\": *[0-9]+', '\"k\": \"***\"', 'g') AS masked FROM events")
-def redact_props(spark, sf_dir):
-    return load(spark, sf_dir, "events").select("event_id", F.regexp_replace("props", r'"k": *[0-9]+', '"k": "***"').alias("masked"))
-
-
 @query()
 def ground_sentences(spark, sf_dir):
     p = load(spark, sf_dir, "conversations")

@@ -8,9 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """df written as Parquet under spark.checkpoint.dir and read back; a local session without that setting takes a temporary folder, a cluster raises."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession) -> str:
+    """A fresh path under spark.checkpoint.dir, gone when the interpreter ends; a local session without that setting takes a temporary folder, a cluster raises."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
@@ -19,8 +18,14 @@ def staged(df: DataFrame) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/staged-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
+    return path
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df written as Parquet to a shared path and read back."""
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
