@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import focus
+from ..streaming import citations
 from ..sources.tables import load
 from .base import query
 
@@ -74,3 +75,20 @@ def focus_hits(spark, sf_dir):
     c = load(spark, sf_dir, "conversations").select("conv_id", (F.col("conv_id") * 1000 + F.col("turn")).alias("id"))
     hits = claim_texts(spark, sf_dir).join(c, "conv_id")
     return focus.focus(hits, _sentences(spark, sf_dir), ["conv_id", "turn", "pos"], "id", "claim")
+
+
+#: Answers in pieces of seven characters; of their markers c1, c3 and c9 are known.
+MARKED = rf"""(SELECT conv_id * 1000 + turn AS message, replace(answer, '[^c3]', '[^3] and [^x1]') AS answer FROM {ANSWERS})"""
+
+
+@query(rf"""WITH p AS (SELECT message, string_split(regexp_replace(regexp_replace(answer, '\[\^[A-Za-z]([0-9]+)\]', chr(1) || '\1' || chr(2), 'g'), '\[\^([139])\]', chr(1) || '\1' || chr(2), 'g'), chr(1)) AS l FROM {MARKED}),
+    e AS (SELECT message, i, 'c' || string_split(l[i], chr(2))[1] AS marker, length(l[1]) + coalesce(list_sum(list_transform(l[2:i - 1], lambda x: length(string_split(x, chr(2))[2]))), 0) AS place,
+          l[1] || array_to_string(list_transform(l[2:], lambda x: string_split(x, chr(2))[2]), '') AS text FROM (SELECT message, l, unnest(generate_series(2, len(l))) AS i FROM p))
+    SELECT message, marker, CAST(place AS INTEGER) AS char_offset, text FROM e WHERE marker IN ('c1', 'c3', 'c9') QUALIFY row_number() OVER (PARTITION BY message, marker ORDER BY i) = 1""")
+def citation_stream(spark, sf_dir):
+    """Citations of answers that come in pieces, wherever the pieces end: each known marker once, with its place in the text without markers."""
+    a = _answers(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("message"), F.replace("answer", F.lit("[^c3]"), F.lit("[^3] and [^x1]")).alias("answer"))
+    n = F.ceil(F.length("answer") / 7).cast("int")
+    p = a.select("message", "answer", F.explode(F.sequence(F.lit(0), n - 1)).alias("seq"))
+    known = F.when(F.col("seq") == 0, F.array(F.lit("c1"), F.lit("c3"), F.lit("c9")))
+    return citations.cited(p.select("message", "seq", F.substring("answer", F.col("seq") * 7 + 1, F.lit(7)).alias("piece"), known.alias("known")))
