@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sentences import WIDE_CHUNK, estimate, sentence_ends, sentences
 from .evidence import shares
+from .groups import along_groups
 
 EVIDENCE_BUDGET, EVIDENCE_LEAST = 2000, 120
 TRIM_CHARS, TRIM_TOKENS = 16, 40
@@ -18,15 +19,14 @@ def tokens_of(text: str) -> int:
 
 
 def allocate(df: DataFrame, budget: int = EVIDENCE_BUDGET, least: int = EVIDENCE_LEAST) -> DataFrame:
-    """df(query_id, pos, demand, ...) with the column granted; weights are 1 / (pos + 1)."""
+    """df(query_id, pos, demand, ...) with the column granted; weights are 1 / (place + 2)."""
 
-    def run(pool: pd.DataFrame) -> pd.DataFrame:
-        pool = pool.sort_values("pos").copy()
-        pool["granted"] = shares([1 / (r + 2) for r in range(len(pool))], pool["demand"].tolist(), budget, least)
-        return pool
+    def step(rows):
+        granted = shares([1 / (r + 2) for r in range(len(rows))], [r["demand"] for r in rows], budget, least)
+        return [r | {"granted": g} for r, g in zip(rows, granted)]
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
-    return df.groupBy("query_id").applyInPandas(run, f"{fields}, granted long")
+    return along_groups(df, ["query_id"], ["pos"], step, f"{fields}, granted long")
 
 
 def _shared(earlier: str, later: str) -> int:
@@ -42,34 +42,35 @@ def _shared(earlier: str, later: str) -> int:
     return 0
 
 
-def trim_overlap(df: DataFrame) -> DataFrame:
-    """Evidence(query_id, pos, doc, ordinal, start, end, content) without text that a neighbour of the same document, better placed, holds already.
+def without_overlaps(rows: list[dict]) -> list[dict]:
+    """Rows(doc, ordinal, start, end, content), best first, without text that a kept neighbour of the same document holds already.
 
     A cut lies where a sentence ends on both sides and takes TRIM_CHARS characters at least; what is left of fewer than TRIM_TOKENS tokens goes.
     """
+    kept: list[dict] = []
+    for row in map(dict, rows):
+        cut = False
+        for other in kept:
+            if other["doc"] != row["doc"] or abs(other["ordinal"] - row["ordinal"]) != 1:
+                continue
+            a, b = (other["content"], row["content"]) if other["ordinal"] < row["ordinal"] else (row["content"], other["content"])
+            n = _shared(a, b)
+            if not n:
+                continue
+            cut = True
+            if other["ordinal"] < row["ordinal"]:
+                row["content"], row["start"] = row["content"][n:], row["start"] + n
+            else:
+                left = len(a.rstrip()) - len(b[:n].rstrip())
+                row["content"], row["end"] = a[:left], row["end"] - (len(a) - left)
+        if not cut or tokens_of(row["content"]) >= TRIM_TOKENS:
+            kept.append(row)
+    return kept
+
 
-    def run(pool: pd.DataFrame) -> pd.DataFrame:
-        kept: list[dict] = []
-        for row in pool.sort_values("pos").to_dict("records"):
-            cut = False
-            for other in kept:
-                if other["doc"] != row["doc"] or abs(other["ordinal"] - row["ordinal"]) != 1:
-                    continue
-                a, b = (other["content"], row["content"]) if other["ordinal"] < row["ordinal"] else (row["content"], other["content"])
-                n = _shared(a, b)
-                if not n:
-                    continue
-                cut = True
-                if other["ordinal"] < row["ordinal"]:
-                    row["content"], row["start"] = row["content"][n:], row["start"] + n
-                else:
-                    left = len(a.rstrip()) - len(b[:n].rstrip())
-                    row["content"], row["end"] = a[:left], row["end"] - (len(a) - left)
-            if not cut or tokens_of(row["content"]) >= TRIM_TOKENS:
-                kept.append(row)
-        return pd.DataFrame(kept, columns=pool.columns)
-
-    return df.groupBy("query_id").applyInPandas(run, df.schema)
+def trim_overlap(df: DataFrame) -> DataFrame:
+    """without_overlaps() for each query's evidence, by pos."""
+    return along_groups(df, ["query_id"], ["pos"], without_overlaps, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema))
 
 
 def ground(df: DataFrame, text: str, source: str, out: str) -> DataFrame:

@@ -1,12 +1,17 @@
 """Retrieval: inverted index, BM25, exact k-NN, fusion, floors, sibling merge, and the greedy steps on one query's candidates."""
 
-import pandas as pd
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.stats import dot, squared_distance
 from ..functions.text import char_ngrams, latin_terms, normalized, overlap_coefficient
 from ..sources.stage import staged
+from .groups import along_groups
 
 RRF_K = 60
 DEDUP, LAMBDA = 0.85, 0.7
@@ -14,6 +19,8 @@ DEDUP, LAMBDA = 0.85, 0.7
 POOL = 50
 #: Bytes of a query table up to which it is sent to all tasks; a larger one is joined in blocks.
 QUERY_ROWS = 10_000
+#: Different terms up to which bm25() filters words inside the row by a literal set; numbers of a block of scores.
+LITERAL_TERMS, DENSE = 10_000, 1 << 21
 #: Rows of (query, term) up to which bm25() sends them to all tasks.
 SENT_TERMS = 500_000
 
@@ -27,12 +34,63 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
 def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, key, score, rank): the k best documents of each row of queries(query_id, query) by Okapi BM25.
 
-    One pass over the texts: words that no query has go before anything is shuffled, and each document leaves one row, with an empty term, for the
-    statistics of all documents. Terms of the queries go to every task while they are no more than SENT_TERMS; beyond, they are joined by a shuffle.
+    One pass over the texts leaves each document's number of words and those words that a query has, filtered inside the row; all else works on these. Each task
+    scores its documents for all queries at once and keeps k of each, so postings of common terms never meet queries in a shuffle. Beyond LITERAL_TERMS
+    different terms, the terms are joined instead (see _bm25_joined).
     """
     terms = staged(queries.select("query_id", F.explode(F.array_distinct(latin_terms(F.col("query")))).alias("term")))
-    small = terms.count() <= SENT_TERMS
-    sent = F.broadcast if small else lambda df: df
+    different = terms.select("term").distinct()
+    if different.count() > LITERAL_TERMS or queries.count() > QUERY_ROWS:
+        return _bm25_joined(docs, key, text, terms, k, k1, b)
+    asked = terms.toArrow()  # no more rows than LITERAL_TERMS times QUERY_ROWS; in truth those of the queries
+    names = sorted(set(asked["term"].to_pylist()))
+    if not names:
+        return docs.limit(0).crossJoin(queries.limit(0)).select("query_id", key, F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+    held = staged(docs.select(key, latin_terms(F.col(text)).alias("__t")).select(key, F.size("__t").alias("dl"), F.filter("__t", lambda x: x.isin(names)).alias("t")))
+    n, avgdl = held.agg(F.count("*"), F.avg("dl")).first()
+    df = {r["term"]: r["df"] for r in held.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).collect()}  # a row for each term of the queries
+    place = {t: i for i, t in enumerate(names)}
+    ids = asked["query_id"].unique()
+    of = {q: i for i, q in enumerate(ids.to_pylist())}
+    matrix = np.zeros((len(names), len(of)))
+    for q, t in zip(asked["query_id"].to_pylist(), asked["term"].to_pylist()):
+        matrix[place[t], of[q]] = math.log(1 + (n - df.get(t, 0) + 0.5) / (df.get(t, 0) + 0.5))
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {docs.schema[key].dataType.simpleString()}, score double"
+    sent = docs.sparkSession.sparkContext.broadcast((place, matrix, ids))
+
+    def run(batches):
+        place, matrix, ids = sent.value
+        best: list[list[tuple[float, object]]] = [[] for _ in range(matrix.shape[1])]
+        rows = max(1, DENSE // max(matrix.shape))
+        for batch in batches:
+            keys, length, lists = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            for s in range(0, len(keys), rows):
+                tf = np.zeros((len(lists[s : s + rows]), len(place)))
+                for i, words in enumerate(lists[s : s + rows]):
+                    for w in words or ():
+                        tf[i, place[w]] += 1
+                norm = k1 * (1 - b + b * length[s : s + rows] / (avgdl or 1.0))
+                exact = (tf * (k1 + 1) / (tf + norm[:, None])) @ matrix
+                scores = np.round(exact, 6)
+                for q in range(scores.shape[1]):
+                    own = best[q]
+                    least = -own[-1][0] if len(own) == k else -1.0
+                    for i in np.flatnonzero((scores[:, q] >= least) & (exact[:, q] > 0)).tolist():
+                        own.append((-scores[i, q], keys[s + i]))
+                    own.sort()
+                    del own[k:]
+        flat = [(ids[q], x, -score) for q, own in enumerate(best) for score, x in own]
+        columns = [[x[0].as_py() for x in flat], [x[1] for x in flat], [x[2] for x in flat]]
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], ids.type), pa.array(columns[1], kind), pa.array(columns[2], pa.float64())], names=["query_id", key, "score"])
+
+    kind = to_arrow_type(docs.schema[key].dataType)
+    return ranked(held.mapInArrow(run, kinds), ["query_id"], [F.desc("score"), F.asc(key)], k)
+
+
+def _bm25_joined(docs, key, text, terms, k, k1, b) -> DataFrame:
+    """bm25() for terms by the million: words that no query has go before anything is shuffled, and each document leaves one row, with an empty term, for the
+    statistics of all documents. Terms go to every task while they are no more than SENT_TERMS; beyond, they are joined by a shuffle."""
+    sent = F.broadcast if terms.count() <= SENT_TERMS else lambda df: df
     wanted = terms.select("term").unionByName(terms.sparkSession.createDataFrame([("",)], "term string")).distinct()
     words = docs.select(key, latin_terms(F.col(text)).alias("__t")).select(key, F.size("__t").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "__t")).alias("term"))
     hits = staged(words.join(sent(wanted), "term").groupBy("term", key, "dl").agg(F.count("*").alias("tf")))
@@ -138,42 +196,43 @@ def _alike(a: set[str], b: set[str]) -> float:
     return len(a & b) / min(len(a), len(b))
 
 
-def suppress_redundant(df: DataFrame, threshold: float = DEDUP, keep_min: int = 1) -> DataFrame:
-    """Per query, from the first place on, rows that are not alike by more than threshold to a row kept before. A query's candidates are a bounded pool."""
-
-    def run(pool: pd.DataFrame) -> pd.DataFrame:
-        pool = pool.sort_values("pos")
-        kept, sets, left = [], [], len(pool)
-        for i, text in zip(pool.index, pool["content"], strict=True):
-            g = _grams(text or "")
-            if any(_alike(g, s) > threshold for s in sets) and left > keep_min:
-                left -= 1
-                continue
-            kept.append(i)
+def suppressed(rows: list[dict], threshold: float = DEDUP, keep_min: int = 1) -> list[dict]:
+    """Rows in order that are not alike by more than threshold to a row kept before; the first keep_min stay."""
+    kept, sets = [], []
+    for row in rows:
+        g = _grams(row["content"] or "")
+        if len(kept) < keep_min or not any(_alike(g, s) > threshold for s in sets):
+            kept.append(row)
             sets.append(g)
-        return pool.loc[kept]
+    return kept
+
+
+def diversified(rows: list[dict], weight: float = LAMBDA, limit: int | None = None) -> list[dict]:
+    """Rows, best first, picked one by one by weight * relevance - (1 - weight) * likeness to what is picked; relevance comes from ranks alone."""
+    raw = [1 / (r + 2) for r in range(len(rows))]
+    span = (raw[0] - raw[-1]) if rows else 0.0
+    relevance = [(x - raw[-1]) / span if span else 1.0 for x in raw]
+    sets = [_grams(r["content"] or "") for r in rows]
+    left, out, nearest = list(range(len(rows))), [], [0.0] * len(rows)
+    while left and (limit is None or len(out) < limit):
+        best = max(left, key=lambda i: (weight * relevance[i] - (1 - weight) * nearest[i], -i))
+        out.append(rows[best])
+        left.remove(best)
+        for i in left:
+            nearest[i] = max(nearest[i], _alike(sets[i], sets[best]))
+    return out
+
 
-    return df.groupBy("query_id").applyInPandas(run, df.schema)
+def _columns(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def suppress_redundant(df: DataFrame, threshold: float = DEDUP, keep_min: int = 1) -> DataFrame:
+    """suppressed() for each query's candidates, by pos; these are a bounded pool."""
+    return along_groups(df, ["query_id"], ["pos"], lambda rows: suppressed(rows, threshold, keep_min), _columns(df))
 
 
 def mmr(df: DataFrame, score: str, weight: float = LAMBDA, limit: int = 8) -> DataFrame:
-    """Per query, rows picked one by one by weight * relevance - (1 - weight) * likeness to what is picked; relevance comes from ranks alone."""
-
-    def run(pool: pd.DataFrame) -> pd.DataFrame:
-        pool = pool.sort_values([score, "pos"], ascending=[False, True])
-        raw = [1 / (r + 2) for r in range(len(pool))]
-        low, high = min(raw), max(raw)
-        relevance = [1.0 if high == low else (x - low) / (high - low) for x in raw]
-        sets = [_grams(t or "") for t in pool["content"]]
-        left, picked, nearest = list(range(len(pool))), [], [0.0] * len(pool)
-        while left and len(picked) < limit:
-            best = max(left, key=lambda i: (weight * relevance[i] - (1 - weight) * nearest[i], -i))
-            picked.append(best)
-            left.remove(best)
-            for i in left:
-                nearest[i] = max(nearest[i], _alike(sets[i], sets[best]))
-        out = pool.iloc[picked].copy()
-        out["pos"] = range(1, len(out) + 1)
-        return out
-
-    return df.groupBy("query_id").applyInPandas(run, df.schema)
+    """diversified() for each query's candidates, by score; pos is the new place, from 1."""
+    step = lambda rows: [r | {"pos": i} for i, r in enumerate(diversified(rows, weight, limit), 1)]
+    return along_groups(df, ["query_id"], [F.desc(score), F.asc("pos")], step, _columns(df))
