@@ -73,10 +73,10 @@ def without_punctuation(text: Column) -> Column:
 
 
 def markdown_plain(text: Column) -> Column:
-    """Markdown without headings' and items' marks, with links as their texts, in one line."""
-    for pattern, to in ((r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"(?m)^#{1,6}[ \t]+", ""), (r"(?m)^[ \t]*[-*+][ \t]+", ""), (r"[*_`~]+", ""), (r"\s+", " ")):
+    """Markdown in one line: fences' lines, marks of headings, quotes and table bars become spaces, links and pictures their texts, emphasis goes; null if nothing is left."""
+    for pattern, to in ((r"```[^\n]*", " "), (r"!?\[([^\]]*)\]\([^)]*\)", "$1"), (r"(^|\s)#{1,6}\s", " "), (r"[*`~]+", ""), (r"[>|]+", " "), (r"\s+", " ")):
         text = F.regexp_replace(text, pattern, to)
-    return F.trim(text)
+    return F.nullif(F.trim(text), F.lit(""))
 
 
 def shortened(text: Column, limit: int) -> Column:
@@ -84,14 +84,51 @@ def shortened(text: Column, limit: int) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.rtrim(F.left(text, F.lit(limit - 1))), F.lit("…"))).otherwise(text)
 
 
+#: What a model may say before its summary (fixed values).
+SUMMARY_PREFIXES = ("文档级上下文：", "上下文：", "摘要：")
+SPACE = " \t\n\r\x0b\x0c"
+
+
 def clean_summary(text: Column, limit: int) -> Column:
-    """One line without code fences and a leading word that says what it is."""
-    x = F.regexp_replace(F.regexp_replace(text, "```[a-z]*", ""), r"^[ \t\n]*(?i:summary|abstract):[ \t]*", "")
-    return F.left(F.trim(F.regexp_replace(x, r"\s+", " ")), F.lit(limit))
+    """One line of at most limit characters: without the lines of fences where the text begins with one, and without a prefix; null if nothing is left."""
+    bare = lambda c: F.btrim(c, F.lit(SPACE))
+    x = bare(text)
+    lines = F.filter(F.split(x, r"\r\n|\r|\n"), lambda line: ~bare(line).startswith("```"))
+    x = F.when(x.startswith("```"), bare(F.array_join(lines, "\n"))).otherwise(x)
+    for prefix in SUMMARY_PREFIXES:
+        x = F.when(x.startswith(prefix), bare(F.substring(x, len(prefix) + 1, 1 << 30))).otherwise(x)
+    return F.nullif(F.left(bare(F.regexp_replace(x, r"\s+", " ")), F.lit(limit)), F.lit(""))
 
 
 def salvaged_score(text: Column, field: str, weights: dict[str, float]) -> Column:
-    """The number of a field of (perhaps broken) JSON if it lies in 0..1, else the weighted sum of the fields of weights, else null."""
-    number = lambda name: F.regexp_extract(text, f'"{name}"[ ]*:[ ]*([0-9.]+)', 1).try_cast("double")
+    """Of (perhaps broken) JSON, the first number of a field if it lies in 0..1; else the weighted sum of the first numbers of all fields of weights, if each lies
+    there; else null."""
+
+    def number(name):
+        value = F.regexp_extract(text, f'"{name}"\\s*:\\s*(-?\\d+(?:\\.\\d+)?)', 1).try_cast("double")
+        return F.when(value.between(0, 1), value)
+
     total = sum((F.lit(w) * number(k) for k, w in weights.items()), F.lit(0.0))
-    return F.when(number(field).between(0, 1), number(field)).otherwise(total)
+    return F.coalesce(number(field), F.round(total, 4))
+
+
+# Ways to ask for the words of a source, what makes such a question one for a procedure, words that point back, the ending of a follow-up.
+VERBATIM = (
+    "原文", "原句", "原话", "逐字", "一字不差", "照抄",
+    "(贴|粘|复制|引用|摘录|摘抄)(一下|下来|出|来)?(这|那|第)?[^。！？]{0,6}(段|条|句|章|节|部分|内容|文字|正文)",
+    r"(第\s*[一二三四五六七八九十百\d]+\s*[章节条]|[这那]一?[段落章节])[^。！？]{0,8}(原文|内容|正文|怎么写的|写了什么|是什么)",
+    r"(?i:\b(quote|verbatim|excerpt)\b)",
+)
+PROCEDURAL = "怎么|如何|为什么|该注意|应该|建议|步骤|流程|判断|对比|区别"
+ANAPHORA = "它|他|她|它们|其|其中|该|此|本|这个|那个|这些|那些|这种|那种|上述|前面|刚才|之前|上一条|上面|那么|然后|接着|还有"
+FOLLOW_UP = r"呢[？?]?\s*$"
+
+
+def asks_for_source(question: Column) -> Column:
+    """Whether a question wants the words of a source, and not also how to do something."""
+    return question.rlike("|".join(VERBATIM)) & ~question.rlike(PROCEDURAL)
+
+
+def needs_context(question: Column) -> Column:
+    """Whether a question can't be read without what was said before."""
+    return question.rlike(ANAPHORA) | question.rlike(FOLLOW_UP)

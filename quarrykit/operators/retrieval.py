@@ -45,7 +45,7 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, k: int, k1: f
     asked = terms.toArrow()  # no more rows than LITERAL_TERMS times QUERY_ROWS; in truth those of the queries
     names = sorted(set(asked["term"].to_pylist()))
     if not names:
-        return docs.limit(0).crossJoin(queries.limit(0)).select("query_id", key, F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+        return docs.sparkSession.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {docs.schema[key].dataType.simpleString()}, score double, rank int")
     held = staged(docs.select(key, latin_terms(F.col(text)).alias("__t")).select(key, F.size("__t").alias("dl"), F.filter("__t", lambda x: x.isin(names)).alias("t")))
     n, avgdl = held.agg(F.count("*"), F.avg("dl")).first()
     df = {r["term"]: r["df"] for r in held.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).collect()}  # a row for each term of the queries
@@ -63,7 +63,7 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, k: int, k1: f
         best: list[list[tuple[float, object]]] = [[] for _ in range(matrix.shape[1])]
         rows = max(1, DENSE // max(matrix.shape))
         for batch in batches:
-            keys, length, lists = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            keys, length, lists = batch.column(0).to_pylist(), batch.column(1).fill_null(0).to_numpy(), batch.column(2).to_pylist()
             for s in range(0, len(keys), rows):
                 tf = np.zeros((len(lists[s : s + rows]), len(place)))
                 for i, words in enumerate(lists[s : s + rows]):
@@ -92,7 +92,7 @@ def _bm25_joined(docs, key, text, terms, k, k1, b) -> DataFrame:
     statistics of all documents. Terms go to every task while they are no more than SENT_TERMS; beyond, they are joined by a shuffle."""
     sent = F.broadcast if terms.count() <= SENT_TERMS else lambda df: df
     wanted = terms.select("term").unionByName(terms.sparkSession.createDataFrame([("",)], "term string")).distinct()
-    words = docs.select(key, latin_terms(F.col(text)).alias("__t")).select(key, F.size("__t").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "__t")).alias("term"))
+    words = docs.select(key, latin_terms(F.col(text)).alias("__t")).select(key, F.size("__t").alias("dl"), F.explode(F.concat(F.array(F.lit("")), F.coalesce("__t", F.array().cast("array<string>")))).alias("term"))
     hits = staged(words.join(sent(wanted), "term").groupBy("term", key, "dl").agg(F.count("*").alias("tf")))
     n, avgdl = hits.filter("term = ''").agg(F.count("*"), F.avg("dl")).first()
     hits = hits.filter("term <> ''")
@@ -155,16 +155,27 @@ def near_top(df: DataFrame, score: str, gap: float = 0.1) -> DataFrame:
     return df.withColumn("__top", F.max(score).over(Window.partitionBy("query_id"))).filter(F.col(score) >= F.col("__top") - gap).drop("__top")
 
 
-def sibling_merge(df: DataFrame) -> DataFrame:
-    """Merge neighbours of evidence(query_id, pos, doc, heading, ordinal, start, end, content, score): same document and heading, ordinals and
-    spans that join. The merged row has the best place and score, the first ordinal, and the contents in order."""
-    w = Window.partitionBy("query_id", "doc", "heading").orderBy("ordinal")
-    joins = (F.lag("ordinal").over(w) + 1 == F.col("ordinal")) & (F.lag("end").over(w) == F.col("start"))
-    run = df.withColumn("__break", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).withColumn("__run", F.sum("__break").over(w))
-    return run.groupBy("query_id", "doc", "heading", "__run").agg(
-        F.min("pos").alias("pos"), F.min("ordinal").alias("ordinal"), F.min("start").alias("start"), F.max("end").alias("end"), F.max("score").alias("score"), F.count("*").alias("merged"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "content"))), lambda x: x["content"]), "").alias("content"),
-    ).drop("__run")
+def sibling_merge(df: DataFrame, least: int = 2) -> DataFrame:
+    """Neighbours of evidence(query_id, pos, id, kind, doc, heading, ordinal, start, end, content, score) become one row: bodies of the same document and heading whose
+    ordinals and spans join and whose contents are just their spans (parts of a table with a copied header are not), ``least`` of them or more. The row has the best
+    place, the id of the best score (of ties the first), the first ordinal, the contents and ids (merged) in order; other rows stay, with merged empty."""
+    w = Window.partitionBy("query_id", "doc", "__h").orderBy("ordinal", "pos")
+    good = F.coalesce((F.col("kind") == "body") & (F.col("end") - F.col("start") == F.length("content")) & F.col("ordinal").isNotNull(), F.lit(False))
+    run = df.withColumn("__h", F.coalesce("heading", F.lit(""))).withColumn("__good", good)
+    joins = F.col("__good") & F.lag("__good").over(w) & (F.lag("ordinal").over(w) + 1 == F.col("ordinal")) & (F.lag("end").over(w) == F.col("start"))
+    run = run.withColumn("__run", F.sum(F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).over(w))
+    size = F.count("*").over(Window.partitionBy("query_id", "doc", "__h", "__run"))
+    run = run.withColumn("__size", size).withColumn("__one", F.when(F.col("__size") < least, F.col("pos")))
+    best = F.max_by(F.struct("id", "score"), F.struct("score", -F.col("ordinal")))
+    out = run.groupBy("query_id", "doc", "__h", "__run", "__one").agg(
+        F.min("pos").alias("pos"), best.alias("__b"), F.first("id").alias("__id"), F.max("__size").alias("__n"), F.first("kind").alias("kind"), F.first("heading").alias("heading"), F.first("score").alias("__score"),
+        F.min("ordinal").alias("ordinal"), F.min("start").alias("start"), F.max("end").alias("end"), F.sort_array(F.collect_list(F.struct("ordinal", "pos", "id", "content"))).alias("__r"),
+    )
+    many = F.col("__n") >= least
+    return out.select(
+        "query_id", "pos", F.when(many, F.col("__b.id")).otherwise(F.col("__id")).alias("id"), "kind", "doc", "heading", "ordinal", "start", "end", F.array_join(F.transform("__r", lambda x: x["content"]), "").alias("content"),
+        F.when(many, F.col("__b.score")).otherwise(F.col("__score")).alias("score"), F.when(many, F.transform("__r", lambda x: x["id"])).otherwise(F.expr("filter(transform(__r, x -> x.id), x -> false)")).alias("merged"),
+    )
 
 
 def similar_pairs(df: DataFrame, key: str, text: str, threshold: float) -> DataFrame:

@@ -192,34 +192,56 @@ def metric_normalize(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", T.without_punctuation(F.col("text")).alias("normal"))
 
 
-@query(r"""WITH m AS (SELECT doc_id, '## Title ' || doc_id || chr(10) || '- **' || left(text, 300) || '** [link](http://x/' || doc_id || ') `code`' AS md FROM documents),
-    p AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(md, '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '(?m)^#{1,6}[ \t]+', '', 'g'), '(?m)^[ \t]*[-*+][ \t]+', '', 'g'), '[*_`~]+', '', 'g'), '[ \t\n\r\f\x0b]+', ' ', 'g'), ' ') AS t FROM m)
-    SELECT doc_id, CASE WHEN length(t) > 120 THEN rtrim(left(t, 119), ' ') || '…' ELSE t END AS plain FROM p""")
+MD = r"""(SELECT doc_id, '## Title ' || doc_id || chr(10) || '> **' || text || '** ![pic](http://x/' || doc_id || ') `code` #tag' || chr(10) || '```py' || chr(10) || '| a | b |' || chr(10) || '```' AS md FROM documents
+    UNION ALL SELECT -1 - item_id, '# ' || chr(10) || '> ' || chr(10) || '```' FROM benchmark)"""
+
+
+@query(rf"""WITH p AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(md, '```[^\n]*', ' ', 'g'), '!?\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '(^|\s)#{{1,6}}\s', ' ', 'g'), '[*`~]+', '', 'g'), '[>|]+', ' ', 'g'),
+        '[ \t\n\r\f\x0b]+', ' ', 'g'), ' ') AS t FROM {MD})
+    SELECT doc_id, nullif(CASE WHEN length(t) > 120 THEN rtrim(left(t, 119), ' ') || '…' ELSE t END, '') AS plain FROM p""")
 def markdown_plain(spark, sf_dir):
-    """Markdown as plain text, cut to a limit that its ellipsis counts for."""
-    md = F.concat(F.lit("## Title "), "doc_id", F.lit("\n- **"), F.left("text", F.lit(300)), F.lit("** [link](http://x/"), "doc_id", F.lit(") `code`"))
-    return load(spark, sf_dir, "documents").select("doc_id", T.shortened(T.markdown_plain(md), 120).alias("plain"))
+    """Markdown as plain text in one line, cut to a limit that its ellipsis counts for; null where there is none."""
+    d, b = load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")
+    md = F.concat(F.lit("## Title "), "doc_id", F.lit("\n> **"), "text", F.lit("** ![pic](http://x/"), "doc_id", F.lit(") `code` #tag\n```py\n| a | b |\n```"))
+    rows = d.select("doc_id", md.alias("md")).unionByName(b.select((-1 - F.col("item_id")).alias("doc_id"), F.lit("# \n> \n```").alias("md")))
+    return rows.select("doc_id", T.shortened(T.markdown_plain(F.col("md")), 120).alias("plain"))
+
 
+#: Summaries: fenced, with a prefix, with both, with fences inside, empty.
+SAID = """(SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN '```md' || chr(10) || '摘要： ' || text || chr(10) || ' ```' WHEN 1 THEN ' 文档级上下文：上下文：' || text WHEN 2 THEN text || chr(10) || '```' || chr(10) || 'x' WHEN 3 THEN '```' || chr(10) || '```' ELSE text END AS s FROM conversations)"""
 
-@query(r"""WITH m AS (SELECT conv_id, turn, '```' || chr(10) || 'Summary: ' || text || chr(10) || '```' AS s FROM conversations),
-    t AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(s, '```[a-z]*', '', 'g'), '^[ \t\n]*(?i:summary|abstract):[ \t]*', ''), '[ \t\n\r\f\x0b]+', ' ', 'g'), ' ') AS t FROM m)
-    SELECT conv_id, turn, left(t, 400) AS summary FROM t""")
+
+@query(rf"""WITH a AS (SELECT conv_id, turn, trim(s, {{0}}) AS t FROM {SAID}), b AS (SELECT conv_id, turn, CASE WHEN starts_with(t, '```') THEN trim(array_to_string(list_filter(string_split(t, chr(10)), lambda x: NOT starts_with(trim(x, {{0}}), '```')), chr(10)), {{0}}) ELSE t END AS t FROM a),
+    c AS (SELECT conv_id, turn, CASE WHEN starts_with(t, '文档级上下文：') THEN trim(substr(t, 8), {{0}}) ELSE t END AS t FROM b), d AS (SELECT conv_id, turn, CASE WHEN starts_with(t, '上下文：') THEN trim(substr(t, 5), {{0}}) ELSE t END AS t FROM c),
+    e AS (SELECT conv_id, turn, CASE WHEN starts_with(t, '摘要：') THEN trim(substr(t, 4), {{0}}) ELSE t END AS t FROM d)
+    SELECT conv_id, turn, nullif(left(trim(regexp_replace(t, '[ \t\n\r\f\x0b]+', ' ', 'g'), ' '), 400), '') AS summary FROM e""".replace("{0}", "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"))
 def clean_summary(spark, sf_dir):
     """A model's summary without fences and prefixes, in one line of at most 400 characters."""
-    s = F.concat(F.lit("```\nSummary: "), "text", F.lit("\n```"))
+    kind, text = F.col("turn") % 5, F.col("text")
+    s = F.when(kind == 0, F.concat(F.lit("```md\n摘要： "), text, F.lit("\n ```"))).when(kind == 1, F.concat(F.lit(" 文档级上下文：上下文："), text)).when(kind == 2, F.concat(text, F.lit("\n```\nx"))).when(kind == 3, "```\n```").otherwise(text)
     return load(spark, sf_dir, "conversations").select("conv_id", "turn", T.clean_summary(s, 400).alias("summary"))
 
 
-@query(r"""WITH j AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{"score": 0.' || (event_id % 90 + 10) || ', "note": "cut' WHEN 1 THEN '{"correctness": 0.5, "completeness": 1.0, "grounding": 0.25, "style": 0}' WHEN 2 THEN 'no json' ELSE '{"score": 7}' END AS raw FROM events),
-    x AS (SELECT event_id, raw, try_cast(nullif(regexp_extract(raw, '"score"[ ]*:[ ]*([0-9.]+)', 1), '') AS DOUBLE) AS s, try_cast(nullif(regexp_extract(raw, '"correctness"[ ]*:[ ]*([0-9.]+)', 1), '') AS DOUBLE) AS a,
-    try_cast(nullif(regexp_extract(raw, '"completeness"[ ]*:[ ]*([0-9.]+)', 1), '') AS DOUBLE) AS b, try_cast(nullif(regexp_extract(raw, '"grounding"[ ]*:[ ]*([0-9.]+)', 1), '') AS DOUBLE) AS c, try_cast(nullif(regexp_extract(raw, '"style"[ ]*:[ ]*([0-9.]+)', 1), '') AS DOUBLE) AS d FROM j)
-    SELECT event_id, round(CASE WHEN s BETWEEN 0 AND 1 THEN s ELSE 0.4 * a + 0.3 * b + 0.2 * c + 0.1 * d END, 6) AS score FROM x""")
+#: A judge's answers: a score, broken off; dimensions; one of them out of range, or missing; a score out of range with good dimensions; none.
+JUDGED = r"""(SELECT event_id, CASE event_id % 6 WHEN 0 THEN '{"score" : 0.' || (event_id % 90 + 10) || ', "note": "cut' WHEN 1 THEN '{"correctness": 0.5, "completeness": 1.0, "groundedness": 0.25, "standard_fit": 0' WHEN 2 THEN '{"correctness": 0.5, "completeness": 1.5, "groundedness": 0.25, "standard_fit": 0}'
+    WHEN 3 THEN '{"correctness": 0.5, "completeness": 1}' WHEN 4 THEN '{"score": -3, "correctness": 1, "groundedness":1.0, "completeness": 0.125, "standard_fit": 0.5, "audit": {"score": 0.9}}' ELSE 'no json' END AS raw FROM events)"""
+DIMENSIONS = {"correctness": 0.4, "groundedness": 0.3, "completeness": 0.2, "standard_fit": 0.1}
+_FIRST = r"""(CASE WHEN try_cast(nullif(regexp_extract(raw, '"{0}"\s*:\s*(-?\d+(?:\.\d+)?)', 1), '') AS DOUBLE) BETWEEN 0 AND 1 THEN try_cast(nullif(regexp_extract(raw, '"{0}"\s*:\s*(-?\d+(?:\.\d+)?)', 1), '') AS DOUBLE) END)"""
+
+
+@query(f"SELECT event_id, coalesce({_FIRST.replace('{0}', 'score')}, round(" + " + ".join(f"{w}::DOUBLE * {_FIRST.replace('{0}', k)}" for k, w in DIMENSIONS.items()) + f", 4)) AS score FROM {JUDGED}")
 def judge_score(spark, sf_dir):
-    """The score of a judge's answer, broken JSON too: its field if that lies in 0..1, else the weighted dimensions, else null."""
-    n = F.col("event_id") % 4
-    raw = F.when(n == 0, F.concat(F.lit('{"score": 0.'), F.col("event_id") % 90 + 10, F.lit(', "note": "cut'))).when(n == 1, F.lit('{"correctness": 0.5, "completeness": 1.0, "grounding": 0.25, "style": 0}')).when(n == 2, F.lit("no json")).otherwise(F.lit('{"score": 7}'))
-    weights = {"correctness": 0.4, "completeness": 0.3, "grounding": 0.2, "style": 0.1}
-    return load(spark, sf_dir, "events").select("event_id", F.round(T.salvaged_score(raw, "score", weights), 6).alias("score"))
+    """The score of a judge's answer, broken JSON too: its first one if that lies in 0..1, else the weighted dimensions if all do, else null."""
+    n = F.col("event_id") % 6
+    raw = (
+        F.when(n == 0, F.concat(F.lit('{"score" : 0.'), F.col("event_id") % 90 + 10, F.lit(', "note": "cut')))
+        .when(n == 1, '{"correctness": 0.5, "completeness": 1.0, "groundedness": 0.25, "standard_fit": 0')
+        .when(n == 2, '{"correctness": 0.5, "completeness": 1.5, "groundedness": 0.25, "standard_fit": 0}')
+        .when(n == 3, '{"correctness": 0.5, "completeness": 1}')
+        .when(n == 4, '{"score": -3, "correctness": 1, "groundedness":1.0, "completeness": 0.125, "standard_fit": 0.5, "audit": {"score": 0.9}}')
+        .otherwise("no json")
+    )
+    return load(spark, sf_dir, "events").select("event_id", T.salvaged_score(raw, "score", DIMENSIONS).alias("score"))
 
 
 @query("""WITH r AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'Definition' WHEN 1 THEN ' fact ' ELSE 'misc' END AS kind, p_size / 30.0::DOUBLE AS c, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_name END AS alias FROM part)

@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from ..functions import stats as S
 from ..functions import text as T
-from ..operators import context
+from ..operators import chunking, context, graph, scores, search
 from ..operators import retrieval as X
+from ..sources.stage import staged
 from ..sources.tables import load
 from .base import query
 
@@ -101,23 +102,28 @@ def relevance_floor(spark, sf_dir):
 
 
 def _evidence(spark, sf_dir):
-    """The turns of conversations as neighbouring chunks: each starts where the one before ends, but after every fourth turn."""
+    """The turns of conversations as neighbouring chunks: each starts where the one before ends, but after every fourth turn; some are summaries, some begin with a
+    copied header."""
     c = load(spark, sf_dir, "conversations").withColumn("n", F.length("text"))
     end = F.sum("n").over(Window.partitionBy("conv_id").orderBy("turn"))
     return c.select(
-        F.col("conv_id").alias("query_id"), ((F.col("turn") * 7 + 3) % 11).alias("pos"), F.col("conv_id").alias("doc"), F.lit("h").alias("heading"), F.col("turn").alias("ordinal"),
-        (end - F.col("n") + F.when(F.col("turn") % 4 == 0, 1).otherwise(0)).cast("long").alias("start"), end.cast("long").alias("end"), F.col("text").alias("content"), (F.col("n") % 13 / 13.0).alias("score"),
+        F.col("conv_id").alias("query_id"), ((F.col("turn") * 7 + 3) % 11).alias("pos"), F.col("turn").alias("id"), F.when(F.col("turn") % 6 == 5, "summary").otherwise("body").alias("kind"),
+        F.col("conv_id").alias("doc"), F.when(F.col("conv_id") % 2 == 0, "h").alias("heading"), F.col("turn").alias("ordinal"),
+        (end - F.col("n") + F.when(F.col("turn") % 4 == 0, 1).otherwise(0)).cast("long").alias("start"), end.cast("long").alias("end"),
+        F.concat(F.when(F.col("turn") % 7 == 3, "| h |").otherwise(""), F.substring("text", F.when(F.col("turn") % 4 == 0, 2).otherwise(1), F.length("text"))).alias("content"), (F.col("n") % 13 / 13.0).alias("score"),
     )
 
 
 @query("""WITH c AS (SELECT *, length(text) AS n, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS e FROM conversations),
-    v AS (SELECT conv_id, (turn * 7 + 3) % 11 AS pos, turn, e - n + CASE WHEN turn % 4 = 0 THEN 1 ELSE 0 END AS s, e, text, n % 13 / 13.0::DOUBLE AS score FROM c),
-    b AS (SELECT *, CASE WHEN lag(turn) OVER w + 1 = turn AND lag(e) OVER w = s THEN 0 ELSE 1 END AS brk FROM v WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    v AS (SELECT conv_id, (turn * 7 + 3) % 11 AS pos, turn, e - n + CASE WHEN turn % 4 = 0 THEN 1 ELSE 0 END AS s, e, CASE WHEN turn % 7 = 3 THEN '| h |' ELSE '' END || CASE WHEN turn % 4 = 0 THEN substr(text, 2) ELSE text END AS text,
+          n % 13 / 13.0::DOUBLE AS score, turn % 6 <> 5 AND turn % 7 <> 3 AS good FROM c),
+    b AS (SELECT *, CASE WHEN good AND lag(good) OVER w AND lag(turn) OVER w + 1 = turn AND lag(e) OVER w = s THEN 0 ELSE 1 END AS brk FROM v WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
     r AS (SELECT *, sum(brk) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM b)
-    SELECT conv_id AS query_id, min(pos) AS pos, min(turn) AS ordinal, CAST(min(s) AS BIGINT) AS start, CAST(max(e) AS BIGINT) AS "end", round(max(score), 6) AS score, count(*) AS merged, sha256(string_agg(text, '' ORDER BY turn)) AS content FROM r GROUP BY conv_id, run""")
+    SELECT conv_id AS query_id, min(pos) AS pos, CAST(arg_max(turn, score * 1000 - turn * 0.001) AS INTEGER) AS id, min(turn) AS ordinal, CAST(min(s) AS BIGINT) AS start, CAST(max(e) AS BIGINT) AS "end", round(max(score), 6) AS score,
+        CASE WHEN count(*) > 1 THEN string_agg(turn, ',' ORDER BY turn) ELSE '' END AS merged, sha256(string_agg(text, '' ORDER BY turn)) AS content FROM r GROUP BY conv_id, run""")
 def sibling_merge(spark, sf_dir):
     m = X.sibling_merge(_evidence(spark, sf_dir))
-    return m.select("query_id", "pos", "ordinal", "start", "end", F.round("score", 6).alias("score"), "merged", F.sha2(F.col("content").cast("binary"), 256).alias("content"))
+    return m.select("query_id", "pos", "id", "ordinal", "start", "end", F.round("score", 6).alias("score"), F.array_join(F.transform("merged", lambda x: x.cast("string")), ",").alias("merged"), F.sha2(F.col("content").cast("binary"), 256).alias("content"))
 
 
 @query()
@@ -153,3 +159,35 @@ def lexical_gate(spark, sf_dir):
     b = load(spark, sf_dir, "benchmark").select("item_id", T.latin_terms(F.col("text")).alias("t"))
     first = b.groupBy().agg(F.min_by("t", "item_id").alias("q"))
     return b.join(F.broadcast(first)).select("item_id", F.arrays_overlap("t", "q").alias("shares"))
+
+
+def _chunk_search(spark, sf_dir):
+    """Chunks of documents, the legs of each question over them, and a stand-in for a model's scores, which every third question has none of."""
+    chunks = staged(chunking.chunk_documents(load(spark, sf_dir, "documents"), "doc_id", "text", target=200, overlap=40).withColumn("id", F.col("doc_id") * 1000 + F.col("ordinal")))
+    asked = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    fts = X.bm25(chunks, "id", "content", asked, 50).select("query_id", F.lit("fts").alias("leg"), "rank", "id")
+    names = asked.select(F.explode(T.latin_terms(F.col("query"))).alias("name")).filter(F.length("name") >= 6).groupBy("name").count().filter("count >= 2").select("name")
+    ties = graph.mentions(chunks.select("id", F.lower("content").alias("t")), names, "id", "t").select(F.col("entity").alias("name"), "id")
+    named = graph.mentions(asked.select("query_id", F.lower("query").alias("t")), names, "query_id", "t", 5).select("query_id", F.col("entity").alias("name"))
+    weight = named.join(ties, "name").groupBy("query_id", "id").agg(F.count("*").alias("w"))
+    near = X.ranked(weight, ["query_id"], [F.desc("w"), F.asc("id")], 50).select("query_id", F.lit("graph").alias("leg"), "rank", "id")
+    evidence = chunks.select("id", F.lit("body").alias("kind"), F.col("doc_id").alias("doc"), F.col("heading_path").alias("heading"), "ordinal", F.col("char_start").cast("long").alias("start"), F.col("char_end").cast("long").alias("end"), "content")
+    score = F.when(F.col("query_id") % 3 > 0, (F.length("content") * 7 + F.col("query_id")) % 101 / F.lit(101.0))
+    return search.fused([("fts", fts), ("graph", near)]), evidence, lambda c: c.withColumn("rerank", score), asked
+
+
+@query()
+def retrieve(spark, sf_dir):
+    """The whole search: two legs over chunks, fused, near copies out before scores are asked for, then diversity, overlaps, siblings, and the legs that found what stays."""
+    fused, evidence, score, _ = _chunk_search(spark, sf_dir)
+    out = search.retrieve(fused, evidence, score, limit=8)
+    return out.select("query_id", "pos", "id", "doc", "ordinal", "start", "end", F.sha2(F.col("content").cast("binary"), 256).alias("content"), F.array_join("legs", ",").alias("legs"), "reranked", F.size("merged").alias("merged"))
+
+
+@query(f"""WITH {BM25}, n AS (SELECT term AS name FROM (SELECT unnest(regexp_extract_all(lower(text), '[0-9a-z]+')) AS term FROM benchmark) WHERE length(term) >= 6 GROUP BY 1 HAVING count(*) >= 2),
+    g AS (SELECT DISTINCT item_id AS query_id FROM benchmark, n WHERE contains(lower(text), name)), f AS (SELECT DISTINCT query_id FROM bm)
+    SELECT item_id AS query_id, item_id NOT IN (SELECT query_id FROM f) AS fts_empty, item_id NOT IN (SELECT query_id FROM g) AS graph_empty, item_id % 3 = 0 AS rerank_fallback FROM benchmark""")
+def degraded_flags(spark, sf_dir):
+    """What a question's search had to do without: a leg that found nothing, scores that were not to be had."""
+    fused, evidence, score, asked = _chunk_search(spark, sf_dir)
+    return search.degraded(asked.select("query_id"), fused, ["fts", "graph"], search.retrieve(fused, evidence, score, limit=8))

@@ -104,11 +104,18 @@ def history_compact(spark, sf_dir):
     return context.compact_history(c, 120)
 
 
-@query("""WITH h AS (SELECT conv_id, turn, role = 'user' AND (contains(lower(text), 'it') OR contains(lower(text), 'that')) AS anaphora, regexp_matches(lower(text), '(quote|verbatim|exact)') AS verbatim FROM conversations)
-    SELECT * FROM h""")
+#: Ways in which the questions of the queries end, by turn and conversation.
+ENDINGS = ("", "请贴出那段文字", "这个原文应该怎么理解", "Please quote it", "那它的半衰期呢？", "第三章写了什么", "unquoted", "How so呢 ?", "一字不差 why")
+ASKED = "(SELECT conv_id, turn, text || CASE (conv_id + turn) % 9 " + " ".join(f"WHEN {i} THEN ' {x}'" for i, x in enumerate(ENDINGS)) + " END AS q FROM conversations WHERE role = 'user')"
+
+
+@query(rf"""SELECT conv_id, turn, regexp_matches(q, '{"|".join(T.VERBATIM)}') AND NOT regexp_matches(q, '{T.PROCEDURAL}') AS verbatim, regexp_matches(q, '{T.ANAPHORA}') OR regexp_matches(q, '{T.FOLLOW_UP}') AS anaphora FROM {ASKED}""")
 def intent_flags(spark, sf_dir):
-    low = F.lower("text")
-    return load(spark, sf_dir, "conversations").select("conv_id", "turn", ((F.col("role") == "user") & (low.contains("it") | low.contains("that"))).alias("anaphora"), low.rlike("(quote|verbatim|exact)").alias("verbatim"))
+    """Questions that want the words of a source, and those that point back to what was said."""
+    c = load(spark, sf_dir, "conversations").filter("role = 'user'")
+    ends = F.element_at(F.array(*(F.lit(" " + x) for x in ENDINGS)), ((F.col("conv_id") + F.col("turn")) % len(ENDINGS) + 1).cast("int"))
+    q = c.select("conv_id", "turn", F.concat("text", ends).alias("q"))
+    return q.select("conv_id", "turn", T.asks_for_source(F.col("q")).alias("verbatim"), T.needs_context(F.col("q")).alias("anaphora"))
 
 
 @query()
