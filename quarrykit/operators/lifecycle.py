@@ -42,8 +42,11 @@ def apply_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 def merge_extracted(cards: DataFrame, found: DataFrame) -> DataFrame:
     """cards(kind, title, body, confidence, verified, sources) after found of the same columns: sources are united; the body of greater confidence wins
-    strictly, and never over a verified one. Titles match as they stand."""
-    best = found.groupBy("kind", "title").agg(F.max_by(F.struct("body", "confidence"), "confidence").alias("b"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("more"))
+    strictly, and never over a verified one. Titles match as they stand. Sources keep the order in which they are first seen: those of the card, then those found, by the
+    column pos of found if it has one; of equal confidences the first body stays."""
+    at = F.col("pos") if "pos" in found.columns else F.lit(0)
+    more = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(at.alias("pos"), "sources"))), lambda x: x["sources"])))
+    best = found.groupBy("kind", "title").agg(F.max_by(F.struct("body", "confidence"), F.struct("confidence", (-at).alias("first"))).alias("b"), more.alias("more"))
     both = cards.join(best, ["kind", "title"], "full_outer")
     wins = F.col("confidence").isNull() | (~F.coalesce("verified", F.lit(False)) & (F.coalesce(F.col("b.confidence"), F.lit(-1.0)) > F.col("confidence")))
     return both.select(

@@ -62,6 +62,26 @@ def recall(hits: DataFrame, key: str, least_score: float, least_confidence: floa
     return ranked(hits.filter(good), ["query_id"], [F.desc("score"), F.asc(key)], limit)
 
 
+def recall_or_fall_back(queries: DataFrame, hits: DataFrame, items: DataFrame, key: str, index_empty: bool, limit: int, least_score: float = 0.45, least_confidence: float = 0.5, generic: list[str] = (), widen: int = 4) -> DataFrame:
+    """(query_id, key, rank, origin) of at most ``limit`` active items of enough confidence for each of queries(query_id, terms, has_vector).
+
+    A query with hits(query_id, key, score) takes those that are near enough, and none if none is: they are not made up for. A query without a vector, or while the
+    index is empty one without hits, takes those of the ``widen`` * limit surest items that share a term with it which is not generic. items are (key, terms, status,
+    confidence); the surest are few and go to every task.
+    """
+    good = items.filter((F.col("status") == "active") & (F.col("confidence") >= least_confidence))
+    near = hits.join(queries.filter("has_vector").select("query_id"), "query_id", "left_semi")
+    by_vector = near.filter(F.col("score") >= least_score).join(good.select(key), key, "left_semi")
+    first = ranked(by_vector.select("query_id", key, "score"), ["query_id"], [F.desc("score"), F.asc(key)], limit).select("query_id", key, "rank", F.lit("vector").alias("origin"))
+    rest = queries.join(near.select("query_id").distinct(), "query_id", "left_anti") if index_empty else queries.filter("NOT has_vector")
+    sure = good.orderBy(F.desc("confidence"), key).limit(limit * widen).select(key, "confidence", F.explode(F.array_distinct("terms")).alias("term"))
+    asked = rest.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
+    asked = asked.filter(~F.col("term").isin(*generic)) if generic else asked
+    shared = asked.join(F.broadcast(sure), "term").select("query_id", key, "confidence").distinct()
+    second = ranked(shared, ["query_id"], [F.desc("confidence"), F.asc(key)], limit).select("query_id", key, "rank", F.lit("terms").alias("origin"))
+    return first.unionByName(second)
+
+
 def normalized_items(df: DataFrame, kinds: dict[str, str], otherwise: str, default: float = 0.5) -> DataFrame:
     """Items with their kind by synonyms, confidence within 0..1 and aliases, a scalar, as a list."""
     table = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in kinds.items()))

@@ -102,10 +102,11 @@ def _ledger(spark, sf_dir):
     return e.select("user_id", F.struct("ts_ms", "event_id").alias("o"), event.alias("event"), (1.0 / (1 + F.col("k") % 3)).alias("share"))
 
 
-@query(f"""WITH e AS (SELECT user_id, list(CASE event_type WHEN 'view' THEN 0.05 / (1 + k % 3) WHEN 'error' THEN -0.15 / (1 + k % 3) WHEN 'purchase' THEN 0.3 WHEN 'signup' THEN -0.2 ELSE 0.0 END::DOUBLE ORDER BY ts_ms, event_id) AS d, count(*) AS n FROM {EVENTS} GROUP BY 1)
-    SELECT user_id, round(list_reduce(list_prepend(0.3::DOUBLE, d), lambda a, x: greatest(0.0::DOUBLE, least(1.0::DOUBLE, a + x))), 6) AS confidence, n FROM e""")
+@query(f"""WITH e AS (SELECT user_id, list({{'c': CASE event_type WHEN 'view' THEN 0.05 / (1 + k % 3) WHEN 'error' THEN -0.15 / (1 + k % 3) WHEN 'purchase' THEN 0.3 WHEN 'signup' THEN -0.2 ELSE 0.0 END::DOUBLE, 's': event_type}} ORDER BY ts_ms, event_id) AS d, count(*) AS n FROM {EVENTS} GROUP BY 1),
+    f AS (SELECT user_id, n, list_reduce(d, lambda a, x: {{'c': greatest(0.0::DOUBLE, least(1.0::DOUBLE, a.c + x.c)), 's': CASE WHEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, a.c + x.c)) < 0.15 THEN 'archived' WHEN x.s = 'purchase' THEN 'active' ELSE a.s END}}, {{'c': 0.3::DOUBLE, 's': 'candidate'}}) AS r FROM e)
+    SELECT user_id, round(r.c, 6) AS confidence, r.s AS status, n FROM f""")
 def confidence_fold(spark, sf_dir):
-    return L.fold_confidence(_ledger(spark, sf_dir), "user_id", "o").drop("status")
+    return L.fold_confidence(_ledger(spark, sf_dir), "user_id", "o")
 
 
 @query("SELECT l_orderkey AS trace, l_linenumber AS item, l_returnflag <> 'R' AS positive, round(1.0::DOUBLE / count(*) OVER (PARTITION BY l_orderkey), 6) AS share FROM lineitem")

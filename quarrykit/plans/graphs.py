@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import graph as G
+from ..operators import knowledge_map as M
 from ..operators import lifecycle as L
 from ..sources.tables import load
 from .base import EVENTS, query
@@ -132,3 +133,49 @@ def find_by_name(spark, sf_dir):
     c = load(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", F.lower(F.trim("c_name")).alias("k")).join(asked, "k", "left_semi")
     best = c.groupBy("k").agg(F.max_by(F.struct("c_custkey", "c_name", "c_acctbal"), F.struct("c_acctbal", -F.col("c_custkey"))).alias("r"))
     return best.select("r.*")
+
+
+#: A map made of the tables: nations are topics, customers documents, parts cards, suppliers insights.
+MAP = """c AS (SELECT p_partkey AS id, p_size / 40.0::DOUBLE AS confidence, list(DISTINCT o_custkey) FILTER (l_quantity > 45 AND o_custkey IS NOT NULL) AS documents FROM part LEFT JOIN lineitem ON l_partkey = p_partkey AND l_quantity > 45 LEFT JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2),
+    t AS (SELECT n_nationkey AS id, CASE n_regionkey WHEN 0 THEN 'core' WHEN 1 THEN 'common' WHEN 2 THEN 'advanced' ELSE 'odd' END AS importance, [n_nationkey * 3 + 1, n_nationkey * 3 + 2, n_nationkey * 3 + 2, n_nationkey * 7 + 1000000] AS cards FROM nation WHERE n_nationkey % 5 > 0 UNION ALL SELECT -1, 'core', CAST([] AS BIGINT[])),
+    d AS (SELECT c_custkey AS id, CASE WHEN c_acctbal < 0 THEN 'failed' ELSE 'ready' END AS status FROM customer WHERE c_custkey % 3 > 0),
+    i AS (SELECT s_suppkey AS id, s_acctbal / 5000.0::DOUBLE AS confidence, [s_suppkey, s_suppkey * 2, s_suppkey] AS cards FROM supplier),
+    w AS (SELECT * FROM c ORDER BY confidence DESC, id LIMIT 120),
+    h AS (SELECT DISTINCT t.id AS topic, c.id FROM (SELECT id, unnest(cards) AS card FROM t) t JOIN c ON c.id = t.card),
+    p AS (SELECT d.id, count(*) AS produced FROM (SELECT id AS card, unnest(documents) AS doc FROM c) x JOIN d ON d.id = x.doc GROUP BY 1)"""
+
+
+def _map(spark, sf_dir):
+    part, line, orders, nation, customer, supplier = (load(spark, sf_dir, t) for t in ("part", "lineitem", "orders", "nation", "customer", "supplier"))
+    of = line.filter("l_quantity > 45").join(orders, line["l_orderkey"] == orders["o_orderkey"]).groupBy(F.col("l_partkey").alias("id")).agg(F.collect_set("o_custkey").alias("documents"))
+    cards = part.select(F.col("p_partkey").alias("id"), (F.col("p_size") / 40).alias("confidence")).join(of, "id", "left")
+    key = F.col("n_nationkey").cast("long")
+    importance = F.when(F.col("n_regionkey") == 0, "core").when(F.col("n_regionkey") == 1, "common").when(F.col("n_regionkey") == 2, "advanced").otherwise("odd")
+    topics = nation.filter("n_nationkey % 5 > 0").select(key.alias("id"), importance.alias("importance"), F.array(key * 3 + 1, key * 3 + 2, key * 3 + 2, key * 7 + 1000000).alias("cards"))
+    topics = topics.unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("id"), F.lit("core").alias("importance"), F.array().cast("array<bigint>").alias("cards")))
+    documents = customer.filter("c_custkey % 3 > 0").select(F.col("c_custkey").alias("id"), F.when(F.col("c_acctbal") < 0, "failed").otherwise("ready").alias("status"))
+    s = F.col("s_suppkey")
+    insights = supplier.select(s.alias("id"), (F.col("s_acctbal") / 5000).alias("confidence"), F.array(s, s * 2, s).alias("cards"))
+    return M.knowledge_map(topics, documents, cards, insights, 120)
+
+
+@query(f"""WITH {MAP}, tm AS (SELECT t.id, importance, CASE WHEN count(h.id) > 0 THEN round(least(1.0, count(h.id) / 3.0::DOUBLE) * avg(greatest(0.0, least(1.0, confidence))), 3) END AS m FROM t LEFT JOIN h ON h.topic = t.id LEFT JOIN c ON c.id = h.id GROUP BY 1, 2),
+    tn AS (SELECT 'topic:' || id AS id, 'topic' AS kind, CASE importance WHEN 'core' THEN 1.0 WHEN 'common' THEN 0.7 WHEN 'advanced' THEN 0.5 ELSE 0.6 END::DOUBLE AS weight, coalesce(m, 0.0)::DOUBLE AS mastery, CASE WHEN m IS NULL THEN 'uncovered' ELSE 'covered' END AS status FROM tm)
+    SELECT * FROM tn UNION ALL SELECT 'domain', 'domain', 1.0, round(avg(mastery), 3), NULL FROM tn
+    UNION ALL SELECT 'document:' || d.id, 'document', round(greatest(0.2::DOUBLE, coalesce(produced, 0) / (SELECT max(produced) FROM p)), 3), NULL, status FROM d LEFT JOIN p USING (id)
+    UNION ALL SELECT 'card:' || id, 'card', round(greatest(0.0, least(1.0, confidence)), 3), round(greatest(0.0, least(1.0, confidence)), 3), NULL FROM w
+    UNION ALL SELECT 'insight:' || id, 'insight', round(greatest(0.0, least(1.0, confidence)), 3), round(greatest(0.0, least(1.0, confidence)), 3), NULL FROM i""")
+def knowledge_map_nodes(spark, sf_dir):
+    """Nodes of the map with their weights, and how well topics are known."""
+    return _map(spark, sf_dir)[0]
+
+
+@query(f"""WITH {MAP}, cv AS (SELECT topic, id FROM h WHERE id IN (SELECT id FROM w)), sr AS (SELECT DISTINCT doc, id FROM (SELECT id, unnest(documents) AS doc FROM w) WHERE doc IN (SELECT id FROM d)),
+    ls AS (SELECT DISTINCT card, id FROM (SELECT id, unnest(cards) AS card FROM i) WHERE card IN (SELECT id FROM w))
+    SELECT 'domain' AS src, 'topic:' || id AS dst, 'topic' AS kind FROM t UNION ALL SELECT 'domain', 'document:' || id, 'source' FROM d
+    UNION ALL SELECT 'topic:' || topic, 'card:' || id, 'covers' FROM cv UNION ALL SELECT 'document:' || doc, 'card:' || id, 'source' FROM sr
+    UNION ALL SELECT 'domain', 'card:' || id, 'covers' FROM w WHERE id NOT IN (SELECT id FROM cv) AND id NOT IN (SELECT id FROM sr)
+    UNION ALL SELECT 'card:' || card, 'insight:' || id, 'insight' FROM ls UNION ALL SELECT 'domain', 'insight:' || id, 'insight' FROM i WHERE id NOT IN (SELECT id FROM ls)""")
+def knowledge_map_links(spark, sf_dir):
+    """What ties the nodes: topics and sources to the domain, cards to both or to the domain, insights to their cards or to the domain."""
+    return _map(spark, sf_dir)[1]

@@ -192,6 +192,35 @@ def metric_normalize(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", T.without_punctuation(F.col("text")).alias("normal"))
 
 
+RECALL = r"""q AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[0-9a-z]+') AS terms, item_id % 3 > 0 AS has_vector FROM benchmark),
+    i AS (SELECT conv_id * 1000 + turn AS id, regexp_extract_all(lower(text), '[0-9a-z]+') AS terms, CASE WHEN turn % 3 = 2 THEN 'candidate' ELSE 'active' END AS status, (conv_id * 7 + turn * 3) % 20 / 20.0::DOUBLE AS confidence FROM conversations),
+    g AS (SELECT * FROM i WHERE status = 'active' AND confidence >= 0.5),
+    h AS (SELECT query_id, id, (id * 13 + query_id) % 100 / 100.0::DOUBLE AS score FROM q JOIN i ON query_id % 3 = 1 AND id % 11 = query_id % 11),
+    v AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, 'vector' AS origin FROM h WHERE score >= 0.45 AND id IN (SELECT id FROM g) QUALIFY rank <= 3),
+    s AS (SELECT * FROM g ORDER BY confidence DESC, id LIMIT 12), x AS (SELECT * FROM q WHERE {0}),
+    t AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, id) AS rank, 'terms' AS origin FROM x JOIN s ON len(list_filter(list_intersect(x.terms, s.terms), lambda w: w NOT IN ('the', 'that', 'in', 'of', 'to', 'and', 'is', 'an', 'on'))) > 0 QUALIFY rank <= 3)"""
+
+
+def _recall(spark, sf_dir, index_empty):
+    q = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.latin_terms(F.col("text")).alias("terms"), (F.col("item_id") % 3 > 0).alias("has_vector"))
+    i = load(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), T.latin_terms(F.col("text")).alias("terms"), F.when(F.col("turn") % 3 == 2, "candidate").otherwise("active").alias("status"), ((F.col("conv_id") * 7 + F.col("turn") * 3) % 20 / 20).alias("confidence"))
+    h = q.filter("query_id % 3 = 1").select("query_id", (F.col("query_id") % 11).alias("m")).join(i.select("id", (F.col("id") % 11).alias("m")), "m")
+    hits = h.select("query_id", "id", ((F.col("id") * 13 + F.col("query_id")) % 100 / 100).alias("score"))
+    return R.recall_or_fall_back(q, hits, i, "id", index_empty, 3, generic=["the", "that", "in", "of", "to", "and", "is", "an", "on"])
+
+
+@query("WITH " + RECALL.replace("{0}", "NOT has_vector") + " SELECT * FROM v UNION ALL SELECT * FROM t")
+def insight_fallback(spark, sf_dir):
+    """Insights by vector, or by shared terms for questions that have no vector; a question with a vector and nothing near gets none."""
+    return _recall(spark, sf_dir, False)
+
+
+@query("WITH " + RECALL.replace("{0}", "query_id NOT IN (SELECT query_id FROM h)") + " SELECT * FROM v UNION ALL SELECT * FROM t")
+def insight_fallback_empty_index(spark, sf_dir):
+    """The same while the index is still empty for some: all questions without hits fall back."""
+    return _recall(spark, sf_dir, True)
+
+
 MD = r"""(SELECT doc_id, '## Title ' || doc_id || chr(10) || '> **' || text || '** ![pic](http://x/' || doc_id || ') `code` #tag' || chr(10) || '```py' || chr(10) || '| a | b |' || chr(10) || '```' AS md FROM documents
     UNION ALL SELECT -1 - item_id, '# ' || chr(10) || '> ' || chr(10) || '```' FROM benchmark)"""
 

@@ -25,17 +25,19 @@ def sessions(events: DataFrame, at: str, key: str, gap: str = "30 minutes", late
 
 
 class ConfidenceProcessor(StatefulProcessor):
-    """Folds events(key, event, share) into a confidence that is kept by key; gives a row after each batch that touches it."""
+    """Folds events(key, event, share) into a confidence that is kept by key; gives a row after each batch that touches it. A batch's events go by the column seq, if
+    there is one, so that stream and table agree as long as batches come in order."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("confidence", "c double, n long")
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
         c, n = self.state.get() if self.state.exists() else (START, 0)
-        for pdf in rows:
-            for event, share in zip(pdf["event"], pdf["share"], strict=True):
-                scale = share if event in ("positive_feedback", "negative_feedback") else 1.0
-                c, n = min(1.0, max(0.0, c + DELTAS.get(event, 0.0) * scale)), n + 1
+        batch = pd.concat([*rows])
+        batch = batch.sort_values("seq", kind="stable") if "seq" in batch else batch
+        for event, share in zip(batch["event"], batch["share"], strict=True):
+            scale = share if event in ("positive_feedback", "negative_feedback") else 1.0
+            c, n = min(1.0, max(0.0, c + DELTAS.get(event, 0.0) * scale)), n + 1
         self.state.update((c, n))
         yield pd.DataFrame({"key": [key[0]], "confidence": [c], "archived": [c < ARCHIVE_BELOW], "n": [n]})
 
