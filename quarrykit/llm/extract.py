@@ -2,7 +2,7 @@
 
 Markup is stripped: each block element gives a line. Parts that by their element or by a strong class word are no article (menus, headers, footers,
 sidebars, adverts, forms, comments) give nothing. Lines that are mostly links, and lines under a weak class word (header, alert, share, ...), count
-nothing. The lengths of what counts are summed over sliding windows of lines. Where the sum surges above a threshold a region begins; where it dives
+nothing; nor do those under names that only hold such a word (ad-hoc), but their prose stays. The lengths of what counts are summed over sliding windows of lines. Where the sum surges above a threshold a region begins; where it dives
 to nothing the region ends; text between the two, from a heading that leads to it on, is kept in regions whose highest sum comes near the highest of the page. Within a region prose
 under a weak class word stays, short lines under one go.
 
@@ -36,6 +36,11 @@ WEAK = frozenset(
     "alert banner complementary contentinfo dialog disclaimer header notice notification notifications promo promoted promotion recommended related reply search "
     "share sharing signup skip social sponsor subscribe subscription toc toolbar widget widgets".split()
 )
+#: Words that may stand beside those without changing what they name, and words for containers, which don't say what a paragraph is.
+NEUTRAL = frozenset("area bar block body bottom box btn button class col column container content d desktop div el first global group header holder id inner item js l label last layout left link links list m main mobile module outer page panel primary right row secondary section site slot sm spot text title top unit w wrap wrapper xs".split())
+CONTAINERS = frozenset("breadcrumb breadcrumbs footer masthead menu menubar modal nav navbar navigation popup replies respond sidebar".split())
+#: Lines between two kept regions over which these join where the page has no article element.
+GAP = 6
 RAW = frozenset("script style textarea title noscript template iframe head".split())
 ASIDE = frozenset("nav footer aside form menu dialog button select fieldset".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -55,12 +60,22 @@ class Line(NamedTuple):
     heading: bool
 
 
-def _evidence(attributes: str) -> int:
-    """2 where attributes say that the element is no article, 1 where they say so weakly, else 0."""
-    words = {w for v in NAMES.findall(attributes) for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", v).lower())}
-    if not STRONG.isdisjoint(words) or re.search(r"\bhidden\b(?!\s*=)|display\s*:\s*none", re.sub(r'"[^"]*"(?<!none")', "", attributes)):
+def _evidence(attributes: str, element: str = "div") -> int:
+    """2 where attributes say that the element is no article, 1 where they say so weakly, else 0.
+
+    A name tells of the element if each of its words is one of structure: ``ad-slot`` does, ``ad-hoc`` and ``menu-of-the-day`` only weigh against it.
+    """
+    if re.search(r"\bhidden\b(?!\s*=)|display\s*:\s*none", re.sub(r'"[^"]*"(?<!none")', "", attributes)):
         return 2
-    return int(not WEAK.isdisjoint(words))
+    found = 0
+    for value in NAMES.findall(attributes):
+        for name in value.strip("\"'").split():
+            words = {w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower()) if w}
+            strong = words & STRONG
+            if strong and words <= STRONG | WEAK | NEUTRAL and not (element == "p" and strong <= CONTAINERS):
+                return 2
+            found |= bool(strong) or not WEAK.isdisjoint(words)
+    return int(found)
 
 
 def lines_of(page: str) -> list[Line]:
@@ -117,7 +132,7 @@ def lines_of(page: str) -> list[Line]:
             if name == "hr":
                 end()
             continue
-        evidence = 0 if close or name in ("html", "body") else _evidence(attributes)
+        evidence = 0 if close or name in ("html", "body") else _evidence(attributes, name)
         if name in INLINE and not (name == "span" and evidence == 2):
             if name == "a":
                 link = 0 if close else 1
@@ -172,6 +187,20 @@ def regions_of(sizes: list[int], window: int = WINDOW, share: float = SHARE, sur
     return found
 
 
+def _joined(lines: list[Line], regions: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Regions of which nothing hidden lies between are one where an article element holds all that lies between, or a page without one has no more than GAP
+    lines there: what counted nothing, as a list of links does, is part of the text on both its sides."""
+    marked = any(x.article for x in lines)
+    out: list[tuple[int, int]] = []
+    for a, b in regions:
+        between = lines[out[-1][1] : a] if out else []
+        if out and all(x.text for x in between) and (all(x.article for x in between) if marked else len(between) <= GAP):
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
+
+
 def main_text(page: str | None, window: int = WINDOW, share: float = SHARE, surge: int = SURGE) -> str:
     lines = lines_of(page or "")
     sizes = line_sizes(lines)
@@ -184,6 +213,7 @@ def main_text(page: str | None, window: int = WINDOW, share: float = SHARE, surg
         while lead and sizes[lead - 1]:
             lead -= 1
         regions[k] = (min((j for j in range(lead, a) if lines[j].heading), default=a), b)
+    regions = _joined(lines, regions)
     held = []
     for a, b in regions:
         inside = own(a, b)
