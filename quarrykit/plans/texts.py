@@ -47,13 +47,19 @@ def ngram_similarity(spark, sf_dir):
     return d.join(b, "item_id").select(F.col("item_id").alias("a"), "b", F.round(T.overlap_coefficient(F.col("g"), F.col("gb")), 6).alias("similarity"))
 
 
-@query(f"""WITH d AS (SELECT min(id) AS id, list(id) AS ids, g FROM (SELECT conv_id * 1000 + turn AS id, list_sort({GRAMS}) AS g FROM (SELECT conv_id, turn, {NORM} AS t FROM conversations)) GROUP BY g)
+#: Turns, the same without their first characters, and first turns once more.
+RETOLD = "(SELECT conv_id, turn, text FROM conversations UNION ALL SELECT conv_id, turn + 500, substr(text, 6) FROM conversations UNION ALL SELECT conv_id, turn + 700, text FROM conversations WHERE turn = 0)"
+
+
+@query(f"""WITH d AS (SELECT min(id) AS id, list(id) AS ids, g FROM (SELECT conv_id * 1000 + turn AS id, list_sort({GRAMS}) AS g FROM (SELECT conv_id, turn, {NORM} AS t FROM {RETOLD})) GROUP BY g)
     SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.g, b.g)) / least(len(a.g), len(b.g)), 6) AS similarity FROM d a JOIN d b ON a.id < b.id
     WHERE len(list_intersect(a.g, b.g)) / least(len(a.g), len(b.g)) > 0.85
     UNION ALL SELECT id, b, 1.0 FROM (SELECT id, unnest(ids) AS b FROM d) WHERE b <> id""")
 def near_dup_pairs(spark, sf_dir):
-    c = load(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    return retrieval.similar_pairs(c, "id", "text", 0.85)
+    c = load(spark, sf_dir, "conversations")
+    id_ = F.col("conv_id") * 1000 + F.col("turn")
+    again = c.select((id_ + 500).alias("id"), F.substring("text", 6, 1 << 30).alias("text")).unionByName(c.filter("turn = 0").select((id_ + 700).alias("id"), "text"))
+    return retrieval.similar_pairs(c.select(id_.alias("id"), "text").unionByName(again), "id", "text", 0.85)
 
 
 @query()
