@@ -132,3 +132,30 @@ def asks_for_source(question: Column) -> Column:
 def needs_context(question: Column) -> Column:
     """Whether a question can't be read without what was said before."""
     return question.rlike(ANAPHORA) | question.rlike(FOLLOW_UP)
+
+
+#: Share of the pairs of letters of the shorter one from which a heading counts as the document's title.
+TITLE_LIKE = 0.6
+
+
+def _pairs(text: Column) -> Column:
+    bare = F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]", ""))
+    return F.when(F.length(bare) < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(bare) - 1, F.lit(1))), lambda i: F.substring(bare, i, F.lit(2)))))
+
+
+def section_label(path: Column, title: Column) -> Column:
+    """The parts of a heading path, joined by ' › ', without leading ones that say the document's title again; null if nothing else is left. The last part goes only if
+    it is just the title."""
+    parts = F.filter(F.transform(F.split(path, ">"), lambda x: F.trim(x)), lambda x: x != "")
+    name = F.trim(F.regexp_replace(F.coalesce(title, F.lit("")), r"(?i)\.(md|markdown|txt|pdf|docx?|html?)$", ""))
+    own = _pairs(name)
+
+    def like(heading):
+        pairs = _pairs(heading)
+        return (heading == name) | ((F.size(pairs) > 0) & (F.size(own) > 0) & (F.size(F.array_intersect(pairs, own)) / F.least(F.size(pairs), F.size(own)) >= TITLE_LIKE))
+
+    said = F.transform(parts, lambda x: (name != "") & like(F.regexp_replace(x, r"^#+\s*", "")))
+    first = F.array_position(said, False)  # 0 if all say the title
+    drop = F.when(first == 0, F.size(parts) - 1).otherwise(first - 1)
+    left = F.when(F.size(parts) > 0, F.slice(parts, (drop + 1).cast("int"), F.greatest(F.size(parts), F.lit(1))))
+    return F.when((F.size(left) == 1) & (name != "") & (left[0] == name), None).otherwise(F.nullif(F.array_join(left, " › "), F.lit("")))

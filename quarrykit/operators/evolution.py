@@ -95,3 +95,17 @@ def consolidate(insights: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFr
     marks = acts.filter("id IS NOT NULL").select("space", "id", F.col("status").alias("__s"))
     after = insights.join(marks, ["space", "id"], "left").withColumn("status", F.coalesce("__s", "status")).drop("__s").select(*insights.columns)
     return after, acts.filter("id IS NULL").drop("id")
+
+
+def attribution(deltas: DataFrame, same: str | int, by: str = "arm") -> DataFrame:
+    """(arm, contribution, helped, hurt, pairs, noise_floor, beyond_noise) of deltas(arm, item, delta), the change of each question's score when the arm's insight is
+    left out; delta may be null where one side was not measured. ``same`` is the arm that left nothing out: what it differs by, and no less than what so many
+    questions can tell apart at all, is the noise floor, null without such an arm."""
+    from ..functions.stats import least_delta
+
+    d = F.col("delta")
+    sums = deltas.groupBy(by).agg(F.avg(d).alias("mean"), F.count_if(d < 0).alias("helped"), F.count_if(d > 0).alias("hurt"), F.count(d).alias("pairs"))
+    floor = sums.filter(F.col(by) == same).select(F.round(F.greatest(F.abs(F.round("mean", 2)), least_delta(F.col("pairs"))), 2).alias("noise_floor"))
+    out = sums.filter(F.col(by) != same).join(F.broadcast(floor), how="left")  # one row at most
+    contribution = F.round(-F.round("mean", 2), 2)
+    return out.select(by, contribution.alias("contribution"), "helped", "hurt", "pairs", "noise_floor", (F.abs(contribution) > F.col("noise_floor")).alias("beyond_noise"))

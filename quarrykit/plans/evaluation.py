@@ -5,6 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
+from ..operators import evolution as V
 from ..operators import lifecycle as L
 from ..sources.tables import load
 from .base import EVENTS, query
@@ -134,3 +135,11 @@ def range_groundedness(spark, sf_dir):
     ends = F.aggregate(F.split("text", "\n"), F.struct(F.array(F.lit(-1)).alias("e")), step)["e"]
     x = d.withColumn("ends", F.filter(ends, lambda x: x >= 0)).withColumn("at", F.explode(at))
     return x.select("doc_id", F.col("at").cast("long").alias("at"), F.size(F.filter("ends", lambda e: e < F.col("at"))).cast("long").alias("line_no"))
+
+
+@query(f"""WITH a AS (SELECT arm, avg(delta) AS m, count(*) FILTER (delta < 0) AS helped, count(*) FILTER (delta > 0) AS hurt, count(delta) AS pairs FROM {DELTAS} GROUP BY 1),
+    f AS (SELECT round(greatest(abs(round(m, 2)), round(2 * 15.0 / sqrt(pairs), 2)), 2) AS noise_floor FROM a WHERE arm = 0)
+    SELECT arm, round(-round(m, 2), 2) AS contribution, helped, hurt, pairs, noise_floor, abs(round(-round(m, 2), 2)) > noise_floor AS beyond_noise FROM a LEFT JOIN f ON true WHERE arm <> 0""")
+def attribute_insights(spark, sf_dir):
+    """What each insight contributes, told from arms that leave one out, against the noise of an arm that leaves out none."""
+    return V.attribution(_deltas(spark, sf_dir).withColumn("delta", F.col("delta").cast("double")), 0)

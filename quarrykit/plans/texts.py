@@ -124,6 +124,33 @@ def intent_flags(spark, sf_dir):
     return q.select("conv_id", "turn", T.asks_for_source(F.col("q")).alias("verbatim"), T.needs_context(F.col("q")).alias("anaphora"))
 
 
+PATHS = """(SELECT conv_id, turn, 'The Turn ' || turn || '.MD' AS title, CASE turn % 6 WHEN 0 THEN '# The turn ' || turn || ' in full > Next > ' WHEN 1 THEN 'Other > The Turn ' || turn WHEN 2 THEN 'The Turn ' || turn || ' > the turn ' || turn WHEN 3 THEN ' > '
+    WHEN 4 THEN 'The Turn ' || turn || ' > The Turn ' || turn || ' again > End' END AS path FROM conversations)"""
+
+
+def _title_pairs(x: str) -> str:
+    bare = rf"lower(regexp_replace({x}, '[^\p{{L}}\p{{N}}]', '', 'g'))"
+    return f"CASE WHEN length({bare}) < 2 THEN CAST([] AS VARCHAR[]) ELSE list_distinct(list_transform(generate_series(1, length({bare}) - 1), lambda i: substr({bare}, i, 2))) END"
+
+
+@query(rf"""WITH p AS (SELECT conv_id, turn, trim(regexp_replace(title, '\.(md|markdown|txt|pdf|docx?|html?)$', '', 'i')) AS name, list_filter(list_transform(string_split(path, '>'), lambda x: trim(x)), lambda x: x <> '') AS parts FROM {PATHS}),
+    e AS (SELECT conv_id, turn, name, parts, i, regexp_replace(parts[i], '^#+\s*', '') AS h FROM (SELECT *, unnest(generate_series(1, len(parts))) AS i FROM p)),
+    g AS (SELECT *, {_title_pairs("h")} AS a, {_title_pairs("name")} AS b FROM e), k AS (SELECT conv_id, turn, any_value(name) AS name, any_value(parts) AS parts, coalesce(min(i) FILTER (NOT (h = name OR (len(a) > 0 AND len(b) > 0 AND len(list_intersect(a, b)) / least(len(a), len(b)) >= 0.6))), max(i)) AS first FROM g GROUP BY 1, 2)
+    SELECT conv_id, turn, CASE WHEN len(parts[first:]) = 1 AND parts[first] = name THEN NULL ELSE nullif(array_to_string(parts[first:], ' › '), '') END AS label FROM p LEFT JOIN (SELECT conv_id, turn, first FROM k) USING (conv_id, turn)""")
+def section_labels(spark, sf_dir):
+    """Where a citation stands, without the title that its headings say again."""
+    c, turn = load(spark, sf_dir, "conversations"), F.col("turn")
+    the = F.concat(F.lit("The Turn "), turn)
+    path = (
+        F.when(turn % 6 == 0, F.concat(F.lit("# The turn "), turn, F.lit(" in full > Next > ")))
+        .when(turn % 6 == 1, F.concat(F.lit("Other > "), the))
+        .when(turn % 6 == 2, F.concat(the, F.lit(" > the turn "), turn))
+        .when(turn % 6 == 3, " > ")
+        .when(turn % 6 == 4, F.concat(the, F.lit(" > "), the, F.lit(" again > End")))
+    )
+    return c.select("conv_id", "turn", T.section_label(path, F.concat(the, F.lit(".MD"))).alias("label"))
+
+
 @query()
 def ground_sentences(spark, sf_dir):
     p = load(spark, sf_dir, "conversations")
