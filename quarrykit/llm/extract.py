@@ -39,8 +39,6 @@ WEAK = frozenset(
 #: Words that may stand beside those without changing what they name, and words for containers, which don't say what a paragraph is.
 NEUTRAL = frozenset("area bar block body bottom box btn button class col column container content d desktop div el first global group header holder id inner item js l label last layout left link links list m main mobile module outer page panel primary right row secondary section site slot sm spot text title top unit w wrap wrapper xs".split())
 CONTAINERS = frozenset("breadcrumb breadcrumbs footer masthead menu menubar modal nav navbar navigation popup replies respond sidebar".split())
-#: Lines between two kept regions over which these join where the page has no article element.
-GAP = 6
 RAW = frozenset("script style textarea title noscript template iframe head".split())
 ASIDE = frozenset("nav footer aside form menu dialog button select fieldset".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -63,7 +61,8 @@ class Line(NamedTuple):
 def _evidence(attributes: str, element: str = "div") -> int:
     """2 where attributes say that the element is no article, 1 where they say so weakly, else 0.
 
-    A name tells of the element if each of its words is one of structure: ``ad-slot`` does, ``ad-hoc`` and ``menu-of-the-day`` only weigh against it.
+    A name tells of the element if each of its words is one of structure: ``ad-slot`` does, ``ad-hoc`` and ``menu-of-the-day`` only weigh against it, and say nothing
+    of a paragraph.
     """
     if re.search(r"\bhidden\b(?!\s*=)|display\s*:\s*none", re.sub(r'"[^"]*"(?<!none")', "", attributes)):
         return 2
@@ -74,7 +73,7 @@ def _evidence(attributes: str, element: str = "div") -> int:
             strong = words & STRONG
             if strong and words <= STRONG | WEAK | NEUTRAL and not (element == "p" and strong <= CONTAINERS):
                 return 2
-            found |= bool(strong) or not WEAK.isdisjoint(words)
+            found |= bool(strong and element != "p") or not WEAK.isdisjoint(words)
     return int(found)
 
 
@@ -188,13 +187,11 @@ def regions_of(sizes: list[int], window: int = WINDOW, share: float = SHARE, sur
 
 
 def _joined(lines: list[Line], regions: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Regions of which nothing hidden lies between are one where an article element holds all that lies between, or a page without one has no more than GAP
-    lines there: what counted nothing, as a list of links does, is part of the text on both its sides."""
-    marked = any(x.article for x in lines)
+    """Regions between which an article element holds all lines, and nothing hidden lies, are one: what counted nothing there, as a list of links does, is part of
+    the article on both its sides."""
     out: list[tuple[int, int]] = []
     for a, b in regions:
-        between = lines[out[-1][1] : a] if out else []
-        if out and all(x.text for x in between) and (all(x.article for x in between) if marked else len(between) <= GAP):
+        if out and all(x.text and x.article for x in lines[out[-1][1] : a]):
             out[-1] = (out[-1][0], b)
         else:
             out.append((a, b))
