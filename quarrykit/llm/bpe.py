@@ -22,6 +22,8 @@ from .common import lean, table
 #: Pieces that a worker's table holds at most, and the characters of a piece that it takes at most.
 MEMO_PIECES, MEMO_CHARS = 1 << 18, 64
 LIMIT_TOKENS = 512
+#: Children of a node of the segment tree.
+FAN = 32
 COUNT_FILE, ENCODE_FILE = "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"
 
 
@@ -127,42 +129,45 @@ class Encoder:
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """A segment tree over byte positions holds, at the leaf of each part's start, the rank that the part and its right neighbour have
-        together; its root is the leftmost of the lowest. A merge changes three leaves, each in logarithmic time."""
+        together; its root is the leftmost of the lowest. A merge changes three leaves, each in logarithmic time. A node has FAN children, so
+        that the tree of a word is one node."""
         ranks, n = self.ranks, len(piece)
         if (whole := ranks.get(piece)) is not None:
             return [whole]
-        leaves = 1 << (n - 1).bit_length()
         shift = n.bit_length()
         mask, none = (1 << shift) - 1, 1 << 62
-        tree = [none] * (2 * leaves)
-        for i in range(n - 1):
-            if (r := ranks.get(piece[i : i + 2])) is not None:
-                tree[leaves + i] = r << shift | i
-        for i in range(leaves - 1, 0, -1):
-            a, b = tree[2 * i], tree[2 * i + 1]
-            tree[i] = a if a < b else b
+        get = ranks.get
+        leaves = [none if (r := get(piece[i : i + 2])) is None else r << shift | i for i in range(n - 1)]
+        levels = [leaves]
+        while len(levels[-1]) > FAN:
+            below = levels[-1]
+            levels.append([min(below[i : i + FAN]) for i in range(0, len(below), FAN)])
+        root, pairs = levels[-1], [*zip(levels, levels[1:])]
         after, before = [*range(1, n + 2)], [*range(-1, n)]
-        while (least := tree[1]) != none:
+        while (least := min(root)) != none:
             i = least & mask
             j = after[i]
             k = after[i] = after[j]
             before[k] = i
-            changed = [(j, none), (i, none)]
-            if k < n and (r := ranks.get(piece[i : after[k]])) is not None:
-                changed[1] = (i, r << shift | i)
+            if k < n:
+                leaves[j] = none
+                r = get(piece[i : after[k]])
+                leaves[i] = none if r is None else r << shift | i
+            else:  # the merged part is the last
+                leaves[i] = none
+                if j < n - 1:
+                    leaves[j] = none
             if (h := before[i]) >= 0:
-                r = ranks.get(piece[h:k])
-                changed.append((h, none if r is None else r << shift | h))
-            for at, value in changed:
-                at += leaves
-                tree[at] = value
-                while at > 1:
-                    a, b = tree[at], tree[at ^ 1]
-                    at >>= 1
-                    least = a if a < b else b
-                    if tree[at] == least:
-                        break
-                    tree[at] = least
+                r = get(piece[h:k])
+                leaves[h] = none if r is None else r << shift | h
+            if pairs:
+                for at in (j, i, h):
+                    for below, above in pairs:
+                        at //= FAN
+                        value = min(below[at * FAN : at * FAN + FAN], default=none)
+                        if at < 0 or at >= len(above) or above[at] == value:
+                            break
+                        above[at] = value
         out, i = [], 0
         while i < n:
             out.append(ranks[piece[i : after[i]]])
