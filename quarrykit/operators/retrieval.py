@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.stats import dot, squared_distance
-from ..functions.text import char_ngrams, latin_terms, normalized, overlap_coefficient
+from ..functions.text import latin_terms
 from ..sources.stage import staged
 from .groups import along_groups
 
@@ -178,26 +178,6 @@ def sibling_merge(df: DataFrame, least: int = 2) -> DataFrame:
     )
 
 
-def similar_pairs(df: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
-    """(a, b, similarity) of rows whose character 4-grams overlap by more than threshold of the smaller set, a < b.
-
-    Equal sets are compared once, through the member with the least key, which is paired with each of the others; so every row is in the result
-    if another is like it, and copies are not expanded into all pairs. Candidates share one of the rarest grams of the smaller set: of n grams, any
-    set that holds more than threshold of them holds one of the first n - ceil(threshold * n) + 1. The grams of all sets are written once.
-    """
-    grams = df.select(key, F.transform(char_ngrams(normalized(F.col(text))), lambda x: F.xxhash64(x)).alias("g")).withColumn("n", F.size("g")).withColumn("h", F.xxhash64(F.sort_array("g")))
-    grams = staged(grams.withColumnRenamed(key, "id"))
-    sets = staged(grams.groupBy("h", "n").agg(F.min("id").alias("a"), F.first("g").alias("g")))
-    copies = grams.select("id", "h", "n").join(sets.select("h", "n", "a"), ["h", "n"]).filter("id <> a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
-    rows = sets.select("a", "n", F.explode("g").alias("gram"))
-    freq = rows.groupBy("gram").agg(F.count("*").alias("f"))
-    by_rarity = Window.partitionBy("a").orderBy("f", "gram")
-    first = rows.join(freq, "gram").withColumn("p", F.row_number().over(by_rarity)).filter(F.col("p") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select(F.col("a").alias("x"), F.col("n").alias("nx"), "gram")
-    pairs = first.join(rows.select(F.col("a").alias("y"), F.col("n").alias("ny"), "gram"), "gram").filter("(ny > nx) OR (ny = nx AND x <> y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    both = pairs.join(sets.select("a", F.col("g").alias("ga")), "a").join(sets.select(F.col("a").alias("b"), F.col("g").alias("gb")), "b")
-    return both.withColumn("similarity", overlap_coefficient(F.col("ga"), F.col("gb"))).filter(F.col("similarity") > threshold).select("a", "b", F.round("similarity", 6).alias("similarity")).unionByName(copies)
-
-
 def _grams(text: str) -> set[str]:
     x = " ".join(text.split()).casefold()
     return {x[i : i + 4] for i in range(len(x) - 3)} if len(x) >= 4 else {x}

@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import context, retrieval
+from ..operators import context, retrieval, similar
 from ..sources.tables import load
 from .base import query
 
@@ -59,7 +59,7 @@ def near_dup_pairs(spark, sf_dir):
     c = load(spark, sf_dir, "conversations")
     id_ = F.col("conv_id") * 1000 + F.col("turn")
     again = c.select((id_ + 500).alias("id"), F.substring("text", 6, 1 << 30).alias("text")).unionByName(c.filter("turn = 0").select((id_ + 700).alias("id"), "text"))
-    return retrieval.similar_pairs(c.select(id_.alias("id"), "text").unionByName(again), "id", "text", 0.85)
+    return similar.similar_pairs(c.select(id_.alias("id"), "text").unionByName(again), "id", "text", 0.85)
 
 
 @query()
