@@ -25,19 +25,6 @@ def lineage(left: DataFrame, key: str, links: str, right: DataFrame, link: str,
     return a.join(right.select(link, F.explode(items).alias("item")), link)
 
 
-def nearest_phrase(cards: DataFrame, key: str, vector: str, phrases: DataFrame, least: float, sent: int = 10_000) -> DataFrame:
-    """(key, phrase, cosine) of the nearest of phrases(phrase, q), unit vectors both, if it is near enough. Phrases are a stated set against all cards, sent in
-    blocks of ``sent`` rows; each task keeps the best of a card before anything is shuffled."""
-    blocks = -(-phrases.count() // sent) or 1
-    cosine = F.round(F.aggregate(F.zip_with(vector, "q", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x), 6)
-    best = None
-    for i in range(blocks):
-        part = phrases.filter(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == i)
-        one = cards.crossJoin(F.broadcast(part)).select(key, "phrase", cosine.alias("cosine")).filter(F.col("cosine") >= least)
-        best = one if best is None else best.unionByName(one)
-    return best.groupBy(key).agg(F.max(F.struct("cosine", (-F.col("phrase")).alias("p"))).alias("b")).select(key, (-F.col("b.p")).alias("phrase"), "b.cosine")
-
-
 def drop_followed(rows: DataFrame, runs: DataFrame, at: str, within: int) -> DataFrame:
     """Rows that no run follows within so many units of time. A run lies in the bucket of its row or the next one, so the join is on buckets."""
     first = runs.select(F.col(at).alias("__run")).distinct().withColumn("__b", F.floor(F.col("__run") / within))

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.stats import dot, squared_distance
+from ..functions.stats import dot
 from ..functions.text import latin_terms
 from ..sources.stage import staged
 from .groups import along_groups
+from .nearest import nearest
 
 RRF_K = 60
 DEDUP, LAMBDA = 0.85, 0.7
@@ -114,20 +115,8 @@ def pooled(df: DataFrame, order: list[Column], most: int = POOL) -> DataFrame:
 
 
 def knn(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """(query_id, key, score, rank): the k nearest of vectors to each row of queries(query_id, query), by 1 / (1 + squared distance).
-
-    A stated query set against all rows: queries of up to QUERY_ROWS rows go to every task, more are taken in blocks.
-    """
-    n = queries.count()
-    blocks = [queries] if n <= QUERY_ROWS else [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // QUERY_ROWS))) == i) for i in range(-(-n // QUERY_ROWS))]
-    as_double = lambda c: F.transform(c, lambda x: x.cast("double"))
-    base = vectors.select(key, as_double(F.col(vector)).alias("__v"))
-    out = None
-    for part in blocks:
-        q = part.select("query_id", as_double(F.col("query")).alias("__q"))
-        one = ranked(base.crossJoin(F.broadcast(q)).select("query_id", key, F.round(1 / (1 + squared_distance(F.col("__v"), F.col("__q"))), 6).alias("score")), ["query_id"], [F.desc("score"), F.asc(key)], k)
-        out = one if out is None else out.unionByName(one)
-    return out
+    """(query_id, key, score, rank): the k nearest of vectors to each row of queries(query_id, query), by 1 / (1 + squared distance) (see nearest.py)."""
+    return nearest(vectors, queries, key, vector, k)
 
 
 def unit_cosine(a: Column, b: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import recall as R
 from ..operators import retrieval as X
+from ..operators.nearest import nearest_phrase
 from ..sources.tables import load
 from .base import EVENTS, query
 
@@ -86,7 +87,7 @@ def semantic_assignment(spark, sf_dir):
     """The nearest phrase of each card, where it is near enough; phrases are the vectors whose id is divisible by 100."""
     e = load(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     phrases = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("phrase"), F.col("v").alias("q"))
-    return R.nearest_phrase(e, "vec_id", "v", phrases, 0.2)
+    return nearest_phrase(e, "vec_id", "v", phrases, 0.2)
 
 
 @query(f"""WITH s AS (SELECT event_id, user_id, ts_ms FROM {EVENTS} WHERE event_type = 'view'), r AS (SELECT ts_ms AS run FROM {EVENTS} WHERE event_type = 'purchase')

@@ -3,10 +3,10 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import stats as S
 from ..functions import text as T
 from ..operators import chunking, context, graph, scores, search
 from ..operators import retrieval as X
+from ..operators.nearest import nearest
 from ..sources.stage import staged
 from ..sources.tables import load
 from .base import query
@@ -50,10 +50,9 @@ def knn_topk(spark, sf_dir):
     FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q)
     SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) <= 5""")
 def knn_cosine(spark, sf_dir):
-    e = load(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    s = e.crossJoin(F.broadcast(q)).select("query_id", "vec_id", F.round(S.cosine(F.col("v"), F.col("q")), 6).alias("cosine"))
-    return X.ranked(s, ["query_id"], [F.desc("cosine"), F.asc("vec_id")], 5).drop("rank")
+    e = load(spark, sf_dir, "embeddings")
+    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return nearest(e, q, "vec_id", "embedding", 5, "cosine").select("query_id", "vec_id", F.col("score").alias("cosine"))
 
 
 def _legs(spark, sf_dir, k=50):
