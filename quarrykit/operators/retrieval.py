@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -35,7 +36,7 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
 def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, key, score, rank): the k best documents of each row of queries(query_id, query) by Okapi BM25.
 
-    One pass over the texts leaves each document's number of words and those words that a query has, filtered inside the row; all else works on these. Each task
+    One pass over the texts leaves each document's number of words and those words that a query has, looked up by Arrow; all else works on these. Each task
     scores its documents for all queries at once and keeps k of each, so postings of common terms never meet queries in a shuffle. Beyond LITERAL_TERMS
     different terms, the terms are joined instead (see _bm25_joined).
     """
@@ -47,9 +48,9 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, k: int, k1: f
     names = sorted(set(asked["term"].to_pylist()))
     if not names:
         return docs.sparkSession.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {docs.schema[key].dataType.simpleString()}, score double, rank int")
-    held = staged(docs.select(key, latin_terms(F.col(text)).alias("__t")).select(key, F.size("__t").alias("dl"), F.filter("__t", lambda x: x.isin(names)).alias("t")))
+    held = staged(docs.select(key, F.lower(F.col(text)).alias("t")).mapInArrow(_asked_words(names, key), f"{key} {docs.schema[key].dataType.simpleString()}, dl int, t array<int>"))
     n, avgdl = held.agg(F.count("*"), F.avg("dl")).first()
-    df = {r["term"]: r["df"] for r in held.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).collect()}  # a row for each term of the queries
+    df = {names[r["term"]]: r["df"] for r in held.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).collect()}  # a row for each term of the queries
     place = {t: i for i, t in enumerate(names)}
     ids = asked["query_id"].unique()
     of = {q: i for i, q in enumerate(ids.to_pylist())}
@@ -57,19 +58,18 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, k: int, k1: f
     for q, t in zip(asked["query_id"].to_pylist(), asked["term"].to_pylist()):
         matrix[place[t], of[q]] = math.log(1 + (n - df.get(t, 0) + 0.5) / (df.get(t, 0) + 0.5))
     kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {docs.schema[key].dataType.simpleString()}, score double"
-    sent = docs.sparkSession.sparkContext.broadcast((place, matrix, ids))
+    sent = docs.sparkSession.sparkContext.broadcast((matrix, ids))
 
     def run(batches):
-        place, matrix, ids = sent.value
+        matrix, ids = sent.value
         best: list[list[tuple[float, object]]] = [[] for _ in range(matrix.shape[1])]
         rows = max(1, DENSE // max(matrix.shape))
         for batch in batches:
-            keys, length, lists = batch.column(0).to_pylist(), batch.column(1).fill_null(0).to_numpy(), batch.column(2).to_pylist()
+            keys, length, lists = batch.column(0).to_pylist(), batch.column(1).fill_null(0).to_numpy(), batch.column(2)
             for s in range(0, len(keys), rows):
-                tf = np.zeros((len(lists[s : s + rows]), len(place)))
-                for i, words in enumerate(lists[s : s + rows]):
-                    for w in words or ():
-                        tf[i, place[w]] += 1
+                part = lists.slice(s, rows)
+                cell = pc.list_parent_indices(part).to_numpy() * len(matrix) + pc.list_flatten(part).to_numpy()
+                tf = np.bincount(cell, minlength=len(part) * len(matrix)).reshape(len(part), len(matrix)).astype(np.float64)
                 norm = k1 * (1 - b + b * length[s : s + rows] / (avgdl or 1.0))
                 exact = (tf * (k1 + 1) / (tf + norm[:, None])) @ matrix
                 scores = np.round(exact, 6)
@@ -88,6 +88,26 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, k: int, k1: f
     return ranked(held.mapInArrow(run, kinds), ["query_id"], [F.desc("score"), F.asc(key)], k)
 
 
+def _asked_words(names: list[str], key: str):
+    """(key, dl, t) of rows (key, lower text): the number of words and, as places in names, those words that are among them. Texts are cut and looked up by Arrow."""
+
+    def run(batches):
+        table = pa.array(names, pa.string())
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                cut = pc.split_pattern_regex(part.column(1), "[^0-9a-z]+")
+                words, of = pc.list_flatten(cut), pc.list_parent_indices(cut).to_numpy()
+                length = np.bincount(of[pc.not_equal(words, "").to_numpy(zero_copy_only=False)], minlength=part.num_rows)
+                at = pc.index_in(words, table)
+                hit = at.is_valid().to_numpy(zero_copy_only=False)
+                ends = np.cumsum(np.bincount(of[hit], minlength=part.num_rows))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), at.drop_null())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(length, pa.int32(), mask=part.column(1).is_null().to_numpy(zero_copy_only=False)), lists], names=[key, "dl", "t"])
+
+    return run
+
+
 def _bm25_joined(docs, key, text, terms, k, k1, b) -> DataFrame:
     """bm25() for terms by the million: words that no query has go before anything is shuffled, and each document leaves one row, with an empty term, for the
     statistics of all documents. Terms go to every task while they are no more than SENT_TERMS; beyond, they are joined by a shuffle."""

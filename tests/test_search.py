@@ -127,3 +127,18 @@ def test_whole_search(spark):
         assert {x["reranked"] for x in own} == {q >= 2} and all(x["legs"] and set(x["legs"]) <= set(legs) for x in own)
     flags = {x["query_id"]: tuple(x)[1:] for x in search.degraded(spark.range(5).select(F.col("id").alias("query_id")), hits, ["a", "b"], search.retrieve(hits, evidence, lambda c: c.withColumn("rerank", score), limit=6)).collect()}
     assert flags == {0: (False, False, True), 1: (False, True, True), 2: (False, False, False), 3: (False, False, False), 4: (True, True, True)}
+
+
+def test_asked_words_are_latin_terms_without_lambdas_over_words(spark):
+    """Words are cut by Arrow, inside the row, and are those that the expression gives, for null and empty texts too."""
+    from quarrykit.functions.text import latin_terms
+
+    texts = ["", None, " The İstanbul the, x9", "a", "--", "naïve Kelvin K9 the"] * 60
+    names = ["9", "a", "i", "stanbul", "the", "x9"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, x string")
+    got = df.select("id", F.lower("x").alias("x")).mapInArrow(retrieval._asked_words(names, "id"), "id long, dl int, t array<int>").collect()
+    want = {r["id"]: r["w"] for r in df.select("id", latin_terms(F.col("x")).alias("w")).collect()}
+    assert len(got) == len(texts)
+    for r in got:
+        w = want[r["id"]]
+        assert r["dl"] == (None if w is None else len(w)) and [names[i] for i in r["t"]] == [x for x in w or [] if x in names]
