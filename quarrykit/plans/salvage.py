@@ -31,7 +31,7 @@ CARDS = f"""(SELECT l_orderkey, CASE WHEN l_orderkey % 4 = 3 THEN 'salvaged' ELS
 
 
 def _cards(spark, sf_dir):
-    found = salvage.items(_texts(spark, sf_dir), ["l_orderkey"], "text", ["cards", "more"])
+    found = salvage.items(_texts(spark, sf_dir), ["l_orderkey"], "text", ["cards", "more"], json=False)
     return salvage.cards(found, ["l_orderkey"])
 
 
