@@ -172,7 +172,8 @@ def _chunk_search(spark, sf_dir):
     near = X.ranked(weight, ["query_id"], [F.desc("w"), F.asc("id")], 50).select("query_id", F.lit("graph").alias("leg"), "rank", "id")
     evidence = chunks.select("id", F.lit("body").alias("kind"), F.col("doc_id").alias("doc"), F.col("heading_path").alias("heading"), "ordinal", F.col("char_start").cast("long").alias("start"), F.col("char_end").cast("long").alias("end"), "content")
     score = F.when(F.col("query_id") % 3 > 0, (F.length("content") * 7 + F.col("query_id")) % 101 / F.lit(101.0))
-    return search.fused([("fts", fts), ("graph", near)]), evidence, lambda c: c.withColumn("rerank", score), asked
+    # written, as what follows would run both legs for each use; its size then tells that it can be sent to all tasks, and the chunks need no shuffle
+    return staged(search.fused([("fts", fts), ("graph", near)])), evidence, lambda c: c.withColumn("rerank", score), asked
 
 
 @query()

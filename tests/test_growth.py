@@ -1,6 +1,8 @@
 """What must not grow faster than the input: work done once for each row, and what one task or one batch holds."""
 
+from quarrykit.functions.sentences import Meter, sentences
 from quarrykit.operators import salvage
+from quarrykit.plans import retrieval
 
 def _plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
@@ -16,3 +18,17 @@ def test_items_are_parsed_once(spark):
     got = [sorted(tuple(r) for r in x.select(columns).collect()) for x in (as_json, as_variants)]
     row = lambda i, how, field: (i, how, field, 0, "tool", "t", "b", ["x"], 0.25, True)
     assert got[0] == got[1] == [row(0, "parsed", "cards"), row(1, "parsed", "cards"), row(2, "parsed", "cards"), row(3, "salvaged", "cards"), row(4, "parsed", "items")]
+
+
+def test_search_legs_run_once(spark, sf):
+    fused, evidence, _, _ = retrieval._chunk_search(spark, sf)
+    # legs and chunks are read, not made again for each use
+    assert "MapInArrow" not in _plan(fused) and "MapInArrow" not in _plan(evidence)
+
+
+def test_sentences_and_meters():
+    text = "a.b c. d!」 e。」\n\nf? g.h"
+    assert sentences(text) == ["a.b c.", " d!」 e。」\n\n", "f?", " g.h"]
+    assert sentences("") == [] and sentences("a. ") == ["a.", " "]
+    assert Meter("plain").wide is None  # no sums over characters where none is wide
+    assert [Meter(t).tokens(0, len(t)) for t in ("plain", "中文 and", "é" * 5)] == [2, 3, 2]
