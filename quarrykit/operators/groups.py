@@ -6,8 +6,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Rows that a batch gives at most.
-ROWS = 4096
+#: Rows that a batch gives at most, and rows of a part that dealt() aims at.
+ROWS, PART_ROWS = 4096, 500_000
+
+
+def dealt(df: DataFrame, by: list[str], rows: int = PART_ROWS) -> DataFrame:
+    """df dealt out by the columns in parts of about ``rows`` rows, one at least: what a task then holds to group, sort or join by them doesn't grow with the table.
+    Groupings and joins by these columns need no further shuffle."""
+    return df.repartition(max(1, -(-df.count() // rows)), *by)
 
 
 def along_groups(df: DataFrame, by: list[str], order: list, step: Callable[[list[dict]], list[dict]], schema: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import evolution as V
+from ..operators.groups import dealt
 from ..sources.tables import load
 from .base import query
 
@@ -23,7 +24,7 @@ def _cycle(spark, sf_dir):
     insights = s.select(F.col("s_nationkey").cast("long").alias("space"), F.col("s_suppkey").alias("id"), F.round(F.abs("s_acctbal") % 100 / 100, 2).cast("double").alias("confidence"), status.alias("status"))
     space = F.col("l_suppkey") % 25
     q = x.select(space.cast("long").alias("space"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item"), "l_orderkey", F.col("l_quantity").cast("double").alias("l_quantity")).filter("space <> 3 AND (space <> 4 OR l_orderkey % 64 = 0)")
-    q = q.groupBy("space", "item").agg(F.min("l_quantity").alias("l_quantity"))
+    q = dealt(q.drop("l_orderkey"), ["space", "item"]).groupBy("space", "item").agg(F.min("l_quantity").alias("l_quantity"))
     scores = q.select("space", "item", F.explode(F.array(F.lit("baseline"), F.lit("with_insights"))).alias("arm"), "l_quantity")
     better = (F.col("space") % 5 - 2) * 6 + (F.col("item") % 7 - 3) * 4
     scores = scores.select("space", "item", "arm", (F.col("l_quantity") * 2 + F.when(F.col("arm") == "baseline", 0).otherwise(better)).alias("score"), ((F.col("space") != 5) | (F.col("item") % 3 == 0) | (F.col("arm") == "baseline")).alias("measured"))

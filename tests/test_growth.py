@@ -2,7 +2,8 @@
 
 from quarrykit.functions.sentences import Meter, sentences
 from quarrykit.operators import salvage
-from quarrykit.plans import retrieval
+from quarrykit.operators.groups import dealt
+from quarrykit.plans import evolution, retrieval
 
 def _plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
@@ -32,3 +33,11 @@ def test_sentences_and_meters():
     assert sentences("") == [] and sentences("a. ") == ["a.", " "]
     assert Meter("plain").wide is None  # no sums over characters where none is wide
     assert [Meter(t).tokens(0, len(t)) for t in ("plain", "中文 and", "é" * 5)] == [2, 3, 2]
+
+
+def test_parts_grow_in_number(spark, sf):
+    assert dealt(spark.range(1001), ["id"], rows=100).rdd.getNumPartitions() == 11
+    assert dealt(spark.range(0), ["id"]).rdd.getNumPartitions() == 1
+    # questions and scores are dealt out by their rows, not by a fixed number of partitions
+    for q in (evolution.evolution_runs, evolution.evolution_insights):
+        assert "RepartitionByExpression" in _plan(q(spark, sf))
