@@ -1,7 +1,7 @@
 """What must not grow faster than the input: work done once for each row, and what one task or one batch holds."""
 
 from quarrykit.functions.sentences import Meter, sentences
-from quarrykit.operators import salvage
+from quarrykit.operators import chunking, salvage
 from quarrykit.operators.groups import dealt
 from quarrykit.plans import evolution, retrieval
 
@@ -41,3 +41,12 @@ def test_parts_grow_in_number(spark, sf):
     # questions and scores are dealt out by their rows, not by a fixed number of partitions
     for q in (evolution.evolution_runs, evolution.evolution_insights):
         assert "RepartitionByExpression" in _plan(q(spark, sf))
+
+
+def test_pages_leave_in_small_batches(spark):
+    texts = ["a\nb"] * 600 + ["x" * chunking.PAGE_CHARS] * 3 + ["", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    out = chunking.page_rows(df, "id", "text", "\n")
+    assert "PythonUDTF" not in _plan(out)  # which holds the pages of a whole batch of texts
+    assert out.count() == 1203
+    assert [tuple(r) for r in out.filter("id IN (0, 600)").selectExpr("id", "page", "char_start", "char_end", "length(content)").orderBy("id", "page").collect()] == [(0, 1, 0, 1, 1), (0, 2, 1, 2, 1), (600, 1, 0, chunking.PAGE_CHARS, chunking.PAGE_CHARS)]
