@@ -81,11 +81,11 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it back."""
+def materialize(df: DataFrame, *by: str) -> DataFrame:
+    """Cut the lineage: write df as Parquet in the shared folder, in folders by the values of columns if asked for, and read it back."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

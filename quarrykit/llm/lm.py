@@ -3,13 +3,14 @@
 Tokens are words, runs of anything but ASCII white space with A-Z in lower case, then one end. A word, after a space, is encoded by the ranks of
 a public vocabulary, and its first id opens it. The probability of an id is that of its class times its share of the class (a softmax over all 50,000
 ids would take some hundred times the work): the most frequent opening ids are classes of their own, the others fall in bands of like frequency.
-The attention model reads the classes before a token and gives the token's class; windows overlap, and each token is scored once. Within a
+The attention model reads the words before a token, each by
+the embeddings of all its ids (attention.embed()), and gives the token's class; windows overlap, and each token is scored once. Within a
 class a word is one of the most frequent words by its count, or else a run of ids by counts of pairs that follow each other in all other
 words, with the shares that the training texts give the two.
 
-Everything counted is counted over all training texts. The model starts from the counts of all pairs of classes that follow each other, and then takes
-ROUNDS steps; each is the gradient summed over all windows of a part of the training texts, so that every window is read once and nothing depends on
-how rows lie in tasks, but for the rounding of sums. ``rate`` (1 unless asked for) is the share of texts whose windows are read.
+Everything counted is counted over all training texts. The model starts from the counts of all pairs of classes that follow each other, an id's
+embedding from the class of the words that it opens, and then takes ROUNDS steps; each is the gradient summed over all windows of a part of the
+training texts, so that every window is read once and nothing depends on how rows lie in tasks, but for the rounding of sums. ``rate`` (1 unless asked for) is the share of texts whose windows are read.
 
 Cases: null text counts as empty: only the end is scored; a null doc_id has no remainder, so it is learned from and not held out; rows that repeat
 doc_id and text get equal scores but for rounding; with nothing to learn from all counts are 0 and the model keeps its start; an empty table gives no
@@ -21,7 +22,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import attention
@@ -45,6 +46,8 @@ HEAD_WORDS, HEAD_LEAST = 1 << 18, 3
 #: Steps of the training, the size of the first, and what the last one is of it.
 ROUNDS, STEP, LAST_STEP = 12, 0.01, 0.2
 MEMO_WORDS = 1 << 18
+#: Places whose vectors and gradients are made at a time.
+GROUP = 1 << 15
 #: Name of the end among words.
 END_WORD = -6148914691236517206
 
@@ -60,6 +63,11 @@ def subwords(path: str):
     return encoding.encode_ordinary, max(ranks.values()) + 1
 
 
+def id_type(rows: int) -> str:
+    """How ids below ``rows`` are written."""
+    return "<u2" if rows <= 1 << 16 else "<u4"
+
+
 def word_ids(path: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of words, each after a space, in one run, and where each word starts; one more start ends the last."""
     encode, _ = subwords(path)
@@ -169,19 +177,21 @@ class Words:
 
     def __init__(self, model: dict):
         self.m, self.memo = model, {}
+        self.type = np.dtype(id_type(len(model["of"]) + 1))
 
-    def within(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Classes and natural log probabilities, as runs of ids, of words that are not among the most frequent."""
+    def within(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Classes and natural log probabilities, as runs of ids, of words that are not among the most frequent, and the ids."""
         m = self.m
         ids, starts = word_ids(m["path"], words)
         first = ids[starts[:-1]]
         key, word = _pair_keys(m["of"], m["follow"], ids, starts)
         second = np.append(ids[1:], 0)
         log = m["pairs"][key] + np.where(key % FOLLOW == FOLLOW - 1, 0, m["follow_share"][second])
-        return m["of"][first], m["first_share"][first] + np.bincount(word, log, len(words))
+        spelled, cut = ids.astype(self.type).tobytes(), (starts * self.type.itemsize).tolist()
+        return m["of"][first], m["first_share"][first] + np.bincount(word, log, len(words)), [spelled[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
-    def look_up(self, hashes: np.ndarray, spans: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Class and natural log probability within it of each word of a run, and its place among the most frequent (-1 for others)."""
+    def look_up(self, hashes: np.ndarray, spans: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Class and natural log probability within it of each word of a run, its place among the most frequent (-1 for others), its number of ids; all ids."""
         m = self.m
         head, buffer, starts, ends = m["words"], *spans
         at = np.minimum(np.searchsorted(head, hashes), max(0, len(head) - 1))
@@ -195,24 +205,34 @@ class Words:
         new = [i for i, x in enumerate(found) if x is None]
         if new:
             places = rest[first[new]]
-            c, p = self.within([buffer[a:b] for a, b in zip(starts[places].tolist(), ends[places].tolist(), strict=True)])
+            c, p, spelled = self.within([buffer[a:b] for a, b in zip(starts[places].tolist(), ends[places].tolist(), strict=True)])
             p = p + m["tail_log"][c]
             if len(self.memo) > MEMO_WORDS:
                 self.memo.clear()
-            for i, x, y in zip(new, c.tolist(), p.tolist(), strict=True):
-                found[i] = self.memo[int(w[i])] = (x, y)
+            for i, x, y, z in zip(new, c.tolist(), p.tolist(), spelled, strict=True):
+                found[i] = self.memo[int(w[i])] = (x, y, z)
+        pool, begin, n = m["head_ids"], np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        if there.any():
+            begin[there], n[there] = m["head_starts"][at[there]], np.diff(m["head_starts"])[at[there]]
         if len(rest):
-            of[rest] = np.array([x for x, _ in found], np.int64)[back]
-            log[rest] = np.array([y for _, y in found])[back]
-        return of, log, np.where(there, at, -1)
+            of[rest] = np.array([x for x, _, _ in found], np.int64)[back]
+            log[rest] = np.array([y for _, y, _ in found])[back]
+            sizes = np.array([len(z) for _, _, z in found]) // self.type.itemsize
+            begin[rest], n[rest] = (len(pool) + np.cumsum(sizes) - sizes)[back], sizes[back]
+            pool = np.concatenate([pool, np.frombuffer(b"".join(z for _, _, z in found), self.type)])
+        ids = pool[np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        return of, log, np.where(there, at, -1), n, ids
 
 
 def _read(model: dict):
-    """(doc_id, row, held_out, n_tokens, known, logs, within, classes) of rows (doc_id, row, held_out, text): classes has a byte for each token."""
+    """(doc_id, row, held_out, n_tokens, known, logs, within, classes, ids, opens) of rows (doc_id, row, held_out, text).
+
+    classes has a byte for each token, ids the end and then all ids of all words, opens a bit for each id: whether it opens a token.
+    """
 
     def run(batches):
         words = Words(model)
-        head = model["words"]
+        head, first = model["words"], np.array([len(model["of"])], words.type).tobytes()
         logs = np.log10(model["counts"] + 1.0)
         end = float(logs[np.searchsorted(head, END_WORD)]) if len(head) else 0.0
         for batch in batches:
@@ -220,15 +240,20 @@ def _read(model: dict):
             for _, texts in _blocks(batch, 3):
                 hashes, bounds, spans = word_hashes(texts, spans=True)
                 w = hashes.view(np.int64)
-                of, within, at = words.look_up(w, spans)
+                of, within, at, n, ids = words.look_up(w, spans)
+                cut = np.append(0, np.cumsum(n))
+                opens = np.zeros(len(ids), bool)
+                opens[cut[:-1]] = True
                 there = at >= 0
                 log = np.where(there, logs[at], 0.0) if len(head) else np.zeros(len(w))
                 of = of.astype(np.uint8)
                 for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                    rows.append((b - a + 1, int(there[a:b].sum()) + (len(head) > 0), float(log[a:b].sum()) + end, float(within[a:b].sum()), of[a:b].tobytes() + bytes([CLASSES - 1])))
-            columns = [*zip(*rows, strict=True)] or [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "row", "held_out", "n_tokens", "known", "logs", "within", "classes"])
+                    i, j = int(cut[a]), int(cut[b])
+                    spelled = first + ids[i:j].tobytes(), np.packbits(np.append(True, opens[i:j])).tobytes()
+                    rows.append((b - a + 1, int(there[a:b].sum()) + (len(head) > 0), float(log[a:b].sum()) + end, float(within[a:b].sum()), of[a:b].tobytes() + bytes([CLASSES - 1]), *spelled))
+            columns = [*zip(*rows, strict=True)] or [[]] * 7
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "row", "held_out", "n_tokens", "known", "logs", "within", "classes", "ids", "opens"])
 
     return run
 
@@ -269,50 +294,97 @@ def first_weights(pairs: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
     return {name: x.astype(np.float32) for name, x in p.items()}
 
 
-def _batches(classes: list[bytes], stride: int):
-    """(inputs, targets, mask of the places to count, number of the text of each window) of up to BATCH windows of the texts at a time."""
-    held, size = [], 0
-    for i, x in enumerate(classes):
-        ids = np.frombuffer(bytes([CLASSES - 1]) + x, np.uint8)
-        inputs, targets, first, last = attention.windows(ids, stride)
+def id_weights(p: dict[str, np.ndarray], of: np.ndarray, opened: np.ndarray) -> dict[str, np.ndarray]:
+    """first_weights() with embeddings of ids and, last, of the end: those of the classes of ids that open words, 0 for others."""
+    return p | {"emb": np.concatenate([p["emb"][of] * (opened > 0)[:, None], p["emb"][-1:]]).astype(np.float32)}
+
+
+def _plain(classes: list[bytes]) -> list[tuple[bytes, bytes, bytes]]:
+    """(classes, ids, opens) of texts whose words have one id each, the number of their class."""
+    return [(x, np.frombuffer(bytes([CLASSES - 1]) + x[:-1], np.uint8).astype(id_type(CLASSES)).tobytes(), np.packbits(np.ones(len(x), bool)).tobytes()) for x in classes]
+
+
+def _texts(batch: pa.RecordBatch) -> list[tuple[bytes, bytes, bytes]]:
+    columns = [batch.column(k).to_pylist() for k in ("classes", "ids", "opens") if k in batch.schema.names]
+    return [*zip(*columns, strict=True)] if len(columns) == 3 else _plain(columns[0])
+
+
+def _groups(texts: list[tuple[bytes, bytes, bytes]], rows: int, stride: int):
+    """(ids, starts of places in ids, windows) of GROUP places or some more at a time, where ``rows`` ids have embeddings.
+
+    windows: up to BATCH at a time, (places to read, classes to give, mask of those to count, number of the text of each window).
+    """
+    attention.keep_memory()
+    kind = np.dtype(id_type(rows))
+    first = 0
+    while first < len(texts):
+        last, size = first, 0
+        while last < len(texts) and size < GROUP:
+            size += len(texts[last][0])
+            last += 1
+        ids = np.frombuffer(b"".join(x for _, x, _ in texts[first:last]), kind)
+        opens = [np.unpackbits(np.frombuffer(y, np.uint8), count=len(x) // kind.itemsize) for _, x, y in texts[first:last]]
+        classes = np.frombuffer(b"".join(x for x, _, _ in texts[first:last]), np.uint8)
+        held, base = [], 0
         place = np.arange(attention.WINDOW)
-        held.append((inputs, targets, (place >= first[:, None]) & (place < last[:, None]), np.full(len(inputs), i)))
-        size += len(inputs)
-        if size >= attention.BATCH or i + 1 == len(classes):
-            whole = [np.concatenate(c) for c in zip(*held, strict=True)]
-            for k in range(0, size, attention.BATCH):
-                yield tuple(c[k : k + attention.BATCH] for c in whole)
-            held, size = [], 0
+        for i in range(first, last):
+            n = len(texts[i][0])
+            inputs, targets, begin, end = attention.windows(np.arange(base, base + n + 1), stride)
+            held.append((np.minimum(inputs, base + n - 1), classes[targets - 1], (place >= begin[:, None]) & (place < end[:, None]), np.full(len(inputs), i)))
+            base += n
+        whole = [np.concatenate(c) for c in zip(*held, strict=True)]
+        yield ids, np.flatnonzero(np.concatenate(opens)), [tuple(c[k : k + attention.BATCH] for c in whole) for k in range(0, len(whole[0]), attention.BATCH)]
+        first = last
 
 
 def _gradients(flat: np.ndarray):
-    """(slot, value): the sums of gradients over all windows, without overlap, of rows (classes); the last slot has the number of tokens."""
+    """(slot, g0, g1, ...): the sums of gradients over all windows, without overlap, of rows (classes, ids, opens), DIM to a row; slot -1 has the number of tokens."""
 
     def run(batches):
         p = attention.unpack(flat, CLASSES)
-        total = np.zeros(len(flat) + 1)
+        emb, others, count = np.zeros(p["emb"].shape), 0, 0
         for batch in batches:
-            for inputs, targets, some, _ in _batches(batch.column(0).to_pylist(), attention.WINDOW):
-                g = attention.step(p, inputs, targets, some.astype(np.float32))[1]
-                n = int(some.sum())
-                total[:-1] += attention.pack(g).astype(np.float64) * n  # step() gives means
-                total[-1] += n
-        if total[-1]:
-            yield _rows(slot=np.arange(len(total)), value=total)
+            for ids, starts, windows in _groups(_texts(batch), len(emb), attention.WINDOW):
+                x = attention.embed(p["emb"], ids, starts)
+                dx = np.zeros_like(x)
+                for inputs, targets, some, _ in windows:
+                    g = attention.step(p, inputs, targets, some.astype(np.float32), x)[1]
+                    n = int(some.sum())  # step() gives means
+                    dx[inputs[some]] = g["x"][some] * n
+                    others = others + np.concatenate([g[k].ravel() for k in attention.NAMES[1:]]).astype(np.float64) * n
+                    count += n
+                attention.embed_back(ids, starts, dx, emb)
+        if count:
+            total = np.concatenate([emb.ravel(), others]).reshape(-1, attention.DIM)
+            slot = np.flatnonzero(total.any(1))
+            values = np.concatenate([total[slot], np.full((1, attention.DIM), count)]).T
+            yield _rows(slot=np.append(slot, -1), **dict(zip(_VALUES, np.ascontiguousarray(values), strict=True)))
 
     return run
 
 
+_VALUES = [f"g{i}" for i in range(attention.DIM)]
+
+
 def train(texts: DataFrame, start: dict[str, np.ndarray], rate: float = 1.0) -> np.ndarray:
-    """Weights after ROUNDS steps from ``start``, over rows (row, classes); row, a hash, deals texts to rounds."""
+    """Weights after ROUNDS steps from ``start``, over rows (row, classes) or (row, classes, ids, opens); row, a hash, deals texts to rounds.
+
+    Rows that are written by their round may have it as a column.
+    """
     p = {k: x.astype(np.float64) for k, x in start.items()}
     adam = attention.Adam(p, STEP)
+    texts = texts if "round" in texts.columns else texts.withColumn("round", _round("row"))
+    kind = ", ".join(["slot long", *(f"{k} double" for k in _VALUES)])
     for k in range(ROUNDS):
-        share = F.pmod(F.xxhash64("row"), F.lit(ROUNDS << 20))
-        own = texts.filter((share % ROUNDS == k) & (share < rate * (ROUNDS << 20))).select("classes")
-        sums = own.mapInArrow(_gradients(attention.pack(p)), "slot long, value double").groupBy("slot").agg(F.sum("value").alias("x")).orderBy("slot").toArrow()["x"].to_numpy()
-        if len(sums):
-            flat, at, g = sums[:-1] / sums[-1], 0, {}
+        own = texts.filter(F.col("round") == k)
+        own = own if rate >= 1 else own.filter(_share("row") < rate * (ROUNDS << 20))
+        own = own.select(*(c for c in ("classes", "ids", "opens") if c in texts.columns))
+        sums = own.mapInArrow(_gradients(attention.pack(p).astype(np.float32)), kind).groupBy("slot").agg(*(F.sum(k).alias(k) for k in _VALUES)).toArrow()
+        if sums.num_rows:
+            slot, values = sums["slot"].to_numpy(), np.stack([sums[k].to_numpy() for k in _VALUES], 1)
+            flat = np.zeros((sum(x.size for x in p.values()) // attention.DIM, attention.DIM))
+            flat[slot[slot >= 0]] = values[slot >= 0] / values[slot < 0][0, 0]
+            flat, at, g = flat.ravel(), 0, {}
             for name in attention.NAMES:
                 g[name] = flat[at : at + p[name].size].reshape(p[name].shape)
                 at += p[name].size
@@ -321,6 +393,15 @@ def train(texts: DataFrame, start: dict[str, np.ndarray], rate: float = 1.0) ->
     return attention.pack(p).astype(np.float32)
 
 
+def _share(row: str) -> Column:
+    return F.pmod(F.xxhash64(row), F.lit(ROUNDS << 20))
+
+
+def _round(row: str) -> Column:
+    """The round that a row is read in."""
+    return (_share(row) % ROUNDS).cast("int")
+
+
 def fit(train: DataFrame, path: str) -> dict:
     """The model, and as ``table`` the counts (w, c) of all words, from rows with text as binary."""
     counts = train.select("text").mapInArrow(_count, "w long, word binary, c long")
@@ -348,6 +429,7 @@ def fit(train: DataFrame, path: str) -> dict:
     # within a class: the most frequent words by count, the others by ids
     end = head == END_WORD
     first, starts = word_ids(path, top["word"].to_pylist())
+    model["head_ids"], model["head_starts"], model["opened"] = first.astype(id_type(size + 1)), starts, ids[0]
     head_of = np.where(end, CLASSES - 1, of[first[starts[:-1]]] if len(head) else 0)
     of_head = np.bincount(head_of, head_counts, CLASSES)
     of_tail = np.bincount(of, ids[1], CLASSES)
@@ -362,27 +444,34 @@ def fit(train: DataFrame, path: str) -> dict:
 
 def _sent(model: dict) -> dict:
     """The part of a model that tasks get."""
-    return {k: v for k, v in model.items() if k != "table"}
+    return {k: v for k, v in model.items() if k not in ("table", "opened")}
 
 
 def score_texts(p: dict, classes: list[bytes]) -> np.ndarray:
-    """Natural log probabilities of texts' classes, the end's included."""
-    out = np.zeros(len(classes))
-    for inputs, targets, some, of in _batches(classes, attention.STRIDE):
-        logs = attention.log_probabilities(p, inputs, targets, some)
-        out += np.bincount(np.repeat(of, some.sum(1)), logs, len(classes))
+    """Natural log probabilities of texts' classes, the end's included, where classes are read as they are."""
+    return score_words(p, _plain(classes))
+
+
+def score_words(p: dict, texts: list[tuple[bytes, bytes, bytes]]) -> np.ndarray:
+    """Natural log probabilities of the classes, the end's included, of texts (classes, ids, opens)."""
+    out = np.zeros(len(texts))
+    for ids, starts, windows in _groups(texts, len(p["emb"]), attention.STRIDE):
+        x = attention.embed(p["emb"], ids, starts)
+        for inputs, targets, some, of in windows:
+            logs = attention.log_probabilities(p, inputs, targets, some, x)
+            out += np.bincount(np.repeat(of, some.sum(1)), logs, len(texts))
     return out
 
 
 def _score(flat: np.ndarray):
-    """Rows with score instead of within and classes."""
+    """Rows with score instead of within, classes, ids and opens."""
 
     def run(batches):
         p = attention.unpack(flat, CLASSES)
         for batch in batches:
             for i in range(0, max(batch.num_rows, 1), 256):
                 part = batch.slice(i, 256)
-                value = (score_texts(p, part.column(7).to_pylist()) + part.column(6).to_numpy()) / np.log(10)
+                value = (score_words(p, _texts(part)) + part.column(6).to_numpy()) / np.log(10)
                 yield pa.RecordBatch.from_arrays([*(part.column(j) for j in range(6)), pa.array(value)], names=["doc_id", "row", "held_out", "n_tokens", "known", "logs", "score"])
 
     return run
@@ -420,13 +509,14 @@ def score(docs: DataFrame, path: str, rate: float = 1.0) -> DataFrame:
     rows = docs.select("doc_id", F.xxhash64("doc_id", text).alias("row"), held.alias("held_out"), text.alias("text"))
     model = fit(rows.filter(~F.col("held_out")), path)
     common = f"doc_id {kind}, row long, held_out boolean, n_tokens long, known long, logs double"
-    read = materialize(rows.mapInArrow(_read(_sent(model)), common + ", within double, classes binary"))
-    learned = read.filter(~F.col("held_out")).select("row", "classes")
+    read = rows.mapInArrow(_read(_sent(model)), common + ", within double, classes binary, ids binary, opens binary")
+    read = materialize(read.withColumn("round", F.when(F.col("held_out"), F.lit(ROUNDS)).otherwise(_round("row"))), "round")
+    learned = read.filter(F.col("round") < ROUNDS)
     pairs = np.zeros(CLASSES * CLASSES)
     for r in learned.select("classes").mapInArrow(_bigrams, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect():
         pairs[r["key"]] = r["n"]
-    flat = train(learned, first_weights(pairs.reshape(CLASSES, CLASSES)), rate)
-    scored = materialize(read.mapInArrow(_score(flat), common + ", score double"))
+    flat = train(learned, id_weights(first_weights(pairs.reshape(CLASSES, CLASSES)), model["of"], model["opened"]), rate)
+    scored = materialize(read.drop("round").mapInArrow(_score(flat), common + ", score double"))
     tail = rows.select("row", "text").mapInArrow(_tail(model["words"]), "row long, w long, tf int")
     others = tail.join(model["table"], "w").groupBy("row").agg(F.sum("tf").alias("tail_known"), F.sum(F.col("tf") * F.log10(F.col("c") + 1.0)).alias("tail_logs"))
     # rows that repeat each add to a sum, which is shared among them

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -606,3 +607,49 @@ def test_first_weights_follow_the_pairs():
     before, after = np.frombuffer(bytes([lm.CLASSES - 1]) + texts[0][:-1], np.uint8), np.frombuffer(texts[0], np.uint8)
     given = np.log((pairs / pairs.sum(1, keepdims=True))[before, after]).sum()
     assert lm.score_texts(p, texts[:1])[0] == pytest.approx(given, rel=0.25)
+
+
+def test_texts_are_read_as_all_ids_of_their_words():
+    path = lm.vocabulary_path(lm.ENCODE_FILE)
+    encode, size = lm.subwords(path)
+    text = "the unbelievable Überlänge, the x"
+    words = text.translate(LOWER).split(" ")
+    head, none = np.sort(ngrams.word_hashes([b"the"])[0].view(np.int64)), np.zeros(size)
+    model = {"path": path, "words": head, "counts": np.ones(1), "of": none.astype(int), "follow": none.astype(int), "follow_share": none, "first_share": none, "pairs": np.zeros(lm.PLACES * lm.FOLLOW * lm.FOLLOW)}
+    model |= {"tail_log": np.zeros(lm.CLASSES), "head_of": np.zeros(1, int), "head_log": np.zeros(1), "head_ids": np.array(encode(" the"), lm.id_type(size + 1)), "head_starts": np.array([0, len(encode(" the"))])}
+    rows_ = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "row": [1, 2], "held_out": [False, False], "text": [text.encode(), b""]})
+    (got,) = lm._read(model)([rows_])
+    runs = [[size], *(encode(" " + w) for w in words)]
+    assert max(map(len, runs)) > 1
+    ids = np.frombuffer(got["ids"][0].as_py(), lm.id_type(size + 1))
+    assert ids.tolist() == [i for run in runs for i in run]
+    assert np.unpackbits(np.frombuffer(got["opens"][0].as_py(), np.uint8), count=len(ids)).tolist() == [int(k == 0) for run in runs for k in range(len(run))]
+    assert np.frombuffer(got["ids"][1].as_py(), lm.id_type(size + 1)).tolist() == [size] and got["opens"][1].as_py() == bytes([128])
+
+
+def test_attention_reads_every_id_of_a_word():
+    rng = np.random.default_rng(11)
+    size = 700
+    p = {k: (v + 0.3 * rng.standard_normal(v.shape)).astype(np.float32) for k, v in attention.start(lm.CLASSES).items()}
+    p["emb"] = rng.standard_normal((size + 1, attention.DIM)).astype(np.float32)
+    words = [[size], *(rng.integers(0, size, n).tolist() for n in (1, 3, 2, 30, 1, 12, 13, 5))]
+    classes = rng.integers(0, lm.CLASSES - 1, len(words)).astype(np.uint8)
+
+    def score(words):
+        opens = [k == 0 for w in words for k in range(len(w))]
+        return lm.score_words(p, [(classes.tobytes(), np.array([i for w in words for i in w], lm.id_type(size + 1)).tobytes(), np.packbits(opens).tobytes())])[0]
+
+    vectors = np.array([p["emb"][w[0]] + (p["emb"][w[1:]].mean(0) if len(w) > 1 else 0) for w in words])
+    one = np.ones((1, len(words)), bool)
+    want = attention.log_probabilities(p | {"emb": vectors}, np.arange(len(words))[None], classes[None].astype(int), one).sum()
+    assert score(words) == pytest.approx(float(want), rel=1e-4)
+    for w in range(1, len(words)):  # each id changes what follows
+        for k in {0, len(words[w]) // 2, len(words[w]) - 1}:
+            other = [list(x) for x in words]
+            other[w][k] = (other[w][k] + 1) % size
+            assert abs(score(other) - score(words)) > 1e-5
+    ids, starts = np.array([i for w in words for i in w]), np.cumsum([0, *map(len, words)])[:-1]
+    dx, back = rng.standard_normal((len(words), attention.DIM)), np.zeros((size + 1, attention.DIM))
+    attention.embed_back(ids, starts, dx, back)
+    some = rng.standard_normal(back.shape)
+    assert (back * some).sum() == pytest.approx((attention.embed(some, ids, starts) * dx).sum())
