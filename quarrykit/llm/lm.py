@@ -120,6 +120,11 @@ def _pair_keys(of: np.ndarray, follow: np.ndarray, ids: np.ndarray, starts: np.n
     return (place * FOLLOW + follow[ids]) * FOLLOW + second, word
 
 
+def _other(w: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """Whether each word is not among ``head``, which is sorted."""
+    return head[np.minimum(np.searchsorted(head, w), len(head) - 1)] != w if len(head) else np.ones(len(w), bool)
+
+
 def _spelled(path: str, head: np.ndarray):
     """(c, rest, ids) of each word but the end, from rows (w, word, c): rest says that it is not among ``head``; ids are 32-bit integers."""
 
@@ -129,7 +134,7 @@ def _spelled(path: str, head: np.ndarray):
             some = np.flatnonzero(w != END_WORD)
             ids, starts = word_ids(path, [batch.column(1)[i].as_py() for i in some.tolist()])
             ids = ids.astype("<u4")
-            yield _rows(c=batch.column(2).to_numpy()[some], rest=np.isin(w[some], head, invert=True), ids=pa.array([ids[a:b].tobytes() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)], pa.binary()))
+            yield _rows(c=batch.column(2).to_numpy()[some], rest=_other(w[some], head), ids=pa.array([ids[a:b].tobytes() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)], pa.binary()))
 
     return run
 
@@ -165,7 +170,8 @@ def _pair_counts(of: np.ndarray, follow: np.ndarray):
             c, _, ids, starts = _runs(batch)
             if len(ids):
                 key, word = _pair_keys(of, follow, ids, starts)
-                total += np.bincount(key, c[word], len(total))
+                found, at = np.unique(key, return_inverse=True)  # few of all pairs
+                total[found] += np.bincount(at, c[word])
         key = np.flatnonzero(total)
         yield _rows(key=key, n=total[key].astype(np.int64))
 
@@ -485,10 +491,7 @@ def _tail(words: np.ndarray):
             for first, texts in _blocks(batch, 1):
                 hashes, bounds = word_hashes(texts)
                 w = hashes.view(np.int64)
-                if len(words):
-                    rest = words[np.minimum(np.searchsorted(words, w), len(words) - 1)] != w
-                else:
-                    rest = np.ones(len(w), bool)
+                rest = _other(w, words)
                 text = np.repeat(np.arange(len(texts)), np.diff(bounds))[rest]
                 w = w[rest]
                 order = np.lexsort((w, text))
