@@ -31,7 +31,26 @@ def lean(run):
     return out
 
 
+def lean_group(run):
+    """lean() for a function from a group's table to a table."""
+
+    @functools.wraps(run)
+    def out(group):
+        try:
+            return run(group)
+        finally:
+            freed()
+
+    return out
+
+
+#: What lets go of tables that modules hold in a worker; freed() calls each.
+LET_GO: list = []
+
+
 def freed() -> None:
+    for let_go in LET_GO:
+        let_go()
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only the GNU library has it

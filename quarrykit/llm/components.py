@@ -1,11 +1,13 @@
 """Connected components of an edge table by contraction: each task ties what it sees together, then edges are dealt anew by both their ends."""
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_KEYS, materialize
+from .common import HOT_KEYS, lean, materialize
 
 ROUNDS = 60
 #: Edges to one node from which it is sent to all tasks, if these are also more than one HOT_KEYS-th of all edges, rather than its edges to one task.
@@ -46,15 +48,27 @@ def _contract(batches):
         yield pa.RecordBatch.from_pydict({"a": held[0][i : i + (1 << 16)], "b": held[1][i : i + (1 << 16)]})
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) of every node of edges(a, b), both longs; component is the smallest node that it reaches.
+def tied(run):
+    """A function over Arrow batches that contracts the edges of run() in the same worker; two Python steps in a stage take two workers for each task."""
+
+    @functools.wraps(run)
+    def out(batches):
+        return _contract(run(batches))
+
+    return out
+
+
+def connected_components(edges: DataFrame, contracted: bool = False) -> DataFrame:
+    """(node, component) of every node of edges(a, b), both longs; component is the smallest node that it reaches. ``contracted`` says that a Python step
+    has tied what it saw just before, so that the first round only drops what repeats.
 
     Each round sends an edge to the tasks of both its ends, which tie all that they see to the smallest node; the number of rounds is logarithmic in the
     longest path. A node of very many edges is the smallest end of most of them: its own smaller neighbour goes to these edges instead. Every
     round is written to the shared folder.
     """
-    contract = lambda e: e.mapInArrow(_contract, "a long, b long").distinct()
-    e = materialize(contract(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))))
+    contract = lambda e: e.mapInArrow(lean(_contract), "a long, b long").distinct()
+    e = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    e = materialize(e.distinct() if contracted else contract(e))
     for _ in range(ROUNDS):
         ends = e.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
         ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))

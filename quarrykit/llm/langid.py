@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import few, lean, table
+from .common import few, lean, lean_group, table
 
 HASH_BITS = 13
 DIMENSIONS = 1 << HASH_BITS
@@ -159,7 +159,7 @@ def fit(train: DataFrame) -> dict | None:
     shares = few(train.groupBy("lang").agg(F.count("*").alias("n")).select("lang", F.least(F.lit(1.0), 1.5 * SAMPLE / F.col("n")).alias("share")))
     some = train.join(shares, "lang").withColumn("part", part).filter((F.col("part") <= F.col("share")) & F.col("text").rlike(r"\p{L}"))
     some = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("part", "doc_id", "text"))).filter(F.col("k") <= SAMPLE)
-    rows = some.select("lang", "text").groupBy("lang").applyInArrow(_fitted(idf), "lang string, centres binary, limits binary").collect()
+    rows = some.select("lang", "text").groupBy("lang").applyInArrow(lean_group(_fitted(idf)), "lang string, centres binary, limits binary").collect()
     if not rows:
         return None
     rows.sort(key=lambda r: r["lang"])

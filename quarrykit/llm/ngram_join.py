@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import few, joined, lean, materialize, table
-from .components import connected_components
+from .common import few, joined, lean, lean_group, materialize, table
+from .components import connected_components, stars, tied
 from .ngrams import mix, shingle_sets
 
 SHINGLE, PERCENT = 4, 85
@@ -280,7 +280,9 @@ def _connected(keys: np.ndarray, sizes: np.ndarray, counts: np.ndarray, percent:
 
 
 def _edges(found: list[tuple[int, int]]) -> pa.Table:
-    return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+    """The pairs found in a tile, contracted."""
+    a, b = stars(*np.array(found, np.int64).reshape(-1, 2).T)
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def _verified(size: int, percent: int):
@@ -328,12 +330,12 @@ def connect(members: DataFrame, payload, run, percent: int, most: int) -> DataFr
     cut = few(rows.filter("large").groupBy("component", "band").agg(parts.alias("parts")))
     rows = rows.join(cut, ["component", "band"], "left").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
     alone = F.when(F.col("large"), F.xxhash64(F.lit("own"), "component", "band", "part")).otherwise(F.xxhash64(F.lit("bin"), F.pmod(F.xxhash64("component"), F.lit(bins))))
-    found = lambda tiles: payload(tiles).groupBy("tile").applyInArrow(run, "a long, b long")
+    found = lambda tiles: payload(tiles).groupBy("tile").applyInArrow(lean_group(run), "a long, b long")
     edges = found(rows.select("class", F.col("class").alias("label"), alone.alias("tile")))
     if not some:
-        return connected_components(edges)
+        return connected_components(edges, contracted=True)
     rows = materialize(rows.filter("large").select("class", "component", "band", "part", "units"))
-    out = connected_components(edges)
+    out = connected_components(edges, contracted=True)
     # one class of each piece of a part stands for it; each tile sees two bands of sizes that follow each other
     stand = _labelled(rows, out).groupBy("component", "band", "part", "label").agg(F.min(F.struct("class", "units")).alias("r")).select("component", "band", "label", "r.class", "r.units")
     stand = materialize(stand.withColumn("low", F.explode(F.array(F.col("band") - 1, F.col("band")))))
@@ -349,7 +351,7 @@ def _labelled(rows: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def _grown(components: DataFrame, edges: DataFrame) -> DataFrame:
-    return connected_components(components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(edges))
+    return connected_components(components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(materialize(edges)))
 
 
 def _rest(rows: DataFrame, most: int) -> DataFrame:
@@ -415,8 +417,8 @@ def _linked(docs: DataFrame, size: int, percent: int) -> DataFrame:
     block = F.when(parts == 1, F.array("t")).otherwise(F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.xxhash64("t", F.least(i, part), F.greatest(i, part))))
     cut = blocks.select("class", F.explode(block).alias("block")).join(classes, "class").select("block", "class", "n", "counts")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = cut.repartition(tasks, "block").sortWithinPartitions("block", "class").mapInArrow(lean(_block_pairs(percent)), "a long, b long")
-    exact = _verify(docs, own, _refine(own, connected_components(near), percent), size, percent)
+    near = cut.repartition(tasks, "block").sortWithinPartitions("block", "class").mapInArrow(lean(tied(_block_pairs(percent))), "a long, b long")
+    exact = _verify(docs, own, _refine(own, connected_components(near, contracted=True), percent), size, percent)
     rows = own.select("doc_id", "row", "class", "n").join(exact.select(F.col("node").alias("class"), "component"), "class", "left")
     rows = materialize(rows.select("doc_id", "row", "n", F.coalesce("component", "class").alias("c")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row")))

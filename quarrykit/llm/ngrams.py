@@ -8,6 +8,8 @@ import functools
 
 import numpy as np
 
+from .common import LET_GO
+
 _U = np.uint64
 BASE = _U(0x9E3779B97F4A7C15)
 INVERSE = _U(pow(int(BASE), -1, 1 << 64))
@@ -23,9 +25,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-@functools.lru_cache(2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.cumprod(np.full(n, BASE)), np.cumprod(np.full(n, INVERSE))
+_held: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of BASE and of INVERSE, n of them at least; the longest that were asked for are held until freed()."""
+    if not _held or len(_held[0]) < n:
+        _held[:] = np.cumprod(np.full(n, BASE)), np.cumprod(np.full(n, INVERSE))
+    return _held
+
+
+LET_GO.append(_held.clear)
 
 
 @functools.cache

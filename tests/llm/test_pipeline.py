@@ -3,7 +3,7 @@ import re
 import pytest
 
 import corpus_pipeline
-from quarrykit.llm import common, ngram_join
+from quarrykit.llm import common, components, ngram_join, ngrams
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -49,3 +49,29 @@ def test_near_duplicates_keep_what_is_not_linked(spark, documents):
     rows = [(None, text("a"), "en", "s"), (None, text("b"), "en", "s"), (None, text("b"), "en", "s"), (1, text("c"), "en", "s"), (1, text("d"), "en", "s"), (2, text("d"), "en", "s"), (None, text("c"), "en", "s")]
     kept = corpus_pipeline.near_duplicates(spark, documents(rows), "").collect()
     assert sorted((str(r["doc_id"]), r["text"][0]) for r in kept) == [("1", "c"), ("1", "d"), ("None", "a"), ("None", "b")]
+
+
+def test_near_duplicates_run_one_python_step_in_a_stage(spark, sf, monkeypatch):
+    """Two in one stage take two workers for each task, and each worker keeps memory until the session ends."""
+    plans = []
+
+    def seen(df, *by):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return common.materialize(df, *by)
+
+    for module in (components, ngram_join):
+        monkeypatch.setattr(module, "materialize", seen)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    plans.append(corpus_pipeline.near_duplicates(spark, docs, sf)._jdf.queryExecution().executedPlan().toString())
+    steps = [re.findall(r"Exchange|InArrow", plan) for plan in plans]
+    assert any("InArrow" in s for s in steps)
+    assert not any(a == b == "InArrow" for s in steps for a, b in zip(s, s[1:]))
+
+
+def test_workers_let_go_of_tables():
+    """What hashing words holds, 32 MB for a block of texts, goes when a task ends."""
+    texts = [b"some words of a text " * 50_000]
+    (out,) = common.lean(lambda batches: (len(ngrams.word_hashes(texts)[0]) for _ in batches))([0])
+    assert out == 250_000 and not ngrams._held
+    common.lean_group(lambda group: ngrams.word_hashes(texts))(None)
+    assert not ngrams._held
