@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import attention
 from .bpe import ENCODE_FILE, vocabulary_path
-from .common import materialize, table
+from .common import lean, materialize, table
 from .langid import crc_mod
 from .ngram_join import _blocks
 from .ngrams import word_hashes
@@ -375,7 +375,7 @@ _VALUES = [f"g{i}" for i in range(attention.DIM)]
 def train(texts: DataFrame, start: dict[str, np.ndarray], rate: float = 1.0) -> np.ndarray:
     """Weights after ROUNDS steps from ``start``, over rows (row, classes) or (row, classes, ids, opens); row, a hash, deals texts to rounds.
 
-    Rows that are written by their round may have it as a column.
+    Rows that are written in order of rounds may have it as a column.
     """
     p = {k: x.astype(np.float64) for k, x in start.items()}
     adam = attention.Adam(p, STEP)
@@ -410,14 +410,14 @@ def _round(row: str) -> Column:
 
 def fit(train: DataFrame, path: str) -> dict:
     """The model, and as ``table`` the counts (w, c) of all words, from rows with text as binary."""
-    counts = train.select("text").mapInArrow(_count, "w long, word binary, c long")
+    counts = train.select("text").mapInArrow(lean(_count), "w long, word binary, c long")
     words = materialize(counts.groupBy("w").agg(F.first("word").alias("word"), F.sum("c").alias("c")))
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     top = words.filter((F.col("c") >= HEAD_LEAST) | (F.col("w") == END_WORD)).orderBy(F.desc("c"), "w").limit(HEAD_WORDS).toArrow().sort_by("w")
     head, head_counts = top["w"].to_numpy(), top["c"].to_numpy()
     _, size = subwords(path)
     ids = np.zeros((3, size))
-    spelled = materialize(words.mapInArrow(_spelled(path, head), "c long, rest boolean, ids binary"))
+    spelled = materialize(words.mapInArrow(lean(_spelled(path, head)), "c long, rest boolean, ids binary"))
     found = spelled.mapInArrow(_id_counts(size), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).toArrow()
     ids[found["kind"].to_numpy(), found["key"].to_numpy()] = found["n"].to_numpy()
     of, _ = bands(ids[0], SINGLES, BANDS)
@@ -512,8 +512,9 @@ def score(docs: DataFrame, path: str, rate: float = 1.0) -> DataFrame:
     rows = docs.select("doc_id", F.xxhash64("doc_id", text).alias("row"), held.alias("held_out"), text.alias("text"))
     model = fit(rows.filter(~F.col("held_out")), path)
     common = f"doc_id {kind}, row long, held_out boolean, n_tokens long, known long, logs double"
-    read = rows.mapInArrow(_read(_sent(model)), common + ", within double, classes binary, ids binary, opens binary")
-    read = materialize(read.withColumn("round", F.when(F.col("held_out"), F.lit(ROUNDS)).otherwise(_round("row"))), "round")
+    read = rows.mapInArrow(lean(_read(_sent(model))), common + ", within double, classes binary, ids binary, opens binary")
+    # a file for each task, in order of rounds: a folder for each round would be thirteen files, each of which Hadoop's local file system changes the mode of by a process of its own
+    read = materialize(read.withColumn("round", F.when(F.col("held_out"), F.lit(ROUNDS)).otherwise(_round("row"))).sortWithinPartitions("round"))
     learned = read.filter(F.col("round") < ROUNDS)
     pairs = np.zeros(CLASSES * CLASSES)
     for r in learned.select("classes").mapInArrow(_bigrams, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect():

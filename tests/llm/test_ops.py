@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from oracle import connect, rows
 from quarrykit.llm import components as components_module
-from quarrykit.llm import attention, bpe, extract, fingerprint, langid, lm, mixing, ngram_join, ngrams, quality, registry, warc
+from quarrykit.llm import attention, bpe, common, extract, fingerprint, langid, lm, mixing, ngram_join, ngrams, quality, registry, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -653,3 +653,21 @@ def test_attention_reads_every_id_of_a_word():
     attention.embed_back(ids, starts, dx, back)
     some = rng.standard_normal(back.shape)
     assert (back * some).sum() == pytest.approx((attention.embed(some, ids, starts) * dx).sum())
+
+
+def test_lm_writes_one_file_a_task(spark, sf, monkeypatch):
+    """A file for each round and task made 13 times as many, and each file costs a process that changes its mode."""
+    made = []
+
+    def seen(df, *by):
+        out = common.materialize(df, *by)
+        if "round" in df.columns:
+            made.append((len(out.inputFiles()), df.rdd.getNumPartitions(), out.filter("round < 12").select("round").distinct().count()))
+        return out
+
+    monkeypatch.setattr(lm, "materialize", seen)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    out = lm.score(docs, lm.vocabulary_path(lm.ENCODE_FILE))
+    assert out.columns[:3] == ["doc_id", "held_out", "n_tokens"]
+    ((files, tasks, rounds),) = made
+    assert files <= tasks and rounds == 12
